@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, sharding, simhash
+from . import decontaminate, langid, logbilinear, mixing, sharding, simhash
 from .common import id_crc, load
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.pmod(id_crc(F.col("doc_id")), F.lit(7)) == 2
+    model, counts = logbilinear.fit(docs.filter(~held))
+    out = logbilinear.score(docs, model, counts)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage of the benchmark found in a document."""
     found = decontaminate.find_passages(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark"))
@@ -46,7 +54,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_decontaminate, op4_sharding, op5_near_duplicates, op6_language, op7_mixing, pipeline)}
+    return {f.__name__: f for f in (op1_lm_scoring, op3_decontaminate, op4_sharding, op5_near_duplicates, op6_language, op7_mixing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

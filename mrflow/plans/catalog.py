@@ -1,6 +1,348 @@
-def queries():
-    return {}
+"""The query catalogue over the driver's tables, each with its SQL."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+import re
+import tempfile
+from collections.abc import Callable
+from decimal import Decimal
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import native, opaque
+from ..sources import readers
+from .job import Job, ScriptJob
+
+_WORD = re.compile(r"[^\W_]+")
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def micros(c) -> F.Column:
+    return F.unix_micros(c.cast("timestamp"))
+
+
+TOKENS = r"SELECT doc_id, lang, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS token FROM documents"
+Q01 = f"SELECT token, count(*) AS n FROM ({TOKENS}) WHERE token <> '' GROUP BY token"
+
+
+@query(Q01)
+def q01_token_count(spark, sf_dir):
+    return native.count_by(native.explode_tokens(table(spark, sf_dir, "documents"), "text"), "token")
+
+
+@query(f"SELECT lang, token, count(*) AS n FROM ({TOKENS}) WHERE token <> '' GROUP BY lang, token")
+def q02_token_count_by_lang(spark, sf_dir):
+    return native.count_by(native.explode_tokens(table(spark, sf_dir, "documents"), "text", "lang"), "lang", "token")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def q03_event_type_count(spark, sf_dir):
+    return native.count_by(table(spark, sf_dir, "events"), "event_type")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'F'")
+def q04_filter_project(spark, sf_dir):
+    return table(spark, sf_dir, "orders").filter("o_totalprice > 100000 AND o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_orderpriority")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_qty, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS sum_price FROM lineitem GROUP BY l_returnflag, l_linestatus")
+def q05_flag_sums(spark, sf_dir):
+    money = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), money("l_quantity").alias("sum_qty"), money("l_extendedprice").alias("sum_price"))
+
+
+@query("SELECT user_id, count(*) AS n, min(value) AS least, max(value) AS most, round(CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) / count(value), 4) AS mean FROM events GROUP BY user_id")
+def q06_user_stats(spark, sf_dir):
+    total = F.sum(F.col("value").cast("decimal(18,6)")).cast("double")
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.round(total / F.count("value"), 4).alias("mean"))
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS n_users FROM events GROUP BY event_type")
+def q07_distinct_users(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.countDistinct("user_id").alias("n_users"))
+
+
+@query("SELECT md5(text) AS text_md5, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
+def q08_dedup_text(spark, sf_dir):
+    # the digest is dealt out, not the text
+    docs = table(spark, sf_dir, "documents").select(F.md5("text").alias("text_md5"), "doc_id")
+    return docs.groupBy("text_md5").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query(f"SELECT token, doc_id, count(*) AS n FROM ({TOKENS}) WHERE token <> '' GROUP BY token, doc_id")
+def q09_inverted_index(spark, sf_dir):
+    """Postings as rows: a token in every document makes many rows and no long list."""
+    return native.count_by(native.explode_tokens(table(spark, sf_dir, "documents"), "text", "doc_id"), "token", "doc_id")
+
+
+def _count_line(line, aux):
+    seen: dict[str, int] = {}
+    for t in _WORD.findall((line or "").lower()):
+        seen[t] = seen.get(t, 0) + 1
+    return list(seen.items())
+
+
+def _add_up(group, aux):
+    key, total = None, 0
+    for key, n in group:  # noqa: B007
+        total += n
+    return [(key, total)]
+
+
+@query(Q01)
+def q10_opaque_token_count(spark, sf_dir):
+    items = opaque.flat_map(table(spark, sf_dir, "documents").select("text"), _count_line, "token string, n long")
+    merged = opaque.combine(items, ["token"], lambda a, b: (a[0], a[1] + b[1]))
+    return opaque.reduce_groups(merged, ["token"], _add_up, "token string, n long")
+
+
+def _steps(group, aux):
+    for i, (user, _, _, kind) in enumerate(group):
+        yield user, i + 1, kind
+
+
+@query("SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, event_type FROM events")
+def q11_event_path(spark, sf_dir):
+    items = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    return opaque.reduce_groups(items, ["user_id"], _steps, "user_id long, step long, event_type string")
+
+
+PAIRS = "SELECT event_type AS first_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS second_type FROM events"
+
+
+@query(f"SELECT first_type, second_type, count(*) AS n FROM ({PAIRS}) WHERE second_type IS NOT NULL GROUP BY first_type, second_type")
+def q12_adjacent_pairs(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    pairs = table(spark, sf_dir, "events").select(F.col("event_type").alias("first_type"), F.lead("event_type").over(w).alias("second_type"))
+    return native.count_by(pairs.filter("second_type IS NOT NULL"), "first_type", "second_type")
+
+
+def _pairs(group, aux):
+    before = None
+    for *_, kind in group:
+        if before is not None:
+            yield before, kind
+        before = kind
+
+
+@query(f"SELECT first_type, second_type, count(*) AS n FROM ({PAIRS}) WHERE second_type IS NOT NULL GROUP BY first_type, second_type")
+def q12_opaque_adjacent_pairs(spark, sf_dir):
+    items = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    return native.count_by(opaque.reduce_groups(items, ["user_id"], _pairs, "first_type string, second_type string"), "first_type", "second_type")
+
+
+@query("""WITH m AS (SELECT user_id, event_type, ts, event_id, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM m)
+SELECT user_id, run, event_type, count(*) AS length FROM r GROUP BY user_id, run, event_type""")
+def q13_runs_in_group(spark, sf_dir):
+    return native.runs(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", "event_type", ["ts", "event_id"])
+
+
+def _opaque_runs(group, aux):
+    for i, (kind, run) in enumerate(opaque.sub_groups(group, 3)):
+        user = n = 0
+        for user, *_ in run:  # noqa: B007
+            n += 1
+        yield user, i + 1, kind, n
+
+
+@query(_SQL["q13_runs_in_group"])
+def q13_opaque_runs(spark, sf_dir):
+    items = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    return opaque.reduce_groups(items, ["user_id"], _opaque_runs, "user_id long, run long, event_type string, length long")
+
+
+@query("""WITH t AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events),
+m AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) <= 1800000000 THEN 0 ELSE 1 END AS new FROM t),
+s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM m)
+SELECT user_id, session, count(*) AS n_events, min(t) AS first_us, max(t) AS last_us FROM s GROUP BY user_id, session""")
+def q14_sessions_30min(spark, sf_dir):
+    return native.sessions(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", micros(F.col("ts")), 30 * 60 * 1_000_000, ["event_id"])
+
+
+@query("""SELECT l_suppkey, CAST(rank AS INTEGER) AS rank, l_orderkey, l_linenumber, l_extendedprice FROM (
+SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_quantity) AS rank FROM lineitem) WHERE rank <= 3""")
+def q15_topk_per_supplier(spark, sf_dir):
+    order = [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
+    return native.top_k(table(spark, sf_dir, "lineitem"), "l_suppkey", 3, order).select("l_suppkey", "rank", "l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+def _supplier(group, aux):
+    key, total, n = None, Decimal(0), 0
+    for key, qty in group:  # noqa: B007
+        total, n = total + (qty or 0), n + 1
+    yield key, n, float(total)
+
+
+@query("SELECT l_suppkey, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_qty FROM lineitem GROUP BY l_suppkey")
+def q16_streaming_group(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_quantity").cast("decimal(18,2)").alias("qty"))
+    return opaque.reduce_groups(items, ["l_suppkey"], _supplier, "l_suppkey long, n long, sum_qty double", order_by=[])
+
+
+@query("SELECT c_custkey, c_name, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def q17_aux_lookup_join(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return native.lookup(table(spark, sf_dir, "customer"), nation, "c_nationkey").select("c_custkey", "c_name", "n_name")
+
+
+def _tagged(group, aux):
+    name, n, cents = None, 0, 0
+    for _, tag, text, amount in group:
+        if tag == 0:
+            name = text
+        else:
+            n, cents = n + 1, cents + amount
+    if name is not None and n:
+        yield name, n, cents
+
+
+@query("SELECT n_name, count(*) AS n_customers, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS BIGINT) AS cents FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, n_nationkey")
+def q18_tagged_join(spark, sf_dir):
+    """Two inputs tagged and met in one group, the nation's item first by its tag."""
+    left = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.lit(0).alias("tag"), F.col("n_name").alias("text"), F.lit(0).cast("long").alias("amount"))
+    right = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("key"), F.lit(1).alias("tag"), F.lit("").alias("text"), F.round(F.col("c_acctbal") * 100).cast("long").alias("amount"))
+    return opaque.reduce_groups(left.unionByName(right), ["key"], _tagged, "n_name string, n_customers long, cents long", order_by=["tag"])
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def q19_semi(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")
+
+
+@query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def q20_anti(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+
+
+@query("SELECT key, CAST(sum(o) AS BIGINT) AS n_orders, CAST(sum(l) AS BIGINT) AS n_lines FROM (SELECT o_orderkey AS key, 1 AS o, 0 AS l FROM orders UNION ALL SELECT l_orderkey, 0, 1 FROM lineitem) GROUP BY key")
+def q21_multi_input_counts(spark, sf_dir):
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), one.alias("n_orders"), none.alias("n_lines"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), none.alias("n_orders"), one.alias("n_lines"))
+    return native.merge_sums([orders, lines], ["key"], ["n_orders", "n_lines"])
+
+
+@query("SELECT c_mktsegment, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
+def q22_aux_in_reducer(spark, sf_dir):
+    per = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"))
+    found = native.lookup(per, table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", "inner")
+    return found.groupBy("c_mktsegment").agg(F.sum("n").alias("n"), F.sum("total").cast("double").alias("total"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 <= 0.1")
+def q23_hash_downsample(spark, sf_dir):
+    return readers.sample_rows(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 0.1)
+
+
+@query()
+def q24_file_downsample(spark, sf_dir):
+    """Which files of the folder samples of a quarter and a half take, by name."""
+    files = [n for _, n in readers.list_files(spark, [sf_dir])]
+    few, half = ({n for _, n in readers.sampled([("", f) for f in files], r)} for r in (0.25, 0.5))
+    return spark.createDataFrame([(f, readers.draw(f), f in few, f in half) for f in files], "file string, draw double, in_quarter boolean, in_half boolean")
+
+
+@query(Q01)
+def q25_incremental_merge(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    parts = [native.count_by(native.explode_tokens(docs.filter(F.pmod("doc_id", F.lit(2)) == i), "text"), "token") for i in (0, 1)]
+    return native.merge_sums(parts, ["token"], ["n"])
+
+
+@query("SELECT source, count(*) AS n_new FROM documents WHERE source NOT IN (SELECT DISTINCT source FROM documents WHERE doc_id % 20 < 5) GROUP BY source")
+def q26_unseen_inputs(spark, sf_dir):
+    """Inputs (here sources) in a ledger of seen ones are left out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    seen = docs.filter("doc_id % 20 < 5").select("source").distinct()
+    return docs.join(seen, "source", "left_anti").groupBy("source").agg(F.count("*").alias("n_new"))
+
+
+@query(f"SELECT n AS occurrences, count(*) AS n_tokens FROM ({Q01}) GROUP BY n")
+def q27_count_histogram(spark, sf_dir):
+    return native.count_by(q01_token_count(spark, sf_dir).withColumnRenamed("n", "occurrences"), "occurrences", into="n_tokens")
+
+
+@query(f"SELECT token, n, round(n / CAST(sum(n) OVER () AS DOUBLE), 12) AS probability FROM ({Q01})")
+def q28_token_probability(spark, sf_dir):
+    """The total is one row joined back, so no task gets all tokens."""
+    counts = q01_token_count(spark, sf_dir)
+    total = counts.agg(F.sum("n").alias("total"))
+    return counts.join(F.broadcast(total)).select("token", "n", F.round(F.col("n") / F.col("total").cast("double"), 12).alias("probability"))
+
+
+@query("SELECT k, count(*) AS n FROM (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY k")
+def q29_json_props(spark, sf_dir):
+    return native.count_by(table(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").cast("long").alias("k")), "k")
+
+
+@query(r"""WITH t AS (SELECT list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents),
+p AS (SELECT t, unnest(generate_series(1, len(t) - 1)) AS i FROM t WHERE len(t) > 1)
+SELECT t[i] AS first, t[i + 1] AS second, count(*) AS n FROM p GROUP BY ALL""")
+def q30_bigrams(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").select(native.tokens(F.col("text")).alias("t")).filter("size(t) > 1")
+    pair = F.zip_with(F.expr("slice(t, 1, size(t) - 1)"), F.expr("slice(t, 2, size(t) - 1)"), lambda a, b: F.struct(a.alias("first"), b.alias("second")))
+    return native.count_by(t.select(F.explode(pair).alias("p")).select("p.first", "p.second"), "first", "second")
+
+
+def _conversation(group, aux):
+    conv, first, last, n, chars = None, None, None, 0, 0
+    for conv, _, role, text in group:  # noqa: B007
+        first, last, n, chars = first if n else role, role, n + 1, chars + len(text or "")
+    yield conv, n, first, last, chars
+
+
+@query("SELECT conv_id, count(*) AS n_turns, arg_min(role, turn) AS first_role, arg_max(role, turn) AS last_role, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY conv_id")
+def q31_conversation_walk(spark, sf_dir):
+    return opaque.reduce_groups(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), ["conv_id"], _conversation, "conv_id long, n_turns long, first_role string, last_role string, n_chars long", order_by=["turn"])
+
+
+@query("SELECT * FROM (VALUES (0, 0, 'high', true), (1, 0, 'once', true), (2, 0, 'breaks', false), (3, 0, 'low', true), (4, 1, 'high', true), (5, 1, 'low', true)) AS t(step, cycle, job_name, success)")
+def q32_scheduler_log(spark, sf_dir):
+    """Two cycles of a queue: priority, run_once, and a failure that takes its group along."""
+    from ..control.scheduler import JobQueue, Runner
+
+    def run(job: Job) -> None:
+        if job.job_name == "breaks":
+            raise RuntimeError("this job breaks")
+
+    with tempfile.TemporaryDirectory() as folder:
+        queue = JobQueue(folder)
+        for name, priority, more in (("low", 1, {}), ("high", 9, {}), ("once", 7, {"run_once": True}), ("breaks", 5, {"group_name": "g"}), ("never", 3, {"group_name": "g"})):
+            queue.submit(ScriptJob(job_name=name, job_priority=priority, script_location="-", **more))
+        log = Runner(queue, runners={ScriptJob: run}).run(max_cycles=2)
+    return spark.createDataFrame([(i, e["cycle"], e["job_name"], e["success"]) for i, e in enumerate(log)], "step int, cycle int, job_name string, success boolean")
+
+
+@query("SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")
+def q33_distinct(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment").distinct()
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def q34_cube(spark, sf_dir):
+    return table(spark, sf_dir, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))

@@ -25,8 +25,10 @@ from .common import keep
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 512
 LEVELS = 8
-#: Processing stops when at most this many times k rows may still be members.
-FEW = 8
+#: Processing stops when at most this share of a block's rows may still be members: scoring those exactly is then cheaper.
+FEW = 0.6
+#: The segments are processed in so many rounds, with a look at who may still be a member after each.
+ROUNDS = 8
 
 
 def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int = 64) -> DataFrame:
@@ -50,36 +52,38 @@ def search(index: tuple, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, n
     """(vec_ids, scores) of the k best rows of the block but those with the query's id; ties to the smaller id."""
     ids, x, order, ends, low, high = index
     n, dims = x.shape
-    acc = np.zeros(n, np.int64)
     others = ids != own
-    acc[~others] = -(1 << 60)
-    total = int(others.sum())
     alive = np.flatnonzero(others)
-    if total > FEW * k and dims:
+    few = max(8 * k, int(FEW * n))
+    if len(alive) > few and dims:
+        acc = np.where(others, 0.0, -np.inf)
         up = q[:, None] > 0
         lower, upper = np.where(up, q[:, None] * low, q[:, None] * high), np.where(up, q[:, None] * high, q[:, None] * low)
         least = lower.min(1, keepdims=True)
         gain, best, width = lower - least, upper - least, upper - lower
-        ranked = np.argsort(-best, axis=None, kind="stable")
-        dim, seg = np.unravel_index(ranked, best.shape)
-        step = max(1, len(ranked) // 16)
-        pending = np.sort(best, axis=1)[:, ::-1]
-        used, widest = np.zeros(dims, int), np.zeros(dims, np.int64)
-        for i in range(0, len(ranked), step):
-            for d, s in zip(dim[i : i + step].tolist(), seg[i : i + step].tolist(), strict=True):
-                if g := gain[d, s]:
-                    acc[order[d, ends[s] : ends[s + 1]]] += g
-                widest[d] = max(widest[d], width[d, s])
-                used[d] += 1
-            if i < len(ranked) // 4:
-                continue
-            rest = np.where(used < pending.shape[1], pending[np.arange(dims), np.minimum(used, pending.shape[1] - 1)], 0)
-            slack = np.maximum(rest, widest).sum()
-            bound = np.partition(acc, n - k)[n - k] - slack  # the k-th accumulator is a score that k rows reach
-            alive = np.flatnonzero((acc >= bound) & others)
-            if len(alive) <= FEW * k:
+        dim, seg = np.unravel_index(np.argsort(-best, axis=None, kind="stable"), best.shape)
+        pending = np.where(best > 0, best, 0)
+        widest = np.zeros(dims, np.int64)
+        step = -(-len(dim) // ROUNDS)
+        for i in range(0, len(dim), step):
+            d, s = dim[i : i + step], seg[i : i + step]
+            pending[d, s] = 0
+            np.maximum.at(widest, d, width[d, s])
+            some = gain[d, s] > 0
+            d, s = d[some], s[some]
+            if len(d):
+                rows = np.concatenate([order[a, ends[b] : ends[b + 1]] for a, b in zip(d.tolist(), s.tolist(), strict=True)])
+                acc += np.bincount(rows, np.repeat(gain[d, s].astype(float), ends[s + 1] - ends[s]), n)
+            slack = np.maximum(pending.max(1), widest).sum()
+            bound = np.partition(acc, n - k)[n - k] - slack  # k rows have at least the k-th accumulator
+            if np.count_nonzero(acc >= bound) <= few:
                 break
-    scores = x[alive] @ q
+        alive = np.flatnonzero((acc >= bound) & others)
+    # whole numbers below 2**53, so the products are exact
+    scores = (x[alive] @ q.astype(float)).astype(np.int64)
+    if len(scores) > 4 * k:
+        top = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+        alive, scores = alive[top], scores[top]
     first = np.lexsort((ids[alive], -scores))[:k]
     return ids[alive][first], scores[first]
 
@@ -122,7 +126,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         for pdf in batches:
             for raw, asked in zip(pdf["index"], pdf["queries"], strict=True):
                 ids, x, *rest = pickle.loads(raw)
-                block = (ids, x.astype(np.int64), *(r.astype(np.int64) if r.dtype == np.int16 else r for r in rest))
+                order, ends, low, high = rest
+                block = ids, x.astype(float), order.astype(np.intp), ends, low.astype(np.int64), high.astype(np.int64)
                 out = []
                 for q in asked:
                     v = np.asarray(q["v"], np.int64)

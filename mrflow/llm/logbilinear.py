@@ -205,12 +205,26 @@ def count(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(per_batch, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def _most_frequent(counts: DataFrame, head: int) -> list:
+    """The most frequent tokens by count, at most ``head`` and the end: all whose count reaches a bound that a histogram of counts gives, so that no task sends more."""
+    step = F.floor(F.log2(F.col("c").cast("double")) * 16)
+    least, n = None, 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect(), key=lambda r: -r["step"]):
+        n += r["n"]
+        if n > head:
+            break
+        least = r["c"]
+    wanted = F.col("token") == END
+    top = counts.filter(wanted if least is None else wanted | (F.col("c") >= least)).collect()
+    return sorted(top, key=lambda r: (-r["c"], r["token"]))
+
+
 def fit(texts: DataFrame, head: int = HEAD, model_words: int = MODEL_WORDS) -> tuple[Model, DataFrame]:
     """Learn from texts (text; null is empty). Returns the model and the counts of all tokens."""
     spark = texts.sparkSession
     counts = keep(count(texts), "counts")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(head).collect()
+    top = _most_frequent(counts, head)
     own = [r["token"] for r in top[:model_words]]
     rest = counts.join(F.broadcast(spark.createDataFrame([(t,) for t in own], "token string")), "token", "left_anti") if own else counts
     n, v = np.zeros(SUFFIX_CLASSES, np.int64), np.zeros(SUFFIX_CLASSES, np.int64)

@@ -1,0 +1,406 @@
+"""The training-data operators against brute force on small tables, with nulls, empty texts, ties, repeats and clashing names."""
+
+import itertools
+import math
+import random
+import sys
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from mrflow.llm import chat, decontaminate, langid, logbilinear, mixing, pii, queries, sharding, simhash, topk, urlfilter
+from mrflow.llm.components import components
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+RNG = random.Random(5)
+WORDS = {"en": "the of and thing that with is was reading thought".split(), "de": "der die und zeit nicht schön für eine über".split(), "fr": "le la les être été où français une des".split()}
+
+
+def prose(lang, n):
+    return " ".join(RNG.choice(WORDS[lang]) + RNG.choice(["", "s", "er", "en"]) for _ in range(n))
+
+
+def corpus():
+    rows = []
+    for i in range(150):
+        lang = RNG.choice(sorted(WORDS))
+        rows.append((i, prose(lang, RNG.randint(5, 120)), lang, f"s{i % 5}", 1))
+    rows += [(200, None, None, None, None), (201, "", "en", "s1", 0), (202, "  \n ", None, "s1", 3), (203, "123 !!", "en", None, 5), (None, prose("en", 30), "en", "s2", 1), (None, prose("de", 30), "de", "s2", 1)]
+    rows += [rows[3]] * 4 + [(300 + i, rows[7][1], rows[7][2], "s0", 1) for i in range(40)]
+    rows.append((400, " ".join(prose("en", 50) for _ in range(300)), "en", "s3", 1))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOCS).repartition(3)
+
+
+def words(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\x0b\x0c\r":
+        low = low.replace(c, " ")
+    return [w for w in low.split(" ") if w]
+
+
+def slow_simhash(text, k=4):
+    w = words(text)
+    s = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def slow_components(fps, t):
+    label = list(range(len(fps)))
+    changed = True
+    while changed:
+        changed = False
+        for i, j in itertools.combinations(range(len(fps)), 2):
+            if label[i] != label[j] and bin(fps[i] ^ fps[j]).count("1") <= t:
+                label[i] = label[j] = min(label[i], label[j])
+                changed = True
+    return label
+
+
+def test_simhash_of_long_texts_and_pieces(monkeypatch):
+    texts = [None, "", "One", "a b c", "A b\tc\x0bd  e\x1cf", "é ü Ä ß x y", prose("en", 500)]
+    want = [slow_simhash(t) for t in texts]
+    assert [simhash.simhash(t) % (1 << 64) for t in texts] == want
+    for piece in (7, 64):
+        monkeypatch.setattr(simhash, "PIECE", piece)
+        assert [simhash.simhash(t) % (1 << 64) for t in texts] == want
+
+
+@pytest.mark.parametrize("threshold", [2, 4, 6])
+def test_anchors_lose_no_link(threshold):
+    rng = np.random.default_rng(threshold)
+    for _ in range(300):
+        x = rng.integers(0, 1 << 64, dtype=np.uint64)
+        y = x
+        for b in rng.choice(64, rng.integers(1, threshold + 1), replace=False):
+            y ^= np.uint64(1) << np.uint64(b)
+        keys, home, at = simhash.anchors(np.array([x, y], np.uint64).view(np.int64), threshold)
+        mine, others = set(keys[home & (at == 0)].tolist()), set(keys[at == 1].tolist())
+        assert mine & others
+
+
+def test_near_duplicates(spark, docs, rows):
+    got = simhash.near_duplicates(docs).collect()
+    fps = [slow_simhash(r[1]) for r in rows]
+    label = slow_components(fps, 4)
+    least = {g: min((rows[i][0] for i in range(len(rows)) if label[i] == g and rows[i][0] is not None), default=None) for g in set(label)}
+    want = Counter((rows[i][0], f"{fps[i]:016x}", least[label[i]]) for i in range(len(rows)))
+    assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got) == want
+    kept = simhash.keep_one(docs.withColumn("fp", F.lit("clash")), shingle=4)
+    assert kept.columns == [*docs.columns, "fp"] and kept.count() == len(set(label))
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_crowded_anchors_are_dealt_to_parts(spark):
+    fps = spark.createDataFrame([(i,) for i in range(200)], "fp long")
+    for hot in (20, 10_000):
+        got = components(simhash.links(fps, 4, hot)).collect()
+        assert {r["component"] for r in got} == {0} and len(got) == 199
+
+
+def test_components_of_chains(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(1, 61)} | {101: 100}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_language(spark, docs, rows):
+    model = langid.fit(docs.filter("doc_id % 4 <> 2"))
+    got = langid.identify(docs.withColumn("score", F.lit(1)), model).collect()
+    assert len(got) == len(rows)
+    held = [r for r in got if r["doc_id"] is not None and r["doc_id"] % 4 == 2 and r["lang"] and r["text"] and r["text"][0].isalpha()]
+    assert np.mean([r["language"]["lang_pred"] == r["lang"] for r in held]) > 0.95
+    for r in got:
+        assert 0 <= r["language"]["score"] <= 1
+        assert (r["language"]["lang_pred"] == "und") == (not any(c.isalpha() for c in r["text"] or ""))
+    nothing = langid.fit(docs.limit(0))
+    assert nothing.predict("text") == ("und", 0.0) and langid.fit(docs.withColumn("lang", F.lit(None).cast("string"))).langs == []
+
+
+def test_language_counts_do_not_depend_on_pieces(monkeypatch):
+    text = "Ein  Text -- mit ÄÖ und 12 Zahlen,x y𝒳z " * 9
+    whole = langid.counts(text)
+    for piece in (1, 5, 50):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        part = langid.counts(text)
+        assert (part[0] == whole[0]).all() and (part[1] == whole[1]).all()
+
+
+def slow_distance(x, y):
+    """Fewest edits between x and any passage of y."""
+    row = [0] * (len(y) + 1)
+    for i, a in enumerate(x):
+        new = [i + 1]
+        for j, b in enumerate(y):
+            new.append(min(row[j] + (a != b), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontamination(spark):
+    items = [(i, prose("en", 30)) for i in range(6)] + [(10, None), (11, ""), (12, "short"), (13, prose("de", 20))]
+    texts = []
+    for i in range(60):
+        text = prose(RNG.choice(sorted(WORDS)), 80)
+        if i % 2:
+            passage = list(RNG.choice(items)[1] or "the")
+            for _ in range(RNG.randint(0, 22) if len(passage) > 50 else 0):
+                at = RNG.randrange(len(passage))
+                passage[at : at + 1] = RNG.choice([[], ["x"], ["y", passage[at]]])
+            text = text[:90] + " " + "".join(passage).upper() + " " + text[90:]
+        texts.append((i, text))
+    texts += [(100, None), (101, ""), (102, items[0][1]), (102, items[0][1])]
+    index = decontaminate.Index.of(items)
+    fold = lambda t: decontaminate.fold(t)[0].tolist()
+    for _, t in texts:
+        found = {f[0] for f in index.find(t)}
+        want = {index.ids[j] for j, x in enumerate(index.texts) if t and slow_distance(x.tolist(), fold(t)) <= index.k[j]}
+        assert found == want
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontaminate.find_passages(docs, bench).collect()
+    assert sum(r["found"] is not None for r in out if r["doc_id"] == 102) == 2
+    (f,) = next(r for r in out if r["doc_id"] == 102)["found"]
+    assert (f["item_id"], f["start"], f["end"], f["edits"]) == (0, 0, len(items[0][1]), 0)
+    assert decontaminate.clean(docs, bench).count() == sum(r["found"] is None for r in out)
+    assert decontaminate.clean(docs, bench.limit(0)).count() == len(texts) and decontaminate.clean(docs.limit(0), bench).count() == 0
+
+
+def test_long_texts_are_searched_whole(monkeypatch):
+    item = prose("fr", 30)
+    text = prose("en", 4000) + " " + item + " " + prose("en", 4000)
+    index = decontaminate.Index.of([(1, item)])
+    whole = index.find(text)
+    monkeypatch.setattr(decontaminate, "PIECE", 500)
+    assert index.find(text) == whole and [f[0] for f in whole] == [1]
+
+
+def test_sharding(spark, docs, rows):
+    clash = docs.withColumn("shard", F.lit("x")).withColumn("h", F.lit(1))
+    got = sharding.shards(clash, n_shards=16, bucket_rows=16).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+    by = {}
+    for r in got:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert set(by) == set(range(16)) and all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    key = lambda r: (r["shard"], r["slot"], r["doc_id"])
+    assert sorted(map(str, map(key, got))) == sorted(map(str, map(key, sharding.shards(clash, n_shards=16, bucket_rows=16).collect())))
+    assert sharding.shards(docs.limit(0)).count() == 0
+    hot = spark.range(3000).select(F.when(F.col("id") < 1000, F.lit(None)).otherwise(F.col("id")).alias("doc_id"), F.lit("t").alias("text"))
+    places = sorted(r[0] for r in sharding.shuffled(hot, "doc_id", bucket_rows=200).select("__place").collect())
+    assert places == list(range(3000))
+
+
+def test_sharding_writes_files(spark, docs, rows, tmp_path):
+    sharding.write_shards(docs, f"file://{tmp_path}/out", n_shards=4)
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert back.count() == len(rows) and back.select("shard").distinct().count() == 4
+
+
+def slow_targets(sizes):
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    total, stopped = sum(sizes.values()), set()
+    while True:
+        rest = total - sum(3 * sizes[s] for s in stopped)
+        left = sum(weight[s] for s in names if s not in stopped)
+        target = {s: 3 * sizes[s] if s in stopped else rest * weight[s] / left for s in names}
+        over = {s for s in names if s not in stopped and target[s] > 3 * sizes[s]}
+        if not over:
+            return target
+        stopped |= over
+
+
+@pytest.mark.parametrize("block", [16, 1024])
+def test_mixing(spark, docs, rows, block):
+    got = mixing.mix(docs.withColumn("place", F.lit(1)), block=block).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(words(r[1]))
+    want, taken = slow_targets(dict(sizes)), Counter()
+    assert Counter((r["doc_id"], r["source"], r["size"]) for r in got) == Counter((r[0], r[3], len(words(r[1]))) for r in rows)
+    for r in got:
+        assert r["source_size"] == sizes[r["source"]] and math.isclose(r["target"], want[r["source"]], abs_tol=1e-6)
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= 1
+    again = mixing.mix(docs.repartition(5), block=block).collect()
+    assert Counter(map(str, ((r["doc_id"], r["size"], r["taken"]) for r in got))) == Counter(map(str, ((r["doc_id"], r["size"], r["taken"]) for r in again)))
+
+
+def test_mixing_edge_cases(spark, docs):
+    assert mixing.mix(docs.limit(0)).count() == 0
+    none = mixing.mix(spark.createDataFrame([(1, None, None, None, None), (2, " ", None, "a", None)], DOCS)).collect()
+    assert [r["taken"] for r in none] == [0, 0]
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and out.filter("text IS NULL").count() == 0
+
+
+def test_points_fill_evenly(spark):
+    x = [r[0] / (1 << mixing.POINT) for r in spark.range(64).select(mixing.point(F.col("id"))).collect()]
+    assert sorted(x) == [i / 64 for i in range(64)]
+
+
+def test_lm_scores(spark, docs, rows):
+    train = [r for r in rows if zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 7 != 2]
+    held = F.pmod(queries.id_crc(F.col("doc_id")), F.lit(7)) == 2
+    counts = Counter(t for r in train for t in [*words(r[1]), ""])
+    n, v = sum(counts.values()), len(counts)
+    for head in (1 << 16, 20):  # with a small head most words are looked up by a join
+        model, table = logbilinear.fit(docs.filter(~held), head=head, model_words=15)
+        got = logbilinear.score(docs, model, table, keep_cols=("doc_id", "text")).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            t = [*words(r["text"]), ""]
+            base = sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in t)
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(counts[x] > 0 for x in t), n)
+            assert math.isclose(r["base_score"], base, abs_tol=1e-6) and r["score"] < 0
+        assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
+
+
+def test_lm_probabilities_sum_to_one(spark, docs):
+    model, table = logbilinear.fit(docs, model_words=15)
+    m, v = model, model.vocabulary
+    for one, two in ((v.classes - 1, v.classes - 1), (0, 3), (20, 1)):
+        p = np.exp([m.log_p(np.array([w]), np.array([one]), np.array([two]))[0] for w in range(v.classes - 1)])
+        assert math.isclose(p.sum(), 1, abs_tol=1e-4)
+    for k in range(len(v.suffix_tokens)):
+        own = [r["c"] for r in table.filter(logbilinear.suffix_class(F.col("token")) == k).collect() if r["c"] is not None]
+        assert v.suffix_types[k] <= len(own)
+    empty_model, empty = logbilinear.fit(docs.limit(0))
+    out = logbilinear.score(docs.limit(3), empty_model, empty).collect()
+    assert all(r["n_known"] == 0 and math.isfinite(r["score"]) for r in out)
+
+
+def test_pii(spark):
+    text = "Mail a.b9@mail8.example.com or A.B9@MAIL8.EXAMPLE.COM; +1 (988) 555-2485 = +1 988 555 2485 = 988-555-2485; 4532015112830366, 4532 0151 1283 0367; 10.2.3.4 v1.2.3.4.5; 123-45-6789; Frau Müller und Mr. John Smith, г-жа Иванова."
+    clean = "No data here, 2024-01-01, 3.14, 12345 items at 5 @ home."
+    rows = [(1, text), (2, clean), (3, None), (4, ""), (1, text), (5, "10.2.3.4"), (6, "x 10.2.3.4, 10.2.3.5")]
+    out = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string").withColumn("other", F.lit("clash"))).collect()
+    by = {r["doc_id"]: r for r in out}
+    assert len(out) == 7 and by[2]["text"] == clean and by[3]["text"] is None and by[4]["text"] == "" and by[2]["entities"] == 0
+    new = by[1]["text"]
+    for gone in ("a.b9", "988) 555-2485", "4532015112830366", "10.2.3.4", "123-45-6789", "Müller", "John", "Иванова"):
+        assert gone not in new.replace("v1.2.3.4.5", "")
+    assert "v1.2.3.4.5" in new and "Frau " in new and "Mr. " in new and "г-жа " in new and by[1]["entities"] == 12
+    assert by[5]["text"] in by[6]["text"] and by[5]["text"] in new
+    phone = [x.strip() for x in new.split(";")[1].split("=")]
+    assert len({"".join(c for c in p if c.isdigit())[-10:] for p in phone[:2]}) == 1
+    lower, upper = new.split(";")[0].removeprefix("Mail ").split(" or ")
+    assert upper.lower() == lower
+    assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_surrogates_stay_distinct(spark):
+    rows = [(i, f"+1 ({200 + i // 900}) 555-{i % 900 + 1000}") for i in range(5400)]
+    rows += [(10_000 + i, f"a@b{i}.com x@y.org") for i in range(300)]
+    out = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    phones = [r["text"] for r in out if r["doc_id"] < 10_000]
+    assert len(set(phones)) == 5400 and not set(phones) & {t for _, t in rows}
+    mails = [r["text"].split(" ") for r in out if r["doc_id"] >= 10_000]
+    assert len({a for a, _ in mails}) == 300 and len({b for _, b in mails}) == 1
+
+
+def test_chat(spark):
+    rows = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, None, None, "late"), (2, 0, "system", "only"), (None, 0, "ann", "x"), *[(3, i, "u" if i % 2 else "a", f"t{i}") for i in range(700)]]
+    segments = chat.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("key", F.lit(1)))
+    got = segments.collect()
+    one = sorted((r for r in got if r["conv_id"] == 1 and r["speaker"] == "bob"), key=lambda r: r["position"])
+    assert [r["chat_role"] for r in one] == ["system", "user", "assistant", "assistant", "user"] and [r["name"] for r in one] == [None, "ann", None, None, "unknown"]
+    assert not [r for r in got if r["conv_id"] == 2] and len([r for r in got if r["conv_id"] is None]) == 1
+    long = sorted((r for r in got if r["conv_id"] == 3 and r["speaker"] == "a"), key=lambda r: r["position"])
+    assert [r["turn"] for r in long] == list(range(700)) and all(a["end_char"] == b["start_char"] for a, b in itertools.pairwise(long))
+    whole = {(r["conv_id"], r["speaker"]): r for r in chat.dialogues(segments).collect()}
+    text, mask = whole[(1, "ann")]["text"], whole[(1, "ann")]["mask"]
+    assert [text[m["start"] : m["end"]] for m in mask] == ["<|assistant|>\nhi<|end|>\n"]
+    assert chat.perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_top_k(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(0, 0.2, 8).tolist()) for i in range(900)] + [(900 + i, [0.5] * 8) for i in range(300)]
+    rows += [(2000, None), (2020, [None] + [0.1] * 7), (2040, [float("nan")] * 8), (2060, [float("inf")] * 8), (2080, [0.1, 0.2]), (None, [0.3] * 8)]
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), "vec_id", "embedding")
+    got = topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"), 20).collect()
+    sound = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = set()
+    for q, v in sound:
+        if q is not None and q % 20 == 0:
+            scored = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), i is None, i) for i, w in sound if i != q and len(w) == len(v)))[:20]
+            want |= {(q, rank + 1, i, -s) for rank, (s, _, i) in enumerate(scored)}
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want and len(got) == len(want)
+    assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
+
+
+def slow_url(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    ends = [i for i, c in enumerate(rest) if c in "/?#"] + [len(rest)]
+    host, rest = rest[: ends[0]], rest[ends[0] :]
+    path = rest[: min([i for i, c in enumerate(rest) if c in "?#"] + [len(rest)])]
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), path
+
+
+def test_url_filter(spark):
+    urls = [None, "", "no scheme", "http://", "http://A.Example.ORG/es/1", "https://example.org/en/12?x#y", "https://example.org/en/2", "http://notorg/x", "ftp://x.com/de/", "http://com/fr/://z", "http://a.com?p=/de/", "http://É.org/", "http://x.net/a\nb?c"]
+    urls += [f"https://{h}.example.{t}/{p}/{i}" for i in range(40) for h, t, p in (("a", "org", "en"), ("b", "com", "de"), ("c", "net", "fr"))]
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(0, None)], "page_id long, url string").withColumn("host", F.lit("clash"))
+    got = urlfilter.judge(pages).collect()
+    assert len(got) == len(urls) + 1
+    for r in got:
+        host, path = slow_url(urls[r["page_id"]])
+        fits = [(len(h + p), h + p, v) for v, h, p in urlfilter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert (r["host"], r["path"]) == (host, path)
+        assert r["rule"] == (max(fits)[1] if fits else None)
+        assert r["verdict"] == max(fits)[2] if fits else r["verdict"] in ("allow", "block")
+    assert urlfilter.judge(pages.limit(0)).count() == 0
+    assert {r["verdict"] for r in urlfilter.judge(pages.filter("page_id < 3")).collect()} == {"allow"}
+
+
+def test_trees_learn():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(2000, len(urlfilter.FEATURES)))
+    y = ((x[:, 0] > 0) ^ (x[:, 3] > 0.5)).astype(float)
+    start, trees = urlfilter.boost(x[:1500], y[:1500])
+    p = start + sum(t.apply(x[1500:]) for t in trees)
+    assert ((p > 0) == (y[1500:] > 0)).mean() > 0.95
+
+
+def test_pipeline(spark, tmp_path, rows):
+    item = prose("fr", 40)
+    dirty = [(500, prose("fr", 20) + " " + item, "fr", "s1", 1)]
+    spark.createDataFrame(rows + dirty, DOCS).write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    at, left = spark.read.parquet(f"file://{tmp_path}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, at, f"file://{tmp_path}")
+        left.append([r["doc_id"] for r in out.collect()])
+        at = spark.createDataFrame(out.collect(), out.schema)
+    letters = [r for r in rows + dirty if any(c.isalpha() for c in r[1] or "")]
+    assert len(left[0]) == len(letters)
+    assert len(left[1]) == len(set(slow_components([slow_simhash(r[1], 5) for r in letters], 6)))
+    assert 500 in left[1] and 500 not in left[2] and len(left[2]) == len(left[1]) - 1
+    assert set(left[3]) <= set(left[2]) and Counter(left[4]) == Counter(left[3])
+    assert {"shard", "slot"} < set(at.columns)

@@ -4,7 +4,8 @@ Vectors are cut into blocks. In a block every dimension has its rows in posting
 a segment's contribution lies between two bounds; segments are processed by descending upper bound, each adding its lower
 bound to the rows' accumulators. What a row may still gain is at most, over the dimensions, the larger of the widest
 processed segment and the best one not processed. Rows that this can't lift to the k-th accumulator are proven out;
-processing stops when few others are left (or nothing is), and those are scored exactly. So the result is exact.
+processing stops when scoring all others exactly takes no more products than postings are left (or none are), and those
+others are scored exactly. So the result is exact, and the rule compares two counts of work, whatever the data.
 
 The stated queries meet every block of rows in blocks of their own; a block's k best per query are merged by rank.
 """
@@ -25,8 +26,8 @@ from .common import keep
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 512
 LEVELS = 8
-#: Processing stops when at most this share of a block's rows may still be members: scoring those exactly is then cheaper.
-FEW = 0.6
+#: Blocks of at most this many times k rows are scored outright.
+FEW = 8
 #: The segments are processed in so many rounds, with a look at who may still be a member after each.
 ROUNDS = 8
 
@@ -54,8 +55,7 @@ def search(index: tuple, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, n
     n, dims = x.shape
     others = ids != own
     alive = np.flatnonzero(others)
-    few = max(8 * k, int(FEW * n))
-    if len(alive) > few and dims:
+    if len(alive) > FEW * k and dims:
         acc = np.where(others, 0.0, -np.inf)
         up = q[:, None] > 0
         lower, upper = np.where(up, q[:, None] * low, q[:, None] * high), np.where(up, q[:, None] * high, q[:, None] * low)
@@ -65,6 +65,7 @@ def search(index: tuple, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, n
         pending = np.where(best > 0, best, 0)
         widest = np.zeros(dims, np.int64)
         step = -(-len(dim) // ROUNDS)
+        left = int((np.diff(ends) * (gain > 0)).sum())  # postings still to be added up
         for i in range(0, len(dim), step):
             d, s = dim[i : i + step], seg[i : i + step]
             pending[d, s] = 0
@@ -73,10 +74,11 @@ def search(index: tuple, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, n
             d, s = d[some], s[some]
             if len(d):
                 rows = np.concatenate([order[a, ends[b] : ends[b + 1]] for a, b in zip(d.tolist(), s.tolist(), strict=True)])
+                left -= len(rows)
                 acc += np.bincount(rows, np.repeat(gain[d, s].astype(float), ends[s + 1] - ends[s]), n)
             slack = np.maximum(pending.max(1), widest).sum()
             bound = np.partition(acc, n - k)[n - k] - slack  # k rows have at least the k-th accumulator
-            if np.count_nonzero(acc >= bound) <= few:
+            if np.count_nonzero(acc >= bound) * dims <= left:
                 break
         alive = np.flatnonzero((acc >= bound) & others)
     # whole numbers below 2**53, so the products are exact

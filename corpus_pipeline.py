@@ -22,8 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group, the one with the smallest id."""
-    return simhash.keep_one(docs, shingle=5, threshold=6)
+    """Keep one document of each group, the one with the smallest id: shingles of five words, a similarity of 0.8."""
+    return simhash.keep_one(docs, shingle=5, threshold=7, similarity=0.8)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

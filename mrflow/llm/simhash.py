@@ -1,7 +1,12 @@
 """SimHash near-duplicates, found by anchor-point covering.
 
 A fingerprint has 64 bits, bit i being 1 if more than half of a text's shingle hashes have it. Two fingerprints link if
-at most ``threshold`` bits differ. The bits are cut into ``threshold // 2 + 1`` blocks, so in one block at most one bit
+at most ``threshold`` bits differ. Where a similarity is given, hashes have 128 bits: the first 64 are the fingerprint, the
+others confirm. All pairs that meet at an anchor are then linked if their 128 bits differ in no more than is expected at
+that similarity: this finds every such pair with a block in which at most one bit differs (so all within ``threshold``
+bits), and keeps texts that are near by chance apart in a corpus of any size.
+
+The bits are cut into ``threshold // 2 + 1`` blocks, so in one block at most one bit
 differs. In every block the anchors are the words of a covering code: Hamming(15, 11), of covering radius 1, on the
 first 15 bits and all words on the rest. A fingerprint has one home anchor within the covering radius and is
 replicated to every anchor within the radius plus one; a linked pair therefore meets at the home anchor of either one.
@@ -13,13 +18,14 @@ Equal fingerprints are brought together before anything is replicated, so copies
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep
@@ -47,9 +53,10 @@ def _words(text: str) -> Iterator[list[bytes]]:
     yield [rest] if rest else []
 
 
-def simhash(text: str | None, k: int = 4) -> int:
-    """The fingerprint as a signed 64-bit number; 0 for null and for texts without a word."""
-    ones, n, tail, digest = np.zeros(64, np.int64), 0, [], xxhash.xxh64_digest
+def _majority(text: str | None, k: int, digest: Callable[[bytes, int], bytes]) -> bytes:
+    """The bits that over half of the shingles' hashes have; all 0 for null and for texts without a word."""
+    width = 8 * len(digest(b"", SEED))
+    ones, n, tail = np.zeros(width, np.int64), 0, []
     for words in _words(text or ""):
         words = tail + words
         if len(words) >= k:
@@ -57,7 +64,7 @@ def simhash(text: str | None, k: int = 4) -> int:
             ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
             starts = [0, *ends[:-k].tolist()]
             hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)])
-            bits = np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, 64)
+            bits = np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, width)
             n += len(bits)
             for i in range(0, len(bits), 1 << 16):
                 ones += bits[i : i + (1 << 16)].sum(0, dtype=np.int64)
@@ -65,17 +72,35 @@ def simhash(text: str | None, k: int = 4) -> int:
         tail = words
     if not n and tail:
         ones, n = np.unpackbits(np.frombuffer(digest(b" ".join(tail), SEED), np.uint8)).astype(np.int64), 1
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
+    return np.packbits(2 * ones > n).tobytes()
+
+
+def simhash(text: str | None, k: int = 4) -> int:
+    """The fingerprint as a signed 64-bit number."""
+    return int.from_bytes(_majority(text, k, xxhash.xxh64_digest), "big", signed=True)
+
+
+def wide_simhash(text: str | None, k: int = 5) -> tuple[int, int]:
+    """Fingerprint and confirming bits, two signed 64-bit numbers."""
+    bits = _majority(text, k, xxhash.xxh3_128_digest)
+    return int.from_bytes(bits[:8], "big", signed=True), int.from_bytes(bits[8:], "big", signed=True)
 
 
-def fingerprint_udf(shingle: int = 4):
-    @F.pandas_udf("long")
-    def fingerprint(texts: pd.Series) -> pd.Series:
-        return pd.Series([simhash(t, shingle) for t in texts], dtype="int64")
+def fingerprint_udf(shingle: int = 4, wide: bool = False):
+    @F.pandas_udf("fp long, check long" if wide else "fp long")
+    def fingerprint(texts: pd.Series) -> pd.DataFrame:
+        if wide:
+            return pd.DataFrame([wide_simhash(t, shingle) for t in texts], columns=["fp", "check"], dtype="int64")
+        return pd.DataFrame({"fp": [simhash(t, shingle) for t in texts]}, dtype="int64")
 
     return fingerprint
 
 
+def expected_bits(similarity: float, bits: int = 128) -> int:
+    """How many of the bits differ on average where two sets of shingles have this Jaccard similarity, rounded up."""
+    return math.ceil(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
 @cache
 def _hamming() -> tuple[np.ndarray, np.ndarray]:
     """For each 15-bit word: its nearest codeword, and all 8 codewords within distance 2 (the nearest one again where there are fewer)."""
@@ -125,11 +150,15 @@ def anchors(fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np
     return np.concatenate(keys), np.concatenate(homes), np.concatenate(at)
 
 
-def _compare(keys: np.ndarray, part: np.ndarray, home: np.ndarray, fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the home members of each anchor and its other members, as a spanning forest."""
+def _compare(keys: np.ndarray, part: np.ndarray, home: np.ndarray, words: list[np.ndarray], most: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the home members of each anchor and its other members, as a spanning forest: places of rows.
+
+    A link needs the first i + 1 words of two rows to differ in at most most[i] bits, for every i, but not to be equal.
+    """
     new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (part[1:] != part[:-1])])
     size = np.diff(np.r_[new, len(keys)])
     first, many = np.repeat(new, size), np.repeat(size, size)
+    _, row, node = np.unique(np.rec.fromarrays(words), return_index=True, return_inverse=True)
     who = np.flatnonzero(home & (many > 1))
     us, vs, done = [], [], 0
     total = np.cumsum(many[who])
@@ -139,35 +168,42 @@ def _compare(keys: np.ndarray, part: np.ndarray, home: np.ndarray, fps: np.ndarr
         n = many[x]
         mine = np.repeat(x, n)
         other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[x], n)
-        a, b = fps[mine], fps[other]
-        ok = (np.bitwise_count((a ^ b).view(np.uint64)) <= threshold) & (a != b)
-        a, b = local_forest(a[ok], b[ok])
+        differ = np.zeros(len(mine), np.int64)
+        for w, at_most in zip(words, most, strict=True):
+            differ += np.bitwise_count((w[mine] ^ w[other]).view(np.uint64))
+            near = differ <= at_most
+            mine, other, differ = mine[near], other[near], differ[near]
+        a, b = local_forest(node[mine[differ > 0]], node[other[differ > 0]])
         us.append(a)
         vs.append(b)
         done = upto
     if not us:
-        return fps[:0], fps[:0]
-    return local_forest(np.concatenate(us), np.concatenate(vs))
+        return row[:0], row[:0]
+    a, b = local_forest(np.concatenate(us), np.concatenate(vs))
+    return row[a], row[b]
 
 
-def links(fps: DataFrame, threshold: int = 4, hot: int = HOT_ANCHOR) -> DataFrame:
-    """fps (fp: long, distinct) to links (u, v: long) whose components are those of the full link graph."""
+def links(fps: DataFrame, threshold: int = 4, hot: int = HOT_ANCHOR, similarity: float | None = None) -> DataFrame:
+    """fps (fp: long; check: long where a similarity is given; distinct) to links (u, v: long) of nodes, whose components are those of the full link graph."""
+    names = ["fp"] if similarity is None else ["fp", "check"]
+    most = [threshold] if similarity is None else [expected_bits(similarity)] * 2
+    columns = ", ".join(f"{n} long" for n in names)
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             own = pdf["fp"].to_numpy(np.int64)
             for i in range(0, len(own), 20_000):
-                some = own[i : i + 20_000]
-                key, home, at = anchors(some, threshold)
-                yield pd.DataFrame({"key": key, "home": home, "fp": some[at]})
+                key, home, at = anchors(own[i : i + 20_000], threshold)
+                yield pd.DataFrame({"key": key, "home": home} | {n: pdf[n].to_numpy(np.int64)[i + at] for n in names})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         n = 0
 
         def flush(pdf: pd.DataFrame) -> pd.DataFrame:
-            u, v = _compare(pdf["key"].to_numpy(), pdf["part"].to_numpy(), pdf["home"].to_numpy(), pdf["fp"].to_numpy(), threshold)
-            return pd.DataFrame({"u": u, "v": v})
+            words = [pdf[name].to_numpy() for name in names]
+            u, v = _compare(pdf["key"].to_numpy(), pdf["part"].to_numpy(), pdf["home"].to_numpy(), words, most)
+            return pd.DataFrame({f"{side}_{name}": w[at] for side, at in (("u", u), ("v", v)) for name, w in zip(names, words, strict=True)})
 
         for pdf in batches:
             held.append(pdf)
@@ -182,7 +218,7 @@ def links(fps: DataFrame, threshold: int = 4, hot: int = HOT_ANCHOR) -> DataFram
         if n:
             yield flush(pd.concat(held, ignore_index=True))
 
-    spread = keep(fps.select("fp").mapInPandas(replicate, "key long, home boolean, fp long"), "anchors")
+    spread = keep(fps.select(*names).mapInPandas(replicate, f"key long, home boolean, {columns}"), "anchors")
     crowd = spread.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot)
     # at most rows / hot anchors are crowded; their home members are dealt to parts, their other members go to all parts
     crowded = {r["key"]: int(r["n"] // hot + 1) for r in crowd.collect()}
@@ -191,43 +227,53 @@ def links(fps: DataFrame, threshold: int = 4, hot: int = HOT_ANCHOR) -> DataFram
         spread = spread.join(F.broadcast(named), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        spread = spread.select("key", every.alias("part"), (F.col("home") & (F.col("part") == own)).alias("home"), "fp")
+        spread = spread.select("key", every.alias("part"), (F.col("home") & (F.col("part") == own)).alias("home"), *names)
     else:
         spread = spread.withColumn("part", F.lit(0))
     width = int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return spread.select("key", "part", "home", "fp").repartition(width, "key", "part").sortWithinPartitions("key", "part").mapInPandas(compare, "u long, v long")
+    found = ", ".join(f"{side}_{n} long" for side in "uv" for n in names)
+    met = spread.select("key", "part", "home", *names).repartition(width, "key", "part").sortWithinPartitions("key", "part").mapInPandas(compare, found)
+    return met.select(*[_node([f"{side}_{n}" for n in names]).alias(side) for side in "uv"])
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, threshold: int = 4) -> tuple[DataFrame, DataFrame]:
+def _node(words: list[str]) -> Column:
+    """What names a fingerprint in the link graph: itself, or a hash of it and its confirming bits."""
+    return F.col(words[0]) if len(words) == 1 else F.xxhash64(*words)
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, threshold: int = 4, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Fingerprint every text and find the groups.
 
-    Returns (members, groups): members has one row per input row (doc_id, row_hash, fp), groups one per distinct
-    fingerprint (fp, group_fp, component_id, copies). component_id is the smallest id in the group; null ids are
+    Returns (members, groups): members has one row per input row (doc_id, row_hash, node, fp), groups one per distinct
+    fingerprint (node, group_node, component_id, copies). component_id is the smallest id in the group; null ids are
     ignored, and it is null if all are. Null and wordless texts have fingerprint 0 and are linked like any other.
     Repeated rows are members each. Other columns are not read. An empty table gives empty results.
     """
-    cols = [F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_hash"), fingerprint_udf(shingle)(F.col(text_col)).alias("fp")]
-    members = keep(docs.select(*cols), "fingerprints")
-    distinct = keep(members.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct")
-    found = components(links(distinct, threshold))
-    grouped = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("group_fp"), "least", "copies")
-    low = grouped.groupBy("group_fp").agg(F.min("least").alias("component_id"))
-    return members, keep(grouped.join(low, "group_fp").select("fp", "group_fp", "component_id", "copies"), "groups")
+    words = ["fp"] if similarity is None else ["fp", "check"]
+    made = fingerprint_udf(shingle, similarity is not None)(F.col(text_col))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_hash"), made.alias("made"))
+    own = own.select("doc_id", "row_hash", *[F.col(f"made.{w}") for w in words])
+    members = keep(own.withColumn("node", _node(words)), "fingerprints")
+    distinct = keep(members.groupBy("node", *words).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct")
+    found = components(links(distinct, threshold, similarity=similarity)).withColumnRenamed("node", "of")
+    grouped = distinct.join(found, distinct["node"] == found["of"], "left").select("node", F.coalesce("component", "node").alias("group_node"), "least", "copies")
+    low = grouped.groupBy("group_node").agg(F.min("least").alias("component_id"))
+    return members, keep(grouped.join(low, "group_node").select("node", "group_node", "component_id", "copies"), "groups")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, threshold: int = 4) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (16 hex digits), component_id, group_copies (rows with this fingerprint)."""
+    """One row per input row: doc_id, fingerprint (16 hex digits), component_id, fingerprint_copies (rows with this fingerprint)."""
     members, groups = near_groups(docs, id_col, text_col, shingle, threshold)
-    return members.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("copies").alias("fingerprint_copies"))
+    return members.join(groups, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("copies").alias("fingerprint_copies"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 4, similarity: float | None = None) -> DataFrame:
     """docs with one row of each near-duplicate group: the one with the smallest id (null ids last, then by content)."""
-    members, groups = near_groups(docs, id_col, text_col, shingle, threshold)
+    members, groups = near_groups(docs, id_col, text_col, shingle, threshold, similarity)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash"))
     # repeated rows are one before a group's rows meet
-    best = members.select("fp", "doc_id", "row_hash").distinct().groupBy("fp").agg(first.alias("best"))
-    best = best.join(groups.select("fp", "group_fp"), "fp").groupBy("group_fp").agg(F.min("best").alias("best"))
+    best = members.select("node", "doc_id", "row_hash").distinct().groupBy("node").agg(first.alias("best"))
+    best = best.join(groups.select("node", "group_node"), "node").groupBy("group_node").agg(F.min("best").alias("best"))
     best = keep(best.select(F.col("best.row_hash").alias("__row_hash")), "best")
     own = F.xxhash64(F.col(id_col), F.col(text_col))
     kept = docs.withColumn("__row_hash", own).join(best, "__row_hash", "left_semi")

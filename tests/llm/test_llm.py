@@ -63,13 +63,28 @@ def slow_simhash(text, k=4):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def slow_components(fps, t):
+def slow_wide(text, k=5):
+    """Bits 0 to 63 are those that confirm, the others the fingerprint."""
+    w = words(text)
+    s = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh3_128_intdigest(x.encode(), 42) for x in s]
+    return sum(1 << b for b in range(128) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def meet(x, y, threshold):
+    """Whether one of two wide fingerprints is replicated to the other's home anchor."""
+    fps = np.array([x >> 64, y >> 64], np.uint64).view(np.int64)
+    keys, home, at = simhash.anchors(fps, threshold)
+    return any(set(keys[home & (at == i)].tolist()) & set(keys[at == 1 - i].tolist()) for i in (0, 1))
+
+
+def slow_components(fps, t, linked=None):
     label = list(range(len(fps)))
     changed = True
     while changed:
         changed = False
         for i, j in itertools.combinations(range(len(fps)), 2):
-            if label[i] != label[j] and bin(fps[i] ^ fps[j]).count("1") <= t:
+            if label[i] != label[j] and bin(fps[i] ^ fps[j]).count("1") <= t and (linked is None or linked(fps[i], fps[j])):
                 label[i] = label[j] = min(label[i], label[j])
                 changed = True
     return label
@@ -84,7 +99,7 @@ def test_simhash_of_long_texts_and_pieces(monkeypatch):
         assert [simhash.simhash(t) % (1 << 64) for t in texts] == want
 
 
-@pytest.mark.parametrize("threshold", [2, 4, 6])
+@pytest.mark.parametrize("threshold", [2, 4, 6, 7])
 def test_anchors_lose_no_link(threshold):
     rng = np.random.default_rng(threshold)
     for _ in range(300):
@@ -109,6 +124,23 @@ def test_near_duplicates(spark, docs, rows):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_groups_with_confirming_bits(spark):
+    base = [prose("en", 120).split() for _ in range(12)]
+    texts = [None, "", "one two", "one two"]
+    for w in base:
+        texts.append(" ".join(w))
+        for changes in (1, 2, 4, 8, 16):
+            v = list(w)
+            for _ in range(changes):
+                v[RNG.randrange(len(v))] = "changed"
+            texts.append(" ".join(v))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    members, groups = simhash.near_groups(docs, shingle=5, threshold=7, similarity=0.8)
+    got = {r["doc_id"]: r["component_id"] for r in members.join(groups, "node").collect()}
+    assert simhash.expected_bits(0.8) == 20 and got == dict(enumerate(slow_components([slow_wide(t) for t in texts], 20, lambda x, y: meet(x, y, 7))))
+    assert simhash.keep_one(docs, shingle=5, threshold=7, similarity=0.8).count() == len(set(got.values())) < len(texts) - 12
+
+
 def test_crowded_anchors_are_dealt_to_parts(spark):
     fps = spark.createDataFrame([(i,) for i in range(200)], "fp long")
     for hot in (20, 10_000):
@@ -400,7 +432,7 @@ def test_pipeline(spark, tmp_path, rows):
         at = spark.createDataFrame(out.collect(), out.schema)
     letters = [r for r in rows + dirty if any(c.isalpha() for c in r[1] or "")]
     assert len(left[0]) == len(letters)
-    assert len(left[1]) == len(set(slow_components([slow_simhash(r[1], 5) for r in letters], 6)))
+    assert len(left[1]) == len(set(slow_components([slow_wide(r[1]) for r in letters], 20, lambda x, y: meet(x, y, 7))))
     assert 500 in left[1] and 500 not in left[2] and len(left[2]) == len(left[1]) - 1
     assert set(left[3]) <= set(left[2]) and Counter(left[4]) == Counter(left[3])
     assert {"shard", "slot"} < set(at.columns)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import itertools
 import json
 import math
+import operator
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -16,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import MapType, StructType, VariantType
+from pyspark.sql.types import BinaryType, BooleanType, DateType, IntegralType, MapType, StringType, StructType, VariantType
 
 ROWS = 10_000
+PLAIN = (StringType, IntegralType, BooleanType, DateType, BinaryType)
 
 
 def _tuples(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -35,14 +37,19 @@ def _arrow(schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema), prefers_large_types=False)
 
 
-def flat_map(df: DataFrame, function: Callable[[Any, Any], Sequence], schema: str, aux: Any = None) -> DataFrame:
-    """function(line, aux) to any number of items. A one-column df gives lines, any other gives rows as tuples."""
+def flat_map(df: DataFrame, function: Callable[[Any, Any], Sequence], schema: str, aux: Any = None, keys: Sequence[str] = (), merge: Callable[[tuple, tuple], tuple] | None = None, most: int = 100_000) -> DataFrame:
+    """function(line, aux) to any number of items. A one-column df gives lines, any other gives rows as tuples.
+
+    With ``merge`` a task merges its items of equal keys before they leave it, as ``combine`` does.
+    """
     shared, out, single = df.sparkSession.sparkContext.broadcast(aux), _arrow(schema), len(df.columns) == 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = (row[0] if single else row for b in batches for row in _tuples(b))
-        yield from _batches((item for line in lines for item in function(line, shared.value)), out)
+        items = (item for line in lines for item in function(line, shared.value))
+        yield from _batches(items if merge is None else _merged(items, key, merge, most), out)
 
+    key = _key_of(StructType.fromDDL(schema), keys)
     return df.mapInArrow(run, schema)
 
 
@@ -51,6 +58,25 @@ def _same(key: tuple) -> tuple:
     return tuple(("nan",) if isinstance(k, float) and math.isnan(k) else (type(k).__name__, k) if not isinstance(k, (list, dict)) else json.dumps(k, sort_keys=True, default=str) for k in key)
 
 
+def _key_of(schema: StructType, keys: Sequence[str]) -> Callable[[Sequence], Any]:
+    """What tells keys apart in a row. Values of plain types do so as they are."""
+    at = [schema.names.index(k) for k in keys]
+    if at and all(isinstance(schema[i].dataType, PLAIN) for i in at):
+        return operator.itemgetter(*at)
+    return lambda row: _same(tuple(row[i] for i in at))
+
+
+def _merged(rows: Iterator[Sequence], key: Callable[[Sequence], Any], function: Callable[[tuple, tuple], tuple], most: int) -> Iterator[Sequence]:
+    held: dict[Any, Sequence] = {}
+    for row in rows:
+        k = key(row)
+        held[k] = function(held[k], row) if k in held else row
+        if len(held) >= most:
+            yield from held.values()
+            held = {}
+    yield from held.values()
+
+
 def sortable(df: DataFrame, names: Sequence[str]) -> list:
     """Sort expressions for any type; maps by their sorted entries, variants by their JSON."""
     kinds = {f.name: f.dataType for f in df.schema}
@@ -68,11 +94,11 @@ def reduce_groups(df: DataFrame, keys: Sequence[str], function: Callable[[Iterat
     """function(items of a key, aux) to any number of items. Items come as whole tuples, ordered by order_by (all other columns if not given)."""
     values = [c for c in df.columns if c not in keys] if order_by is None else list(order_by)
     shared, out = df.sparkSession.sparkContext.broadcast(aux), _arrow(schema)
-    at = [df.columns.index(k) for k in keys]
+    key = _key_of(df.schema, keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for b in batches for row in _tuples(b))
-        groups = itertools.groupby(rows, key=lambda r: _same(tuple(r[i] for i in at)))
+        groups = itertools.groupby(rows, key=key)
         yield from _batches((item for _, group in groups for item in function(group, shared.value)), out)
 
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -88,17 +114,9 @@ def sub_groups(items: Iterator[tuple], at: int = 0) -> Iterator[tuple[Any, Itera
 def combine(df: DataFrame, keys: Sequence[str], function: Callable[[tuple, tuple], tuple], most: int = 100_000) -> DataFrame:
     """Merge items of equal keys within a task before the exchange, with at most ``most`` keys held: eases hot keys of mergeable reducers."""
     out = to_arrow_schema(df.schema, prefers_large_types=False)
-    at = [df.columns.index(k) for k in keys]
+    key = _key_of(df.schema, keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple] = {}
-        for b in batches:
-            for row in _tuples(b):
-                key = _same(tuple(row[i] for i in at))
-                held[key] = function(held[key], row) if key in held else row
-                if len(held) >= most:
-                    yield from _batches(iter(list(held.values())), out)
-                    held.clear()
-        yield from _batches(iter(list(held.values())), out)
+        yield from _batches(_merged((row for b in batches for row in _tuples(b)), key, function, most), out)
 
     return df.mapInArrow(run, df.schema)

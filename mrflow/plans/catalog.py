@@ -115,8 +115,8 @@ def _add_up(group, aux):
 
 @query(Q01)
 def q10_opaque_token_count(spark, sf_dir):
-    items = opaque.flat_map(table(spark, sf_dir, "documents").select("text"), _count_line, "token string, n long")
-    merged = opaque.combine(items, ["token"], lambda a, b: (a[0], a[1] + b[1]))
+    docs = table(spark, sf_dir, "documents").select("text")
+    merged = opaque.flat_map(docs, _count_line, "token string, n long", keys=["token"], merge=lambda a, b: (a[0], a[1] + b[1]))
     return opaque.reduce_groups(merged, ["token"], _add_up, "token string, n long")
 
 

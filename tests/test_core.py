@@ -259,3 +259,19 @@ def test_config():
 
 def test_nan_keys_are_one():
     assert opaque._same((math.nan,)) == opaque._same((float("nan"),)) and opaque._same((1,)) != opaque._same((True,))
+
+
+def test_merging_in_the_task_and_after_it_agree(spark):
+    rows = [(t, i) for i in range(50) for t in ("a b a", "", "c é", None)]
+    lines = spark.createDataFrame(rows, "text string, i long").select("text").repartition(3)
+    count = lambda line, aux: [(w, 1) for w in (line or "").split(" ")]
+    add = lambda a, b: (a[0], a[1] + b[1])
+    total = lambda group, aux: [(g[0][0], sum(n for _, n in g)) for g in [list(group)]]
+    for most in (2, 100):
+        inside = opaque.flat_map(lines, count, "token string, n long", keys=["token"], merge=add, most=most)
+        after = opaque.combine(opaque.flat_map(lines, count, "token string, n long"), ["token"], add, most)
+        for items in (inside, after):
+            got = {tuple(r) for r in opaque.reduce_groups(items, ["token"], total, "token string, n long").collect()}
+            assert got == {("a", 100), ("b", 50), ("", 100), ("c", 50), ("é", 50)}
+    floats = spark.createDataFrame([(math.nan, 1), (0.0, 1), (-0.0, 2), (math.nan, 4)], "x double, n long").coalesce(1)
+    assert sorted(r["n"] for r in opaque.combine(floats, ["x"], add).collect()) == [3, 5]

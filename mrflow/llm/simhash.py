@@ -1,12 +1,13 @@
 """SimHash near-duplicates, found by anchor-point covering.
 
 A fingerprint has 64 bits, bit i being 1 if more than half of a text's shingle hashes have it. Two fingerprints link if
-at most ``threshold`` bits differ. Where a similarity is given, hashes have 128 bits: the first 64 are the fingerprint, the
-others confirm. All pairs that meet at an anchor are then linked if their 128 bits differ in no more than is expected at
-that similarity: this finds every such pair with a block in which at most one bit differs (so all within ``threshold``
-bits), and keeps texts that are near by chance apart in a corpus of any size.
+at most ``threshold`` bits differ. Where a similarity is given, hashes have 256 bits: the first 64 are the fingerprint, the
+next 64 have anchors as well, and the others confirm. All pairs that meet at an anchor are then linked if their 256 bits
+differ in no more than is expected at that similarity (and, to stop early, the first 64 and 128 bits in no more than LEAD,
+which such pairs exceed once in tens of thousands). This finds every such pair with a block in which at most one bit
+differs, so all within ``threshold`` bits of either word, and keeps texts that are near by chance apart in a corpus of any size.
 
-The bits are cut into ``threshold // 2 + 1`` blocks, so in one block at most one bit
+The bits are cut into ``threshold // 2 + 1`` blocks a word, so in one block at most one bit
 differs. In every block the anchors are the words of a covering code: Hamming(15, 11), of covering radius 1, on the
 first 15 bits and all words on the rest. A fingerprint has one home anchor within the covering radius and is
 replicated to every anchor within the radius plus one; a linked pair therefore meets at the home anchor of either one.
@@ -18,6 +19,7 @@ Equal fingerprints are brought together before anything is replicated, so copies
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -36,6 +38,11 @@ SEED = 42
 PIECE = 1 << 22
 #: Comparisons made at once.
 AT_ONCE = 1 << 21
+#: The words of a wide fingerprint; the first ANCHORED have anchors.
+WIDE = ("fp", "check", "check2", "check3")
+ANCHORED = 2
+#: Of the bits that may differ in all words, the shares that may differ in the first one and in the first two.
+LEAD = (0.52, 0.88)
 #: An anchor with more members than this is dealt to several tasks by its home members.
 HOT_ANCHOR = 50_000
 
@@ -53,54 +60,80 @@ def _words(text: str) -> Iterator[list[bytes]]:
     yield [rest] if rest else []
 
 
-def _majority(text: str | None, k: int, digest: Callable[[bytes, int], bytes]) -> bytes:
+def _count_ones(bits: np.ndarray) -> np.ndarray:
+    """Column sums of a 0/1 matrix of bytes, 255 rows at a time so that a byte holds a sum."""
+    whole = len(bits) // 255 * 255
+    sums = bits[:whole].reshape(-1, 255, bits.shape[1]).sum(1, dtype=np.uint8)
+    return sums.sum(0, dtype=np.int64) + bits[whole:].sum(0, dtype=np.int64)
+
+
+def _bits64(hashes: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, 64)
+
+
+def _bits256(hashes: bytes) -> np.ndarray:
+    """The 128 bits of each hash, and 128 more from mixing its two words."""
+    own = np.frombuffer(hashes, ">u8").reshape(-1, 2).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        more = own * np.uint64(0x9E3779B97F4A7C15)
+        more ^= more >> np.uint64(32)
+        more *= np.uint64(0xD6E8FEB86659FD93)
+        more ^= more >> np.uint64(29)
+    return np.unpackbits(np.concatenate([own, more], 1).astype(">u8").view(np.uint8), axis=1)
+
+
+def _majority(text: str | None, k: int, digest: Callable[[bytes, int], bytes], to_bits: Callable[[bytes], np.ndarray]) -> bytes:
     """The bits that over half of the shingles' hashes have; all 0 for null and for texts without a word."""
-    width = 8 * len(digest(b"", SEED))
-    ones, n, tail = np.zeros(width, np.int64), 0, []
+    ones, n, tail = to_bits(digest(b"", SEED))[0] * np.int64(0), 0, []
     for words in _words(text or ""):
         words = tail + words
         if len(words) >= k:
             joined = b" ".join(words)
             ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
             starts = [0, *ends[:-k].tolist()]
-            hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)])
-            bits = np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, width)
-            n += len(bits)
-            for i in range(0, len(bits), 1 << 16):
-                ones += bits[i : i + (1 << 16)].sum(0, dtype=np.int64)
+            hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)]
+            n += len(hashes)
+            for i in range(0, len(hashes), 1 << 14):
+                ones += _count_ones(to_bits(b"".join(hashes[i : i + (1 << 14)])))
             words = words[len(words) - k + 1 :]
         tail = words
     if not n and tail:
-        ones, n = np.unpackbits(np.frombuffer(digest(b" ".join(tail), SEED), np.uint8)).astype(np.int64), 1
+        ones, n = to_bits(digest(b" ".join(tail), SEED))[0].astype(np.int64), 1
     return np.packbits(2 * ones > n).tobytes()
 
 
 def simhash(text: str | None, k: int = 4) -> int:
     """The fingerprint as a signed 64-bit number."""
-    return int.from_bytes(_majority(text, k, xxhash.xxh64_digest), "big", signed=True)
+    return int.from_bytes(_majority(text, k, xxhash.xxh64_digest, _bits64), "big", signed=True)
 
 
-def wide_simhash(text: str | None, k: int = 5) -> tuple[int, int]:
-    """Fingerprint and confirming bits, two signed 64-bit numbers."""
-    bits = _majority(text, k, xxhash.xxh3_128_digest)
-    return int.from_bytes(bits[:8], "big", signed=True), int.from_bytes(bits[8:], "big", signed=True)
+def wide_simhash(text: str | None, k: int = 5) -> tuple[int, ...]:
+    """The words of the wide fingerprint as signed 64-bit numbers."""
+    bits = _majority(text, k, xxhash.xxh3_128_digest, _bits256)
+    return tuple(int.from_bytes(bits[i : i + 8], "big", signed=True) for i in range(0, len(bits), 8))
 
 
 def fingerprint_udf(shingle: int = 4, wide: bool = False):
-    @F.pandas_udf("fp long, check long" if wide else "fp long")
+    @F.pandas_udf(", ".join(f"{w} long" for w in WIDE) if wide else "fp long")
     def fingerprint(texts: pd.Series) -> pd.DataFrame:
         if wide:
-            return pd.DataFrame([wide_simhash(t, shingle) for t in texts], columns=["fp", "check"], dtype="int64")
+            return pd.DataFrame([wide_simhash(t, shingle) for t in texts], columns=list(WIDE), dtype="int64")
         return pd.DataFrame({"fp": [simhash(t, shingle) for t in texts]}, dtype="int64")
 
     return fingerprint
 
 
-def expected_bits(similarity: float, bits: int = 128) -> int:
+def expected_bits(similarity: float, bits: int = 64 * len(WIDE)) -> int:
     """How many of the bits differ on average where two sets of shingles have this Jaccard similarity, rounded up."""
     return math.ceil(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def limits(similarity: float) -> list[int]:
+    """How many bits may differ in the first word, the first two, and so on."""
+    most = expected_bits(similarity)
+    return [*(int(share * most) for share in LEAD), *[most] * (len(WIDE) - len(LEAD))]
+
+
 @cache
 def _hamming() -> tuple[np.ndarray, np.ndarray]:
     """For each 15-bit word: its nearest codeword, and all 8 codewords within distance 2 (the nearest one again where there are fewer)."""
@@ -158,7 +191,10 @@ def _compare(keys: np.ndarray, part: np.ndarray, home: np.ndarray, words: list[n
     new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (part[1:] != part[:-1])])
     size = np.diff(np.r_[new, len(keys)])
     first, many = np.repeat(new, size), np.repeat(size, size)
-    _, row, node = np.unique(np.rec.fromarrays(words), return_index=True, return_inverse=True)
+    whole = words[0].view(np.uint64)
+    for w in words[1:]:  # a hash tells the rows apart
+        whole = (whole ^ (whole >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)
+    _, row, node = np.unique(whole, return_index=True, return_inverse=True)
     who = np.flatnonzero(home & (many > 1))
     us, vs, done = [], [], 0
     total = np.cumsum(many[who])
@@ -184,17 +220,17 @@ def _compare(keys: np.ndarray, part: np.ndarray, home: np.ndarray, words: list[n
 
 
 def links(fps: DataFrame, threshold: int = 4, hot: int = HOT_ANCHOR, similarity: float | None = None) -> DataFrame:
-    """fps (fp: long; check: long where a similarity is given; distinct) to links (u, v: long) of nodes, whose components are those of the full link graph."""
-    names = ["fp"] if similarity is None else ["fp", "check"]
-    most = [threshold] if similarity is None else [expected_bits(similarity)] * 2
+    """fps (fp: long; all of WIDE where a similarity is given; distinct) to links (u, v: long) of nodes, whose components are those of the full link graph."""
+    names = ["fp"] if similarity is None else list(WIDE)
+    most = [threshold] if similarity is None else limits(similarity)
+    anchored = names[:ANCHORED]
     columns = ", ".join(f"{n} long" for n in names)
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            own = pdf["fp"].to_numpy(np.int64)
-            for i in range(0, len(own), 20_000):
-                key, home, at = anchors(own[i : i + 20_000], threshold)
-                yield pd.DataFrame({"key": key, "home": home} | {n: pdf[n].to_numpy(np.int64)[i + at] for n in names})
+            for (w, name), i in itertools.product(enumerate(anchored), range(0, len(pdf), 20_000)):
+                key, home, at = anchors(pdf[name].to_numpy(np.int64)[i : i + 20_000], threshold)
+                yield pd.DataFrame({"key": key | (w << 60), "home": home} | {n: pdf[n].to_numpy(np.int64)[i + at] for n in names})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -225,7 +261,7 @@ def links(fps: DataFrame, threshold: int = 4, hot: int = HOT_ANCHOR, similarity:
     if crowded:
         named = spread.sparkSession.createDataFrame(list(crowded.items()), "key long, parts int")
         spread = spread.join(F.broadcast(named), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+        own = F.pmod(F.xxhash64(*names), F.col("parts")).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
         spread = spread.select("key", every.alias("part"), (F.col("home") & (F.col("part") == own)).alias("home"), *names)
     else:
@@ -249,7 +285,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ignored, and it is null if all are. Null and wordless texts have fingerprint 0 and are linked like any other.
     Repeated rows are members each. Other columns are not read. An empty table gives empty results.
     """
-    words = ["fp"] if similarity is None else ["fp", "check"]
+    words = ["fp"] if similarity is None else list(WIDE)
     made = fingerprint_udf(shingle, similarity is not None)(F.col(text_col))
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_hash"), made.alias("made"))
     own = own.select("doc_id", "row_hash", *[F.col(f"made.{w}") for w in words])

@@ -63,19 +63,33 @@ def slow_simhash(text, k=4):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def mixed(x):
+    x = x * 0x9E3779B97F4A7C15 % (1 << 64)
+    x ^= x >> 32
+    x = x * 0xD6E8FEB86659FD93 % (1 << 64)
+    return x ^ (x >> 29)
+
+
 def slow_wide(text, k=5):
-    """Bits 0 to 63 are those that confirm, the others the fingerprint."""
+    """The fingerprint, the second word with anchors and the two that confirm, from the highest bits down."""
     w = words(text)
     s = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] or ([" ".join(w)] if w else [])
-    h = [xxhash.xxh3_128_intdigest(x.encode(), 42) for x in s]
-    return sum(1 << b for b in range(128) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    two = [divmod(xxhash.xxh3_128_intdigest(x.encode(), 42), 1 << 64) for x in s]
+    h = [a << 192 | b << 128 | mixed(a) << 64 | mixed(b) for a, b in two]
+    return sum(1 << b for b in range(256) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
 def meet(x, y, threshold):
-    """Whether one of two wide fingerprints is replicated to the other's home anchor."""
-    fps = np.array([x >> 64, y >> 64], np.uint64).view(np.int64)
-    keys, home, at = simhash.anchors(fps, threshold)
-    return any(set(keys[home & (at == i)].tolist()) & set(keys[at == 1 - i].tolist()) for i in (0, 1))
+    """Whether one of two wide fingerprints is replicated to the other's home anchor, and the leading words are near enough."""
+    differ = [bin((x ^ y) >> bits).count("1") for bits in (192, 128)]
+    if any(d > most for d, most in zip(differ, simhash.limits(0.8), strict=False)):
+        return False
+    for bits in (192, 128):
+        fps = np.array([x >> bits & (1 << 64) - 1, y >> bits & (1 << 64) - 1], np.uint64).view(np.int64)
+        keys, home, at = simhash.anchors(fps, threshold)
+        if any(set(keys[home & (at == i)].tolist()) & set(keys[at == 1 - i].tolist()) for i in (0, 1)):
+            return True
+    return False
 
 
 def slow_components(fps, t, linked=None):
@@ -137,7 +151,7 @@ def test_near_groups_with_confirming_bits(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     members, groups = simhash.near_groups(docs, shingle=5, threshold=7, similarity=0.8)
     got = {r["doc_id"]: r["component_id"] for r in members.join(groups, "node").collect()}
-    assert simhash.expected_bits(0.8) == 20 and got == dict(enumerate(slow_components([slow_wide(t) for t in texts], 20, lambda x, y: meet(x, y, 7))))
+    assert simhash.limits(0.8) == [20, 34, 39, 39] and got == dict(enumerate(slow_components([slow_wide(t) for t in texts], 39, lambda x, y: meet(x, y, 7))))
     assert simhash.keep_one(docs, shingle=5, threshold=7, similarity=0.8).count() == len(set(got.values())) < len(texts) - 12
 
 

@@ -1,11 +1,12 @@
 """Exact top-k inner-product search over an impact-ordered index, a score at a time.
 
-Vectors are cut into blocks. In a block every dimension has its rows in posting segments by quantised value. For a query
-a segment's contribution lies between two bounds; segments are processed by descending upper bound, each adding its lower
-bound to the rows' accumulators. What a row may still gain is at most, over the dimensions, the larger of the widest
-processed segment and the best one not processed. Rows that this can't lift to the k-th accumulator are proven out;
-processing stops when scoring all others exactly takes no more products than postings are left (or none are), and those
-others are scored exactly. So the result is exact, and the rule compares two counts of work, whatever the data.
+Vectors are cut into blocks. In a block every dimension has its rows in posting segments by quantised value: equal steps
+between its least and greatest value. For a query a segment's contribution lies between two bounds. Queries go in batches,
+and segments by descending upper bound, the best over the batch; each adds its lower bounds to the rows' accumulators. What
+a row may still gain is at most, over the dimensions, the larger of the widest processed segment and the best one not
+processed. Rows that this can't lift to the k-th accumulator are proven out; processing stops when scoring all others
+exactly takes no more products than postings are left (or none are), and those others are scored exactly. So the result is
+exact, and the rule compares two counts of work, whatever the data.
 
 The stated queries meet every block of rows in blocks of their own; a block's k best per query are merged by rank.
 """
@@ -24,12 +25,14 @@ from pyspark.sql import functions as F
 from .common import keep
 
 BLOCK_ROWS = 16_384
-QUERY_ROWS = 512
-LEVELS = 8
+QUERY_ROWS = 1024
+#: Queries whose accumulators are filled together.
+BATCH = 64
+LEVELS = 32
 #: Blocks of at most this many times k rows are scored outright.
 FEW = 8
-#: The segments are processed in so many rounds, with a look at who may still be a member after each.
-ROUNDS = 8
+#: Shares of the postings after which to look who may still be a member.
+LOOKS = (1 / 8, 1 / 4, 1 / 2, 3 / 4, 1)
 
 
 def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int = 64) -> DataFrame:
@@ -40,54 +43,79 @@ def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int = 64) -> Data
 
 
 def build(ids: np.ndarray, x: np.ndarray, levels: int = LEVELS) -> tuple:
-    """An index of a block: ids, vectors, rows by value for each dimension, and the bounds of the posting segments."""
+    """An index of a block: ids, vectors, rows by value for each dimension, the segments' ends there, and their bounds."""
     n, dims = x.shape
-    order = np.argsort(x, axis=0, kind="stable").T.astype(np.uint16)
-    ends = np.unique(np.linspace(0, n, min(levels, n) + 1).astype(int))
-    sorted_ = np.sort(x, axis=0)
-    low, high = sorted_[ends[:-1]].T, sorted_[ends[1:] - 1].T  # dims x segments
-    return ids, x, np.ascontiguousarray(order), ends, low, high
-
-
-def search(index: tuple, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(vec_ids, scores) of the k best rows of the block but those with the query's id; ties to the smaller id."""
+    low, high = x.min(0), x.max(0)
+    level = np.minimum(((x - low) / (high - low + 1.0) * levels).astype(np.int64), levels - 1)
+    size = np.bincount((level + np.arange(dims) * levels).ravel(), minlength=dims * levels).reshape(dims, levels)
+    ends = np.concatenate([np.zeros((dims, 1), np.int64), np.cumsum(size, 1)], 1)
+    order = np.argsort(x, axis=0, kind="stable").T
+    in_order = np.take_along_axis(x.T, order, 1)
+    low = np.take_along_axis(in_order, np.minimum(ends[:, :-1], n - 1), 1)
+    high = np.take_along_axis(in_order, np.maximum(ends[:, 1:] - 1, 0), 1)
+    return ids, x, np.ascontiguousarray(order.astype(np.uint16)), ends, low, high
+
+
+def search(index: tuple, own: np.ndarray, q: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query (row of q, its id in own): (vec_ids, scores) of the k best rows of the block but those with that id; ties to the smaller id."""
     ids, x, order, ends, low, high = index
     n, dims = x.shape
-    others = ids != own
-    alive = np.flatnonzero(others)
-    if len(alive) > FEW * k and dims:
-        acc = np.where(others, 0.0, -np.inf)
-        up = q[:, None] > 0
-        lower, upper = np.where(up, q[:, None] * low, q[:, None] * high), np.where(up, q[:, None] * high, q[:, None] * low)
-        least = lower.min(1, keepdims=True)
-        gain, best, width = lower - least, upper - least, upper - lower
-        dim, seg = np.unravel_index(np.argsort(-best, axis=None, kind="stable"), best.shape)
-        pending = np.where(best > 0, best, 0)
-        widest = np.zeros(dims, np.int64)
-        step = -(-len(dim) // ROUNDS)
-        left = int((np.diff(ends) * (gain > 0)).sum())  # postings still to be added up
-        for i in range(0, len(dim), step):
-            d, s = dim[i : i + step], seg[i : i + step]
-            pending[d, s] = 0
-            np.maximum.at(widest, d, width[d, s])
-            some = gain[d, s] > 0
-            d, s = d[some], s[some]
-            if len(d):
-                rows = np.concatenate([order[a, ends[b] : ends[b + 1]] for a, b in zip(d.tolist(), s.tolist(), strict=True)])
-                left -= len(rows)
-                acc += np.bincount(rows, np.repeat(gain[d, s].astype(float), ends[s + 1] - ends[s]), n)
-            slack = np.maximum(pending.max(1), widest).sum()
-            bound = np.partition(acc, n - k)[n - k] - slack  # k rows have at least the k-th accumulator
-            if np.count_nonzero(acc >= bound) * dims <= left:
-                break
-        alive = np.flatnonzero((acc >= bound) & others)
-    # whole numbers below 2**53, so the products are exact
-    scores = (x[alive] @ q.astype(float)).astype(np.int64)
-    if len(scores) > 4 * k:
-        top = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
-        alive, scores = alive[top], scores[top]
-    first = np.lexsort((ids[alive], -scores))[:k]
-    return ids[alive][first], scores[first]
+    same = np.flatnonzero(np.isin(ids, own))
+    at, whose = np.nonzero(ids[same][:, None] == own[None, :])
+    alive = np.ones((len(q), n), bool)
+    if n > FEW * k and dims:
+        alive = _possible(index, q, k, whose, same[at])
+    alive[whose, same[at]] = False
+    out = []
+    for mine, v in zip(alive, q, strict=True):
+        rows = np.flatnonzero(mine)
+        # whole numbers below 2**53, so the products are exact
+        scores = (x[rows] @ v.astype(float)).astype(np.int64)
+        if len(scores) > 4 * k:
+            top = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+            rows, scores = rows[top], scores[top]
+        first = np.lexsort((ids[rows], -scores))[:k]
+        out.append((ids[rows][first], scores[first]))
+    return out
+
+
+def _possible(index: tuple, q: np.ndarray, k: int, whose: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which rows (columns) may be among the k best of a query (row); rows ``own`` don't count for the queries ``whose``."""
+    _, x, order, ends, low, high = index
+    n, dims = x.shape
+    size = np.diff(ends, axis=1)
+    real = size > 0
+    up = q[:, :, None] > 0
+    lower, upper = np.where(up, q[:, :, None] * low, q[:, :, None] * high), np.where(up, q[:, :, None] * high, q[:, :, None] * low)
+    least = np.where(real, lower, np.iinfo(np.int64).max).min(2, keepdims=True)
+    gain, best, width = (np.where(real, b, 0) for b in (lower - least, upper - least, upper - lower))
+    dim, seg = np.unravel_index(np.argsort(-best.max(0), axis=None, kind="stable"), real.shape)
+    counted = size[dim, seg] * (gain.max(0)[dim, seg] > 0)  # a segment that adds nothing has no posting to add up
+    upto = np.cumsum(counted)
+    most = best.max(2).sum(1).max()
+    acc = np.zeros((n, len(q)), np.int32 if most < 1 << 31 else np.int64)
+    adds = np.ascontiguousarray(gain.transpose(1, 2, 0)).astype(acc.dtype)
+    done = np.zeros(real.shape, bool)
+    start = 0
+    for look in LOOKS:
+        stop = len(dim) if look == 1 else int(np.searchsorted(upto, look * upto[-1], "right"))
+        for d, s, some in zip(dim[start:stop].tolist(), seg[start:stop].tolist(), counted[start:stop].tolist(), strict=True):
+            if some:
+                acc[order[d, ends[d, s] : ends[d, s + 1]]] += adds[d, s]
+        done[dim[start:stop], seg[start:stop]] = True
+        left = int(upto[-1] - (upto[stop - 1] if stop else 0))
+        start = stop
+        slack = np.maximum(np.where(done, 0, best).max(2), np.where(done, width, 0).max(2)).sum(1)
+        if look < 1 and (acc.max(0) - slack <= acc.min(0)).all():
+            continue  # nobody is out
+        by_query = np.ascontiguousarray(acc.T)
+        by_query[whose, own] = -1
+        # k rows have at least the k-th accumulator
+        bound = np.partition(by_query, n - k, axis=1)[:, n - k] - slack
+        possible = by_query >= bound[:, None]
+        if np.count_nonzero(possible) * dims <= left * len(q):
+            break
+    return possible
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -103,9 +131,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     q_blocks = -(-n // QUERY_ROWS)
-    asked = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).alias("q_block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
     none = np.iinfo(np.int64).max
 
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        batches = []
+        for _, same in pdf.groupby(pdf["v"].map(len)):
+            for i in range(0, len(same), BATCH):
+                some = same.iloc[i : i + BATCH]
+                batches.append((some["vec_id"].to_numpy(np.int64), np.array(some["v"].tolist(), np.int64).reshape(len(some), -1)))
+        return pd.DataFrame({"q_block": [key[0]], "queries": [pickle.dumps(batches)]})
+
+    dealt = queries.withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)))
+    asked = keep(dealt.groupBy("q_block").applyInPandas(pack, "q_block long, queries binary"), "queries")
+
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list] = {}
 
@@ -113,7 +151,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             ids = np.array([none if pd.isna(i) else int(i) for i, _ in rows], np.int64)
             x = np.array([v for _, v in rows], np.int64).reshape(len(rows), -1)
             small = np.int16 if not x.size or np.abs(x).max() < 1 << 15 else np.int64
-            return pd.DataFrame({"index": [pickle.dumps(build(ids, x.astype(small)))]})
+            _, _, order, ends, low, high = build(ids, x)
+            return pd.DataFrame({"index": [pickle.dumps((ids, x.astype(small), order, ends, low, high))]})
 
         for pdf in batches:
             for i, v in zip(pdf["vec_id"], pdf["v"], strict=True):
@@ -129,15 +168,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             for raw, asked in zip(pdf["index"], pdf["queries"], strict=True):
                 ids, x, *rest = pickle.loads(raw)
                 order, ends, low, high = rest
-                block = ids, x.astype(float), order.astype(np.intp), ends, low.astype(np.int64), high.astype(np.int64)
-                out = []
-                for q in asked:
-                    v = np.asarray(q["v"], np.int64)
-                    if len(v) == x.shape[1]:
-                        got, scores = search(block, q["vec_id"], v, k)
-                        out.append(pd.DataFrame({"query_id": q["vec_id"], "query": xxhash.xxh64_intdigest(v.tobytes()) - (1 << 63), "vec_id": got, "score": scores}))
-                if out:
-                    yield pd.concat(out)
+                block = ids, x.astype(float), order.astype(np.intp), ends, low, high
+                for own, q in pickle.loads(asked):
+                    if q.shape[1] != x.shape[1]:
+                        continue
+                    found = search(block, own, q, k)
+                    times = [len(got) for got, _ in found]
+                    names = np.array([xxhash.xxh64_intdigest(v.tobytes()) - (1 << 63) for v in q], np.int64)
+                    yield pd.DataFrame({"query_id": np.repeat(own, times), "query": np.repeat(names, times), "vec_id": np.concatenate([got for got, _ in found]), "score": np.concatenate([scores for _, scores in found])})
 
     blocks = keep(vectors.mapInPandas(index, "index binary"), "index")
     met = blocks.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).join(asked, "q_block")

@@ -399,6 +399,26 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["dense", "sparse", "equal", "one id", "large"])
+def test_top_k_of_a_block(kind):
+    rng = np.random.default_rng(4)
+    n, dims, k = 700, 12, 5
+    x = rng.integers(-40, 40, (n, dims))
+    if kind == "sparse":
+        x[rng.random((n, dims)) < 0.9] = 0
+        x[rng.integers(0, n, 30)] *= 50  # long rows, found early
+    if kind == "large":
+        x *= 1 << 20
+    if kind == "equal":
+        x[:] = x[0]
+    ids = rng.permutation(n) if kind != "one id" else np.where(np.arange(n) < 690, 3, np.arange(n))
+    some = rng.integers(0, n, 90)
+    got = topk.search(topk.build(ids, x), ids[some], x[some], k)
+    for (found, scores), at in zip(got, some, strict=True):
+        want = sorted((-int(x[j] @ x[at]), int(ids[j])) for j in range(n) if ids[j] != ids[at])[:k]
+        assert [(-s, i) for i, s in zip(found.tolist(), scores.tolist(), strict=True)] == want
+
+
 def slow_url(url):
     if url is None or "://" not in url:
         return "", ""

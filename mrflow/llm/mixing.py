@@ -89,13 +89,18 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
     return every.withColumn("take", take).filter("take > 0").select("place", "slot", "epoch", "block_no", "take")
 
 
+def _row_key(seed: int, *columns: str) -> Column:
+    """A seeded hash of the columns that tells a null from a value moved to another column."""
+    return F.xxhash64(F.lit(seed), *[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns])
+
+
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, block: int = 1024, weights: tuple[int, ...] = (1, 2, 3)) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sources, streams, slots). streams: one row per input row, with row_key and the stretch [begin, begin + size) of its source's stream.
 
     Rows alike in id, source and text share a row_key and stand side by side. Null texts have size 0; a null source is a
     source of its own, the last.
     """
-    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col), F.col(text_col))
+    key = _row_key(seed, id_col, source_col, text_col)
     rows = docs.select(key.alias("row_key"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
     # repeated rows are one from here until each gets its place
     rows = keep(rows.groupBy("row_key", "doc_id", "source", "size").agg(F.count("*").alias("copies")), "sizes")
@@ -137,6 +142,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     taken = pieces(streams, slots, block).groupBy("row_key").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.first("size").alias("size"))
     sizes = streams.groupBy("row_key").agg(F.first("copies").alias("copies"))
     often = taken.join(sizes, "row_key").select("row_key", F.round(F.col("taken") / (F.col("size") * F.col("copies"))).cast("int").alias("__often")).filter("__often > 0")
-    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col), F.col(text_col))
+    key = _row_key(seed, id_col, source_col, text_col)
     out = docs.withColumn("__key", key).join(often, F.col("__key") == F.col("row_key"))
     return out.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__often")))).select(*[F.col(f"`{c}`") for c in docs.columns])

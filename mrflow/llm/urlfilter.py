@@ -18,6 +18,8 @@ from .common import ascii_lower, keep
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 FEATURES = ("url_chars", "host_chars", "path_chars", "host_labels", "depth", "digit_ratio", "path_digits", "hyphens", "parameters", "fragment", "entropy", "top_rate", "pair_rate")
+#: Suffix features: how many labels of the host they look at.
+SUFFIXES = {"top": 1, "pair": 2}
 #: Weight of the common share in a suffix's share.
 PRIOR = 20.0
 
@@ -116,18 +118,22 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 20, depth: int = 3, rate: f
     return start, grown
 
 
-def features(urls: DataFrame, labelled: DataFrame) -> DataFrame:
-    """urls (url, host, path, …) with the columns FEATURES. labelled (host, blocked) gives the suffix statistics."""
-    suffix = {"top": 1, "pair": 2}
-    mean = labelled.agg(F.avg("blocked")).first()[0]
-    mean = 0.0 if mean is None else float(mean)
+def suffix_rates(labelled: DataFrame, mean: float) -> dict[str, DataFrame]:
+    """Of labelled (host, blocked), for one and two labels: each suffix and its smoothed share of blocked URLs."""
+    rates = {}
+    for name, labels in SUFFIXES.items():
+        share = (F.sum("blocked") + PRIOR * mean) / (F.count("*") + PRIOR)
+        rates[name] = keep(labelled.groupBy(F.substring_index("host", ".", -labels).alias("__suffix")).agg(share.alias("__rate")), "suffixes")
+    return rates
+
+
+def features(urls: DataFrame, rates: dict[str, DataFrame], mean: float) -> DataFrame:
+    """urls (url, host, path, …) with the columns FEATURES; suffixes not in rates have the mean."""
     out = urls
     for name, c in lexical(F.col("url"), F.col("host"), F.col("path")).items():
         out = out.withColumn(name, c)
-    for name, labels in suffix.items():
-        key = F.substring_index("host", ".", -labels)
-        stats = keep(labelled.groupBy(key.alias("__suffix")).agg(((F.sum("blocked") + PRIOR * mean) / (F.count("*") + PRIOR)).alias("__rate")), "suffixes")
-        out = out.withColumn("__key", key).join(stats, F.col("__key") == F.col("__suffix"), "left")
+    for name, labels in SUFFIXES.items():
+        out = out.withColumn("__key", F.substring_index("host", ".", -labels)).join(rates[name], F.col("__key") == F.col("__suffix"), "left")
         out = out.withColumn(f"{name}_rate", F.coalesce("__rate", F.lit(mean))).drop("__key", "__suffix", "__rate")
     return out
 
@@ -142,14 +148,20 @@ def judge(pages: DataFrame, url_col: str = "url", keep_cols: tuple[str, ...] = (
     rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     rows = rows.withColumn("__fit", ruled(F.col("host"), F.col("path"), rules))
     labelled = rows.filter("__fit IS NOT NULL").select("url", "host", "path", (F.col("__fit.verdict") == "block").cast("int").alias("blocked"))
-    some = labelled.orderBy(F.xxhash64("url"), "url").limit(sample_rows)
-    got = features(some, labelled).select("blocked", *FEATURES).collect()
+    facts = labelled.agg(F.count("*").alias("n"), F.avg("blocked").alias("mean")).first()
+    mean = float(facts["mean"] or 0.0)
+    rates = suffix_rates(labelled, mean)
+    # the smallest hashes; a filter by twice their share comes first, so that not every task offers as many rows
+    share = 2 * sample_rows / max(facts["n"], 1)
+    few = labelled if share >= 1 else labelled.filter(F.xxhash64("url") < int(share * (1 << 64)) - (1 << 63))
+    some = keep(few.orderBy(F.xxhash64("url"), "url").limit(sample_rows), "sample")
+    got = features(some, rates, mean).select("blocked", *FEATURES).collect()
     got.sort()
     x = np.array([r[1:] for r in got], float).reshape(len(got), len(FEATURES))
     start, trees = boost(x, np.array([r[0] for r in got], float))
     logit = F.lit(start)
     for t in trees:
         logit = logit + t.column()
-    scored = features(rows, labelled).withColumn("block_score", 1 / (1 + F.exp(-logit)))
+    scored = features(rows, rates, mean).withColumn("block_score", 1 / (1 + F.exp(-logit)))
     verdict = F.coalesce("__fit.verdict", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))
     return scored.select(*[F.col(f"`{c}`") for c in keep_cols], "host", "path", F.col("__fit.rule").alias("rule"), verdict.alias("verdict"), "block_score")

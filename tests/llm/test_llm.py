@@ -299,6 +299,8 @@ def test_mixing_edge_cases(spark, docs):
     assert mixing.mix(docs.limit(0)).count() == 0
     none = mixing.mix(spark.createDataFrame([(1, None, None, None, None), (2, " ", None, "a", None)], DOCS)).collect()
     assert [r["taken"] for r in none] == [0, 0]
+    moved = mixing.mix(spark.createDataFrame([(None, "a", None, None, None), (None, None, None, "a", None), (7, "b c", None, "b", None)], DOCS)).collect()
+    assert sorted((r["size"], r["source_size"]) for r in moved) == [(0, 0), (1, 1), (2, 2)]
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns and out.filter("text IS NULL").count() == 0
 
@@ -441,6 +443,8 @@ def test_url_filter(spark):
         assert (r["host"], r["path"]) == (host, path)
         assert r["rule"] == (max(fits)[1] if fits else None)
         assert r["verdict"] == max(fits)[2] if fits else r["verdict"] in ("allow", "block")
+    few = urlfilter.judge(pages, sample_rows=20).collect()
+    assert sorted((r["page_id"], r["rule"] or "") for r in few) == sorted((r["page_id"], r["rule"] or "") for r in got)
     assert urlfilter.judge(pages.limit(0)).count() == 0
     assert {r["verdict"] for r in urlfilter.judge(pages.filter("page_id < 3")).collect()} == {"allow"}
 

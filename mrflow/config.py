@@ -9,7 +9,6 @@ from pyspark.sql import SparkSession
 
 @dataclass(frozen=True)
 class EngineConfig:
-    base_dir: str = "/tmp/mrflow"
     shuffle_partitions: int | None = None
     memory_per_executor: str | None = None
     broadcast_bytes: int = 10 << 20

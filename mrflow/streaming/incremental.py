@@ -6,12 +6,14 @@ Streaming file source whose checkpoint is the state, run with availableNow.
 
 from __future__ import annotations
 
+import functools
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import native
-from ..plans.job import MapReduceJob, compile_job
+from ..functions import registry
+from ..operators import native, opaque
+from ..plans.job import InvalidJob, MapReduceJob, compile_job
 from ..sources import readers, sinks
 
 LEDGER = "path string, ts double, job string"
@@ -56,6 +58,20 @@ def run_delta(spark: SparkSession, job: MapReduceJob) -> list[str]:
     return files
 
 
+def merged_output(spark: SparkSession, job: MapReduceJob) -> DataFrame:
+    """The appended outputs of all runs as one: a key's outputs are merged by the reducer's ``merge``, first inside each task."""
+    f = registry.find("reduce", job.reduce_function_name, job.project_name)
+    if f.merge is None or f.schema is None:
+        raise InvalidJob(f"reduce function {f.name} does not say how its outputs merge, or lacks a schema")
+    parts = spark.read.schema(f.schema).json(job.output_dir) if _exists(spark, job.output_dir) else spark.createDataFrame([], f.schema)
+    key, merge = parts.columns[:1], f.merge
+
+    def fold(group, aux):
+        yield functools.reduce(merge, group)
+
+    return opaque.reduce_groups(opaque.combine(parts, key, merge), key, fold, f.schema, order_by=[])
+
+
 def token_counts_so_far(spark: SparkSession, folder: str, checkpoint: str, parts: str) -> DataFrame:
     """Count tokens of the files that came since the last call, append the partial counts, and merge all partial counts.
 

@@ -176,7 +176,9 @@ def test_incremental_runs(spark, tmp_path):
     put(tmp_path / "in", "x", ["changed"])  # identity is the path
     assert len(incremental.run_delta(spark, j)) == 1
     merged = native.merge_sums([spark.read.json(str(tmp_path / "out"))], ["key"], ["n"])
-    assert counts(merged) == WANT | {"dog": 3}
+    assert counts(merged) == WANT | {"dog": 3} == counts(incremental.merged_output(spark, j))
+    with pytest.raises(InvalidJob):
+        incremental.merged_output(spark, job(tmp_path / "in", tmp_path / "out", reduce_function_name="native_total"))
     run_mapreduce(spark, job(tmp_path / "in", tmp_path / "out"))  # without hold_state: all files, and the state is gone
     assert not incremental.has_ledger(spark, j)
     assert counts(spark.read.json(str(tmp_path / "out"))) == {"changed": 1, "dog": 1}

@@ -7,10 +7,13 @@ differ in no more than is expected at that similarity (and, to stop early, the f
 which such pairs exceed once in tens of thousands). This finds every such pair with a block in which at most one bit
 differs, so all within ``threshold`` bits of either word, and keeps texts that are near by chance apart in a corpus of any size.
 
-The bits are cut into ``threshold // 2 + 1`` blocks a word, so in one block at most one bit
-differs. In every block the anchors are the words of a covering code: Hamming(15, 11), of covering radius 1, on the
-first 15 bits and all words on the rest. A fingerprint has one home anchor within the covering radius and is
-replicated to every anchor within the radius plus one; a linked pair therefore meets at the home anchor of either one.
+Without a similarity the 64 bits are cut into ``threshold + 2`` parts, and groups of three parts are chosen such that however
+``threshold`` differing bits fall, one group has at most one of them. With one, each of the two words is cut into
+``threshold // 2 + 1`` blocks, of which one has at most one. In every group or block the anchors are the words of a covering
+code of radius 1 a piece: Hamming(15, 11) on each 15 bits and all words on the rest. A fingerprint has one home anchor and
+is replicated to every anchor that may be home to one that differs in a bit, those within the radius plus one; a linked
+pair therefore meets at the home anchor of either one. A group has some 2**24 anchors for a threshold of 4, so an anchor
+has few members even of thousands of millions of fingerprints.
 Comparison is per anchor. Of the links found in a batch only a spanning forest leaves the task, so a large group of near
 copies gives rows in proportion to its size.
 
@@ -150,36 +153,80 @@ def _hamming() -> tuple[np.ndarray, np.ndarray]:
     return home, near
 
 
-def blocks(threshold: int) -> list[tuple[int, int]]:
-    """(first bit, width) of every block."""
-    n = threshold // 2 + 1
-    if 64 // n < 15:
+Bits = tuple[tuple[int, int], ...]
+
+
+def blocks(threshold: int, parts: int | None = None) -> list[Bits]:
+    """The 64 bits cut in parts, each a group of its own: one (first bit, width). Of threshold // 2 + 1 parts (two at least) one has at most one differing bit."""
+    n = parts or max(2, threshold // 2 + 1)
+    if 64 // n < 15 and not parts:
         raise ValueError("the threshold is too large for blocks of 15 bits")
     edges = [64 * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+    return [((a, b - a),) for a, b in zip(edges, edges[1:], strict=False)]
+
 
+def _cover(does: np.ndarray, open_: np.ndarray, most: int) -> list[int] | None:
+    """At most ``most`` rows of a 0/1 matrix that together have all open columns, or None if there are none."""
+    if not open_.any():
+        return []
+    if not most:
+        return None
+    hard = np.flatnonzero(open_)[does[:, open_].sum(0).argmin()]
+    for row in np.flatnonzero(does[:, hard]).tolist():
+        if (rest := _cover(does, open_ & ~does[row], most - 1)) is not None:
+            return [row, *rest]
+    return None
 
-def anchors(fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of anchors, whether it is the home anchor, and the fingerprint's place in fps, for all blocks."""
+
+@cache
+def triples(threshold: int) -> list[Bits]:
+    """Groups of three parts of which one has at most one differing bit, however the bits fall: as few as can be up to a threshold of 4, else chosen greedily."""
+    n = max(threshold + 2, 4)
+    if n > 9:
+        raise ValueError("the threshold is too large for parts of 7 bits")
+    ways = np.array([[bars.count(i) for i in range(n)] for bars in itertools.combinations_with_replacement(range(n), threshold)]).reshape(-1, n)
+    every = list(itertools.combinations(range(n), 3))
+    does = np.array([ways[:, t].sum(1) <= 1 for t in every])
+    chosen, open_ = [], np.ones(len(ways), bool)
+    while open_.any():
+        chosen.append(int(does[:, open_].sum(1).argmax()))
+        open_ &= ~does[chosen[-1]]
+    if n <= 6:
+        fewer = (_cover(does, np.ones(len(ways), bool), m) for m in range(1, len(chosen)))
+        chosen = next((c for c in fewer if c is not None), chosen)
+    part = [b[0] for b in blocks(threshold, n)]
+    return [tuple(part[i] for i in every[c]) for c in chosen]
+
+
+def anchors(fps: np.ndarray, groups: list[Bits]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of anchors, whether it is the home anchor, and the fingerprint's place in fps, for all groups of bits."""
     home, near = _hamming()
     keys, homes, at = [], [], []
-    u = fps.astype(np.uint64)
-    for b, (first, width) in enumerate(blocks(threshold)):
-        word = (u >> np.uint64(first)).astype(np.int64) & ((1 << width) - 1)
-        low, free = word & 0x7FFF, word >> 15
-        name = lambda code, rest: (np.int64(b) << 50) | (rest << 15) | code  # noqa: B023, E731
-        keys.append(name(home[low], free))
+    u, all_ = fps.astype(np.uint64), np.arange(len(fps))
+    for g, bits in enumerate(groups):
+        word, width = np.zeros(len(u), np.int64), 0
+        for first, n in bits:
+            word |= ((u >> np.uint64(first)).astype(np.int64) & ((1 << n) - 1)) << width
+            width += n
+        codes = range(0, width - 14, 15)
+        own = [word >> i & 0x7FFF for i in codes]
+        base = word >> 15 * len(codes) << 15 * len(codes)
+        for i, x in zip(codes, own, strict=True):
+            base |= home[x] << i
+        base |= np.int64(g) << 50
+        keys.append(base)
+        at.append(all_)
         homes.append(np.ones(len(u), bool))
-        at.append(np.arange(len(u)))
-        for j in range(1, 8):
-            there = np.flatnonzero(near[low, j] != home[low])
-            keys.append(name(near[low[there], j], free[there]))
-            at.append(there)
-            homes.append(np.zeros(len(there), bool))
-        for j in range(width - 15):
-            keys.append(name(home[low], free ^ (1 << j)))
-            at.append(np.arange(len(u)))
-            homes.append(np.zeros(len(u), bool))
+        for i, x in zip(codes, own, strict=True):
+            for j in range(1, 8):
+                move = near[x, j] ^ home[x]
+                there = np.flatnonzero(move)
+                keys.append(base[there] ^ (move[there] << i))
+                at.append(there)
+        for j in range(15 * len(codes), width):
+            keys.append(base ^ (1 << j))
+            at.append(all_)
+        homes.append(np.zeros(sum(map(len, keys)) - sum(map(len, homes)), bool))
     return np.concatenate(keys), np.concatenate(homes), np.concatenate(at)
 
 
@@ -224,12 +271,13 @@ def links(fps: DataFrame, threshold: int = 4, hot: int = HOT_ANCHOR, similarity:
     names = ["fp"] if similarity is None else list(WIDE)
     most = [threshold] if similarity is None else limits(similarity)
     anchored = names[:ANCHORED]
+    groups = triples(threshold) if similarity is None else blocks(threshold)
     columns = ", ".join(f"{n} long" for n in names)
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for (w, name), i in itertools.product(enumerate(anchored), range(0, len(pdf), 20_000)):
-                key, home, at = anchors(pdf[name].to_numpy(np.int64)[i : i + 20_000], threshold)
+                key, home, at = anchors(pdf[name].to_numpy(np.int64)[i : i + 20_000], groups)
                 yield pd.DataFrame({"key": key | (w << 60), "home": home} | {n: pdf[n].to_numpy(np.int64)[i + at] for n in names})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -86,7 +86,7 @@ def meet(x, y, threshold):
         return False
     for bits in (192, 128):
         fps = np.array([x >> bits & (1 << 64) - 1, y >> bits & (1 << 64) - 1], np.uint64).view(np.int64)
-        keys, home, at = simhash.anchors(fps, threshold)
+        keys, home, at = simhash.anchors(fps, simhash.blocks(threshold))
         if any(set(keys[home & (at == i)].tolist()) & set(keys[at == 1 - i].tolist()) for i in (0, 1)):
             return True
     return False
@@ -113,17 +113,20 @@ def test_simhash_of_long_texts_and_pieces(monkeypatch):
         assert [simhash.simhash(t) % (1 << 64) for t in texts] == want
 
 
-@pytest.mark.parametrize("threshold", [2, 4, 6, 7])
-def test_anchors_lose_no_link(threshold):
+@pytest.mark.parametrize("groups", [simhash.blocks, simhash.triples])
+@pytest.mark.parametrize("threshold", [0, 1, 2, 4, 6, 7])
+def test_anchors_lose_no_link(threshold, groups):
     rng = np.random.default_rng(threshold)
     for _ in range(300):
         x = rng.integers(0, 1 << 64, dtype=np.uint64)
         y = x
-        for b in rng.choice(64, rng.integers(1, threshold + 1), replace=False):
+        for b in rng.choice(64, rng.integers(0, threshold + 1), replace=False):
             y ^= np.uint64(1) << np.uint64(b)
-        keys, home, at = simhash.anchors(np.array([x, y], np.uint64).view(np.int64), threshold)
-        mine, others = set(keys[home & (at == 0)].tolist()), set(keys[at == 1].tolist())
-        assert mine & others
+        keys, home, at = simhash.anchors(np.array([x, y], np.uint64).view(np.int64), groups(threshold))
+        for i in (0, 1):
+            mine, others = set(keys[home & (at == i)].tolist()), set(keys[at == 1 - i].tolist())
+            assert mine & others
+        assert len(set(zip(keys.tolist(), at.tolist(), strict=True))) == len(keys)
 
 
 def test_near_duplicates(spark, docs, rows):

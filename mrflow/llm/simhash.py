@@ -48,6 +48,8 @@ ANCHORED = 2
 LEAD = (0.52, 0.88)
 #: An anchor with more members than this is dealt to several tasks by its home members.
 HOT_ANCHOR = 50_000
+#: So many members of an anchor of that size are counted to tell.
+COUNTED = 1000
 
 
 def _words(text: str) -> Iterator[list[bytes]]:
@@ -303,8 +305,11 @@ def links(fps: DataFrame, threshold: int = 4, hot: int = HOT_ANCHOR, similarity:
             yield flush(pd.concat(held, ignore_index=True))
 
     spread = keep(fps.select(*names).mapInPandas(replicate, f"key long, home boolean, {columns}"), "anchors")
-    crowd = spread.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot)
-    # at most rows / hot anchors are crowded; their home members are dealt to parts, their other members go to all parts
+    # how many parts an anchor is dealt to changes no link, so an estimate from a fixed share of its members will do:
+    # home members go to one part each, other members to all of them; at most about rows / hot anchors are crowded
+    one_in = max(1, hot // COUNTED)
+    some = spread.filter(F.pmod(F.xxhash64("key", *names), F.lit(one_in)) == 0)
+    crowd = some.groupBy("key").agg((F.count("*") * one_in).alias("n")).filter(F.col("n") > hot)
     crowded = {r["key"]: int(r["n"] // hot + 1) for r in crowd.collect()}
     if crowded:
         named = spread.sparkSession.createDataFrame(list(crowded.items()), "key long, parts int")

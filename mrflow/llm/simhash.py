@@ -304,7 +304,9 @@ def links(fps: DataFrame, threshold: int = 4, hot: int = HOT_ANCHOR, similarity:
         if n:
             yield flush(pd.concat(held, ignore_index=True))
 
-    spread = keep(fps.select(*names).mapInPandas(replicate, f"key long, home boolean, {columns}"), "anchors")
+    width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # fingerprints are small, their replicas are many: deal them evenly first
+    spread = keep(fps.select(*names).repartition(width, *names).mapInPandas(replicate, f"key long, home boolean, {columns}"), "anchors")
     # how many parts an anchor is dealt to changes no link, so an estimate from a fixed share of its members will do:
     # home members go to one part each, other members to all of them; at most about rows / hot anchors are crowded
     one_in = max(1, hot // COUNTED)
@@ -319,7 +321,6 @@ def links(fps: DataFrame, threshold: int = 4, hot: int = HOT_ANCHOR, similarity:
         spread = spread.select("key", every.alias("part"), (F.col("home") & (F.col("part") == own)).alias("home"), *names)
     else:
         spread = spread.withColumn("part", F.lit(0))
-    width = int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = ", ".join(f"{side}_{n} long" for side in "uv" for n in names)
     met = spread.select("key", "part", "home", *names).repartition(width, "key", "part").sortWithinPartitions("key", "part").mapInPandas(compare, found)
     return met.select(*[_node([f"{side}_{n}" for n in names]).alias(side) for side in "uv"])

@@ -40,7 +40,7 @@ SEED = 42
 #: Longer texts are cut into pieces of so many characters while they are hashed.
 PIECE = 1 << 22
 #: Comparisons made at once.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 19
 #: The words of a wide fingerprint; the first ANCHORED have anchors.
 WIDE = ("fp", "check", "check2", "check3")
 ANCHORED = 2
@@ -278,8 +278,8 @@ def links(fps: DataFrame, threshold: int = 4, hot: int = HOT_ANCHOR, similarity:
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for (w, name), i in itertools.product(enumerate(anchored), range(0, len(pdf), 20_000)):
-                key, home, at = anchors(pdf[name].to_numpy(np.int64)[i : i + 20_000], groups)
+            for (w, name), i in itertools.product(enumerate(anchored), range(0, len(pdf), 2_000)):
+                key, home, at = anchors(pdf[name].to_numpy(np.int64)[i : i + 2_000], groups)
                 yield pd.DataFrame({"key": key | (w << 60), "home": home} | {n: pdf[n].to_numpy(np.int64)[i + at] for n in names})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,7 +294,7 @@ def links(fps: DataFrame, threshold: int = 4, hot: int = HOT_ANCHOR, similarity:
         for pdf in batches:
             held.append(pdf)
             n += len(pdf)
-            if n >= 200_000:
+            if n >= 50_000:
                 pdf = pd.concat(held, ignore_index=True)
                 last = (pdf["key"] == pdf["key"].iloc[-1]) & (pdf["part"] == pdf["part"].iloc[-1])
                 cut = int((~last).sum())  # sorted: the last anchor may go on in the next batch

@@ -40,7 +40,7 @@ SEED = 42
 #: Longer texts are cut into pieces of so many characters while they are hashed.
 PIECE = 1 << 22
 #: Comparisons made at once.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 21
 #: The words of a wide fingerprint; the first ANCHORED have anchors.
 WIDE = ("fp", "check", "check2", "check3")
 ANCHORED = 2
@@ -278,8 +278,8 @@ def links(fps: DataFrame, threshold: int = 4, hot: int = HOT_ANCHOR, similarity:
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for (w, name), i in itertools.product(enumerate(anchored), range(0, len(pdf), 2_000)):
-                key, home, at = anchors(pdf[name].to_numpy(np.int64)[i : i + 2_000], groups)
+            for (w, name), i in itertools.product(enumerate(anchored), range(0, len(pdf), 20_000)):
+                key, home, at = anchors(pdf[name].to_numpy(np.int64)[i : i + 20_000], groups)
                 yield pd.DataFrame({"key": key | (w << 60), "home": home} | {n: pdf[n].to_numpy(np.int64)[i + at] for n in names})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,7 +294,7 @@ def links(fps: DataFrame, threshold: int = 4, hot: int = HOT_ANCHOR, similarity:
         for pdf in batches:
             held.append(pdf)
             n += len(pdf)
-            if n >= 50_000:
+            if n >= 200_000:
                 pdf = pd.concat(held, ignore_index=True)
                 last = (pdf["key"] == pdf["key"].iloc[-1]) & (pdf["part"] == pdf["part"].iloc[-1])
                 cut = int((~last).sum())  # sorted: the last anchor may go on in the next batch
@@ -304,9 +304,7 @@ def links(fps: DataFrame, threshold: int = 4, hot: int = HOT_ANCHOR, similarity:
         if n:
             yield flush(pd.concat(held, ignore_index=True))
 
-    width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # fingerprints are small, their replicas are many: deal them evenly first
-    spread = keep(fps.select(*names).repartition(width, *names).mapInPandas(replicate, f"key long, home boolean, {columns}"), "anchors")
+    spread = keep(fps.select(*names).mapInPandas(replicate, f"key long, home boolean, {columns}"), "anchors")
     # how many parts an anchor is dealt to changes no link, so an estimate from a fixed share of its members will do:
     # home members go to one part each, other members to all of them; at most about rows / hot anchors are crowded
     one_in = max(1, hot // COUNTED)
@@ -321,6 +319,7 @@ def links(fps: DataFrame, threshold: int = 4, hot: int = HOT_ANCHOR, similarity:
         spread = spread.select("key", every.alias("part"), (F.col("home") & (F.col("part") == own)).alias("home"), *names)
     else:
         spread = spread.withColumn("part", F.lit(0))
+    width = int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = ", ".join(f"{side}_{n} long" for side in "uv" for n in names)
     met = spread.select("key", "part", "home", *names).repartition(width, "key", "part").sortWithinPartitions("key", "part").mapInPandas(compare, found)
     return met.select(*[_node([f"{side}_{n}" for n in names]).alias(side) for side in "uv"])

@@ -93,7 +93,8 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     cyrillic, female = canon.rlike(r"\p{IsCyrillic}"), canon.startswith("f ")
     part = lambda j: F.when(cyrillic, F.element_at(F.array(*map(F.lit, CYRILLIC)), _number(h, j, 16) + 1)).otherwise(F.element_at(F.array(*map(F.lit, LATIN)), _number(h, j, 16) + 1))
     end = F.when(female, F.when(cyrillic, "а").otherwise("a")).otherwise(F.when(cyrillic, "ин").otherwise("in"))
-    more = F.when(attempt >= 2, part(F.lit(30))).otherwise("")
+    # every second attempt adds a syllable, so that the stock outgrows any number of names; places 30 down to 6 are free
+    more = F.array_join(F.transform(F.filter(F.array(*[F.lit(i) for i in range(25)]), lambda i: i < F.floor(attempt / 2)), lambda i: part(F.lit(30) - i)), "")
     name = F.concat(F.substring(canon, 1, 2), F.array_join(F.transform(words, lambda _, i: F.initcap(F.concat(part(i * 3), part(i * 3 + 1), part(i * 3 + 2), more, end))), " "))
     return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "ip", ip).otherwise(name)
 

@@ -373,6 +373,15 @@ def test_surrogates_stay_distinct(spark):
     assert len({a for a, _ in mails}) == 300 and len({b for _, b in mails}) == 1
 
 
+def test_surrogate_names_do_not_run_out(spark):
+    """More one-word names of one gender and script than three and four syllables have forms (69,632)."""
+    letters = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
+    names = spark.range(75_000).select(F.lit("name").alias("kind"), F.concat(F.lit("m N"), letters).alias("canon"))
+    made = pii.assign(names, "key", rounds=12).collect()
+    others = {r["other"] for r in made}
+    assert len(made) == len(others) == 75_000 and not others & {r["canon"] for r in made}
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, None, None, "late"), (2, 0, "system", "only"), (None, 0, "ann", "x"), *[(3, i, "u" if i % 2 else "a", f"t{i}") for i in range(700)]]
     segments = chat.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("key", F.lit(1)))

@@ -18,6 +18,11 @@ Comparison is per anchor. Of the links found in a batch only a spanning forest l
 copies gives rows in proportion to its size.
 
 Equal fingerprints are brought together before anything is replicated, so copies cost nothing here.
+
+Where pairs are to be exact (``exact_groups``), texts are their sets of shingle hashes. MinHash bands only propose pairs, and a
+pair links if the Jaccard similarity of the two sets reaches the one given. A first round confirms a spanning forest of the
+proposals; a second one confirms every proposed pair that the first has left in different groups. So the groups are those of
+all confirmed pairs, and a large group of near copies costs rows in proportion to its size.
 """
 
 from __future__ import annotations
@@ -51,6 +56,14 @@ HOT_ANCHOR = 50_000
 #: So many members of an anchor of that size are counted to tell.
 COUNTED = 1000
 
+#: MinHash bands and values in each. At a similarity of 0.8 a pair shares no band once in 16,000 times.
+BANDS, ROWS = 32, 6
+#: The last bits of the MinHash values, in words.
+SKETCH = ("s0", "s1", "s2")
+#: A pair is proposed if its sketches differ in no more bits than expected and so many standard deviations.
+DEVIATIONS = 4
+_MINHASH = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
+
 
 def _words(text: str) -> Iterator[list[bytes]]:
     if len(text) <= PIECE:
@@ -356,9 +369,154 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return members.join(groups, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("copies").alias("fingerprint_copies"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 4, similarity: float | None = None) -> DataFrame:
-    """docs with one row of each near-duplicate group: the one with the smallest id (null ids last, then by content)."""
-    members, groups = near_groups(docs, id_col, text_col, shingle, threshold, similarity)
+def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; a text of fewer than k words is one shingle, one without words has none."""
+    found, tail, n = [np.zeros(0, np.uint64)], [], 0
+    for words in _words(text or ""):
+        words = tail + words
+        if len(words) >= k:
+            hashes = [xxhash.xxh3_64_intdigest(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)]
+            found.append(np.unique(np.array(hashes, np.uint64)))
+            n += len(hashes)
+            words = words[len(words) - k + 1 :]
+        tail = words
+    if not n and tail:
+        found.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(tail), SEED)], np.uint64))
+    return np.unique(np.concatenate(found))
+
+
+def minhash(hashes: np.ndarray) -> tuple[list[int], list[int]]:
+    """The keys of the bands, and the sketch, of a set that isn't empty."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 1024):
+        low = np.minimum(low, ((hashes[i : i + 1024, None] ^ _MINHASH[0]) * _MINHASH[1]).min(0))
+    # the product's low bits depend on few bits of the hash, so a bit is taken from its middle
+    sketch = np.packbits((low >> np.uint64(31)).astype(np.uint8) & 1).view(np.int64)
+    keys = [xxhash.xxh3_64_intdigest(band.tobytes(), i) for i, band in enumerate(low.reshape(BANDS, ROWS))]
+    return np.array(keys, np.uint64).view(np.int64).tolist(), sketch.tolist()
+
+
+def sketch_bits(similarity: float) -> int:
+    """How many bits of the sketches of a proposed pair may differ."""
+    n, p = BANDS * ROWS, (1 - similarity) / 2
+    return int(n * p + DEVIATIONS * math.sqrt(n * p * (1 - p)))
+
+
+def _propose(pdf: pd.DataFrame, most: int, forest: bool) -> pd.DataFrame:
+    """Pairs of nodes of different labels that meet in a bucket with near sketches: a spanning forest of them, or all."""
+    keys, part = pdf["key"].to_numpy(), pdf["part"].to_numpy()
+    new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (part[1:] != part[:-1])])
+    size = np.diff(np.r_[new, len(keys)])
+    first, many = np.repeat(new, size), np.repeat(size, size)
+    node, label = pdf["node"].to_numpy(), pdf["label"].to_numpy()
+    words = [pdf[s].to_numpy() for s in SKETCH]
+    who = np.flatnonzero(pdf["home"].to_numpy(bool) & (many > 1))
+    total, done, us, vs = np.cumsum(many[who]), 0, [node[:0]], [node[:0]]
+    while done < len(who):
+        upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + AT_ONCE, "right")))
+        x = who[done:upto]
+        n = many[x]
+        mine = np.repeat(x, n)
+        other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[x], n)
+        apart = label[mine] != label[other]
+        mine, other = mine[apart], other[apart]
+        differ = sum(np.bitwise_count((w[mine] ^ w[other]).view(np.uint64)).astype(np.int64) for w in words)
+        u, v = node[mine[differ <= most]], node[other[differ <= most]]
+        if forest:
+            u, v = local_forest(u, v)
+        us.append(np.maximum(u, v))
+        vs.append(np.minimum(u, v))
+        done = upto
+    u, v = np.concatenate(us), np.concatenate(vs)
+    return pd.DataFrame(dict(zip("uv", local_forest(u, v), strict=True)) if forest else {"u": u, "v": v}).drop_duplicates()
+
+
+def _proposed(spread: DataFrame, most: int, forest: bool, hot: int) -> DataFrame:
+    """spread (key, node, label, sketch) to pairs (u > v), distinct. A bucket of over ``hot`` members is dealt to several tasks."""
+
+    def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        n = 0
+        for pdf in batches:
+            held.append(pdf)
+            n += len(pdf)
+            if n >= 200_000:
+                pdf = pd.concat(held, ignore_index=True)
+                last = (pdf["key"] == pdf["key"].iloc[-1]) & (pdf["part"] == pdf["part"].iloc[-1])
+                cut = int((~last).sum())  # sorted: the last bucket may go on in the next batch
+                if cut:
+                    yield _propose(pdf.iloc[:cut], most, forest)
+                held, n = [pdf.iloc[cut:]], len(pdf) - cut
+        if n:
+            yield _propose(pd.concat(held, ignore_index=True), most, forest)
+
+    some = spread.filter(F.pmod(F.xxhash64("key", "node"), F.lit(max(1, hot // COUNTED))) == 0)
+    crowd = some.groupBy("key").agg((F.count("*") * max(1, hot // COUNTED)).alias("n")).filter(F.col("n") > hot)
+    crowded = {r["key"]: int(r["n"] // hot + 1) for r in crowd.collect()}
+    spread = spread.withColumn("part", F.lit(0)).withColumn("home", F.lit(True))
+    if crowded:
+        named = spread.sparkSession.createDataFrame(list(crowded.items()), "key long, parts int")
+        spread = spread.drop("part").join(F.broadcast(named), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        spread = spread.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        spread = spread.withColumn("home", F.col("part") == F.pmod(F.xxhash64("node"), F.col("parts")))
+    width = int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = spread.select("key", "part", "home", "node", "label", *SKETCH).repartition(width, "key", "part").sortWithinPartitions("key", "part")
+    return spread.mapInPandas(propose, "u long, v long").distinct()
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, hot: int = HOT_ANCHOR) -> tuple[DataFrame, DataFrame]:
+    """Groups of texts whose sets of shingles have at least this Jaccard similarity, directly or through others.
+
+    Returns (members, groups): members has one row per input row (doc_id, row_hash, node), groups one per distinct set (node,
+    group_node). Null and wordless texts are one set. Every link is confirmed on the sets themselves.
+    """
+
+    @F.pandas_udf("node long, bands array<long>, s0 long, s1 long, s2 long")
+    def made(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            own = shingle_set(t, shingle)
+            bands, sketch = minhash(own) if len(own) else ([], [0, 0, 0])
+            rows.append((int.from_bytes(xxhash.xxh3_64_digest(own.tobytes(), SEED), "big", signed=True), bands, *sketch))
+        return pd.DataFrame(rows, columns=["node", "bands", *SKETCH])
+
+    @F.pandas_udf("array<long>")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, shingle).view(np.int64) for t in texts], dtype=object)
+
+    row_hash = F.xxhash64(F.col(id_col), F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_hash.alias("row_hash"), made(F.col(text_col)).alias("made"))
+    rows = keep(rows.select("doc_id", "row_hash", "made.*"), "minhashes")
+    members = rows.select("doc_id", "row_hash", "node")
+    names = keep(rows.groupBy("node").agg(F.min("row_hash").alias("row_hash")), "nodes")
+    one = rows.join(names, ["node", "row_hash"], "left_semi").dropDuplicates(["node"]).select("node", F.col("node").alias("label"), F.explode("bands").alias("key"), *SKETCH)
+    spread = keep(one, "buckets")
+    most = sketch_bits(similarity)
+    first = keep(_proposed(spread, most, True, hot), "proposed")
+    # every node of a proposed pair is in the forest, so only their sets are needed
+    met = keep(first.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "met")
+    texts = docs.select(row_hash.alias("row_hash"), F.col(text_col).alias("text")).join(names.join(met, "node", "left_semi"), "row_hash").dropDuplicates(["node"])
+    sets = keep(texts.select("node", hashes("text").alias("hashes")), "sets")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
+        shared = F.size(F.array_intersect("a", "b"))
+        return both.filter(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v")
+
+    links_ = keep(confirmed(first), "confirmed")
+    found = components(links_)
+    labelled = spread.drop("label").join(met, "node", "left_semi").join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    rest = keep(_proposed(keep(labelled, "labelled"), most, False, hot).join(first, ["u", "v"], "left_anti"), "proposed")
+    found = components(links_.unionByName(confirmed(rest))).withColumnRenamed("node", "of")
+    groups = names.join(found, names["node"] == found["of"], "left").select("node", F.coalesce("component", "node").alias("group_node"))
+    return members, keep(groups, "groups")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 4, similarity: float | None = None, exact: bool = False) -> DataFrame:
+    """docs with one row of each near-duplicate group: the one with the smallest id (null ids last, then by content). If ``exact``, links are confirmed by their Jaccard similarity."""
+    if exact and similarity is None:
+        raise ValueError("exact groups need a similarity")
+    members, groups = exact_groups(docs, id_col, text_col, shingle, similarity) if exact else near_groups(docs, id_col, text_col, shingle, threshold, similarity)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash"))
     # repeated rows are one before a group's rows meet
     best = members.select("node", "doc_id", "row_hash").distinct().groupBy("node").agg(first.alias("best"))

@@ -158,6 +158,42 @@ def test_near_groups_with_confirming_bits(spark):
     assert simhash.keep_one(docs, shingle=5, threshold=7, similarity=0.8).count() == len(set(got.values())) < len(texts) - 12
 
 
+def slow_jaccard_groups(texts, least, k=5):
+    sets = []
+    for t in texts:
+        w = words(t)
+        sets.append({" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} or ({" ".join(w)} if w else set()))
+    label = list(range(len(sets)))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if sets[i] == sets[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+            label = [label[i] if x == label[j] else x for x in label]
+    return {frozenset(i for i, x in enumerate(label) if x == g) for g in set(label)}
+
+
+@pytest.mark.parametrize("hot", [simhash.HOT_ANCHOR, 10])
+def test_exact_groups_against_brute_force(spark, hot):
+    rng = random.Random(9)
+    make = lambda n: " ".join(rng.choice("abcdefghijkl") + str(rng.randrange(40)) for _ in range(n))
+    texts = [None, "", "one two", "one two", "one  Two", " "]
+    for _ in range(12):
+        w = make(120).split()
+        for changes in (0, 1, 2, 2, 3, 3, 4, 4, 5, 8):
+            v = list(w)
+            for at in rng.sample(range(len(v)), changes):
+                v[at] = "changed"
+            texts.append(" ".join(v))
+    # the repeated line rules the majority of the shingles, but is a small part of the set
+    texts += ["the same line all over again " * 300 + make(60) for _ in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    members, groups = simhash.exact_groups(docs, similarity=0.8, hot=hot)
+    got = {}
+    for r in members.join(groups, "node").collect():
+        got.setdefault(r["group_node"], set()).add(r["doc_id"])
+    want = slow_jaccard_groups(texts, 0.8)
+    assert set(map(frozenset, got.values())) == want
+    assert corpus_pipeline.near_duplicates(spark, docs, "").count() == len(want)
+
+
 def test_crowded_anchors_are_dealt_to_parts(spark):
     fps = spark.createDataFrame([(i,) for i in range(200)], "fp long")
     for hot in (20, 10_000):

@@ -56,6 +56,10 @@ def fold(text: str) -> tuple[np.ndarray, np.ndarray]:
     return x[at], at
 
 
+def _words(x: np.ndarray) -> list[str]:
+    return x.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").split(" ") if len(x) else []
+
+
 def qgrams(x: np.ndarray) -> np.ndarray:
     """A 64-bit hash of every q-gram (q = 10 = 8 + 2), by doubling."""
     h = x.astype(np.uint64)
@@ -112,19 +116,21 @@ class Index:
     mask: np.ndarray
     reach: int
     k1: np.ndarray
+    short: dict[tuple[str, ...], int]
 
     @staticmethod
     def of(items: list[tuple[int, str]], rate: float = RATE) -> Index:
-        """Null items, and items of fewer than q folded characters, have no q-gram and match nothing. Items equal when folded are one, by the smallest id."""
+        """Null and empty items match nothing. Items of fewer than q folded characters have no q-gram and match exactly, as whole words. Items equal when folded are one, by the smallest id (null last)."""
         texts: dict[bytes, tuple[int, np.ndarray]] = {}
-        for i, text in sorted(((i, t) for i, t in items if t is not None and i is not None)):
+        for i, text in sorted(((i, t) for i, t in items if t is not None), key=lambda one: (one[0] is None, one[0] or 0, one[1])):
             x, _ = fold(text)
             x = x[: len(x) - 1] if len(x) and x[-1] == 32 else x
-            if len(x) >= Q:
+            if len(x):
                 texts.setdefault(x.tobytes(), (i, x))
         ids, xs = [i for i, _ in texts.values()], [x for _, x in texts.values()]
         m = np.array([len(x) for x in xs], np.int64)
-        k = np.minimum((rate * m).astype(np.int64), (m - Q) // Q)
+        k = np.maximum(np.minimum((rate * m).astype(np.int64), (m - Q) // Q), 0)
+        short = {tuple(_words(x)): j for j, x in enumerate(xs) if len(x) < Q}
         grams = [qgrams(x) for x in xs]
         code = np.concatenate([*grams, np.zeros(0, np.uint64)]).astype(np.uint64)
         item = np.repeat(np.arange(len(xs)), [len(g) for g in grams])
@@ -133,7 +139,7 @@ class Index:
         codes, first = np.unique(code[order], return_index=True)
         mask = np.zeros(1 << FILTER_BITS, bool)
         mask[codes >> np.uint64(64 - FILTER_BITS)] = True
-        return Index(ids, xs, k, m - Q + 1 - k * Q, codes, np.r_[first, len(code)], item[order], place[order], mask, 4 * int(m.max(initial=0) + k.max(initial=0)) + 64, k + 1)
+        return Index(ids, xs, k, m - Q + 1 - k * Q, codes, np.r_[first, len(code)], item[order], place[order], mask, 4 * int(m.max(initial=0) + k.max(initial=0)) + 64, k + 1, short)
 
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item, start, end, edits) of every passage found, by place in the text; of overlapping ones of an item, the best."""
@@ -144,6 +150,8 @@ class Index:
         reach = self.reach
         for i in range(0, max(1, len(x) - reach), PIECE):
             found += self._piece(x[i : i + PIECE + reach], i)
+        if self.short:
+            found += self._short(x)
         best: list[tuple[int, int, int, int]] = []
         for item, same in itertools.groupby(sorted(set(found), key=lambda f: (f[0], f[3], f[1])), key=lambda f: f[0]):
             taken: list[tuple[int, int]] = []  # by start, none overlapping
@@ -152,7 +160,18 @@ class Index:
                 if (i == 0 or taken[i - 1][1] <= start) and (i == len(taken) or end <= taken[i][0]):
                     taken.insert(i, (start, end))
                     best.append((item, start, end, edits))
-        return sorted((self.ids[j], int(at[a]), int(at[b - 1]) + 1, e) for j, a, b, e in best)
+        return sorted(((self.ids[j], int(at[a]), int(at[b - 1]) + 1, e) for j, a, b, e in best), key=lambda f: (f[0] is None, f[0] or 0, *f[1:]))
+
+    def _short(self, x: np.ndarray) -> list[tuple[int, int, int, int]]:
+        words = _words(x)
+        ends = list(itertools.accumulate(len(w) + 1 for w in words))
+        out = []
+        for n in {len(w) for w in self.short}:
+            for i in range(len(words) - n + 1):
+                item = self.short.get(tuple(words[i : i + n]))
+                if item is not None:
+                    out.append((item, ends[i] - len(words[i]) - 1, ends[i + n - 1] - 1, 0))
+        return out
 
     def _piece(self, x: np.ndarray, offset: int) -> list[tuple[int, int, int, int]]:
         h = qgrams(x)
@@ -221,7 +240,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     texts match nothing; repeated rows get equal results; other columns stay as they are. Whole texts are searched.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).filter("text IS NOT NULL AND id IS NOT NULL")
+    items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).filter("text IS NOT NULL")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = int(chars // INDEX_CHARS) + 1
     out, names = docs, []

@@ -270,6 +270,15 @@ def test_decontamination(spark):
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(texts) and decontaminate.clean(docs.limit(0), bench).count() == 0
 
 
+def test_short_items_and_items_without_an_id(spark):
+    items = [(1, "Zwölf!"), (2, "x y z"), (3, "東京都"), (None, "a passage of an item that has no name")]
+    texts = [(1, "Um zwölf."), (2, "zwölfte"), (3, "X, y  z"), (4, "x y zz"), (5, "in 東京都 now"), (6, "see: A passage of an item that has no name, here"), (7, None), (8, "")]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: [tuple(f) for f in r["found"] or []] for r in decontaminate.find_passages(docs, bench).collect()}
+    assert got == {1: [(1, 3, 8, 0)], 2: [], 3: [(2, 0, 7, 0)], 4: [], 5: [(3, 3, 6, 0)], 6: [(None, 5, 42, 0)], 7: [], 8: []}
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == [2, 4, 7, 8]
+
+
 def test_long_texts_are_searched_whole(monkeypatch):
     item = prose("fr", 30)
     text = prose("en", 4000) + " " + item + " " + prose("en", 4000)

@@ -446,19 +446,21 @@ def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(0, 0.2, 8).tolist()) for i in range(900)] + [(900 + i, [0.5] * 8) for i in range(300)]
     rows += [(2000, None), (2020, [None] + [0.1] * 7), (2040, [float("nan")] * 8), (2060, [float("inf")] * 8), (2080, [0.1, 0.2]), (None, [0.3] * 8)]
+    rows += [rows[20], (20, [0.5] * 8), (20, [-0.5] * 8), (21, [1.0] * 8), (2100, [1e7] * 8), (2100, [1e7] * 8), (2120, [-3e16] * 8)]
     vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), "vec_id", "embedding")
+    monkeypatch.setattr(topk, "QUERY_ROWS", 7)  # several batches and waves
     got = topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"), 20).collect()
     sound = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    want = set()
-    for q, v in sound:
+    want, long = Counter(), lambda s: max(min(s, (1 << 63) - 1), -(1 << 63))
+    for at, (q, v) in enumerate(sound):
         if q is not None and q % 20 == 0:
-            scored = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), i is None, i) for i, w in sound if i != q and len(w) == len(v)))[:20]
-            want |= {(q, rank + 1, i, -s) for rank, (s, _, i) in enumerate(scored)}
-    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want and len(got) == len(want)
+            scored = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), i is None, i) for j, (i, w) in enumerate(sound) if j != at and len(w) == len(v)))[:20]
+            want.update((q, rank + 1, i, long(-s)) for rank, (s, _, i) in enumerate(scored))
+    assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("kind", ["dense", "sparse", "equal", "one id", "large"])
+@pytest.mark.parametrize("kind", ["dense", "sparse", "equal", "one id", "large", "huge"])
 def test_top_k_of_a_block(kind):
     rng = np.random.default_rng(4)
     n, dims, k = 700, 12, 5
@@ -467,15 +469,24 @@ def test_top_k_of_a_block(kind):
         x[rng.random((n, dims)) < 0.9] = 0
         x[rng.integers(0, n, 30)] *= 50  # long rows, found early
     if kind == "large":
-        x *= 1 << 20
+        x = rng.integers(-(10**9), 10**9, (n, dims))
+    if kind == "huge":
+        x = rng.integers(-(1 << 62), 1 << 62, (n, dims))
     if kind == "equal":
         x[:] = x[0]
     ids = rng.permutation(n) if kind != "one id" else np.where(np.arange(n) < 690, 3, np.arange(n))
     some = rng.integers(0, n, 90)
-    got = topk.search(topk.build(ids, x), ids[some], x[some], k)
-    for (found, scores), at in zip(got, some, strict=True):
-        want = sorted((-int(x[j] @ x[at]), int(ids[j])) for j in range(n) if ids[j] != ids[at])[:k]
-        assert [(-s, i) for i, s in zip(found.tolist(), scores.tolist(), strict=True)] == want
+    every = [sorted((-sum(a * b for a, b in zip(x[j].tolist(), x[at].tolist(), strict=True)), int(ids[j])) for j in range(n))[:k] for at in some]
+    floors = None if kind == "huge" else np.array([-e[k // 2][0] for e in every])
+    for least in (None, floors):
+        got = topk.search(topk.build(ids, x), x[some], k, least)
+        for i, ((found, scores), want) in enumerate(zip(got, every, strict=True)):
+            have = [(-int(s), int(j)) for j, s in zip(found, scores, strict=True)]
+            assert have == want if least is None else [h for h in have if -h[0] >= least[i]] == [w for w in want if -w[0] >= least[i]]
+    scores = [s for e in every for s, _ in e] + [-(1 << 62), -1, 0, 1, 1 << 62]
+    assert topk._ordered(np.array(sorted(scores), object)) == sorted(topk._ordered(np.array(scores, object)))
+    if kind != "huge":
+        assert topk._ordered(np.array(scores, np.int64)) == topk._ordered(np.array(scores, object))
 
 
 def slow_url(url):

@@ -289,20 +289,28 @@ def test_long_texts_are_searched_whole(monkeypatch):
 
 
 def test_sharding(spark, docs, rows):
-    clash = docs.withColumn("shard", F.lit("x")).withColumn("h", F.lit(1))
-    got = sharding.shards(clash, n_shards=16, bucket_rows=16).collect()
-    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+    clash = docs.withColumn("shard", F.lit("x")).withColumn("shard_", F.lit("y")).withColumn("at", F.lit(1)).withColumn("bucket", F.create_map(F.lit("a"), F.lit(2)))
+    got = sharding.shards(clash, n_shards=16, bucket_bytes=1024).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r[0], r[1]) for r in rows)
+    assert {(r["shard__"], r["shard_"], r["at"], r["bucket"]["a"]) for r in got} == {("x", "y", 1, 2)}
     by = {}
     for r in got:
         by.setdefault(r["shard"], []).append(r["slot"])
     assert set(by) == set(range(16)) and all(sorted(s) == list(range(len(s))) for s in by.values())
     assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
     key = lambda r: (r["shard"], r["slot"], r["doc_id"])
-    assert sorted(map(str, map(key, got))) == sorted(map(str, map(key, sharding.shards(clash, n_shards=16, bucket_rows=16).collect())))
+    assert sorted(map(str, map(key, got))) == sorted(map(str, map(key, sharding.shards(clash, n_shards=16, bucket_bytes=1024).collect())))
+    assert sorted(map(str, map(key, got))) != sorted(map(str, map(key, sharding.shards(clash, n_shards=16, bucket_bytes=1024, seed=12).collect())))
     assert sharding.shards(docs.limit(0)).count() == 0
-    hot = spark.range(3000).select(F.when(F.col("id") < 1000, F.lit(None)).otherwise(F.col("id")).alias("doc_id"), F.lit("t").alias("text"))
-    places = sorted(r[0] for r in sharding.shuffled(hot, "doc_id", bucket_rows=200).select("__place").collect())
-    assert places == list(range(3000))
+
+
+def test_repeated_rows_spread_over_the_buckets(spark):
+    hot = spark.range(3000).select(F.when(F.col("id") < 1000, F.lit(None)).when(F.col("id") < 2500, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.lit("t").alias("text"))
+    got = sharding.shuffled(hot, "doc_id", bucket_bytes=200 * sharding.ROW_BYTES).select("place", "row.doc_id").collect()
+    assert sorted(r["place"] for r in got) == list(range(3000))
+    # a fair shuffle has about as many rows of each id in the first half as in the second
+    first = Counter(r["doc_id"] for r in got if r["place"] < 1500)
+    assert abs(first[None] - 500) < 100 and abs(first[7] - 750) < 110
 
 
 def test_sharding_writes_files(spark, docs, rows, tmp_path):

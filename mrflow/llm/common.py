@@ -50,3 +50,16 @@ def ascii_lower(text: Column) -> Column:
 def n_words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def free_names(columns: list[str], taken: list[str]) -> dict[str, str]:
+    """The columns and the names they get beside new ones: their own, with underscores added while it is one of ``taken``."""
+    new = {t.lower() for t in taken}
+    used, names = new | {c.lower() for c in columns}, {}
+    for c in columns:
+        name = c
+        while name.lower() in used and c.lower() in new:
+            name += "_"
+        used.add(name.lower())
+        names[c] = name
+    return names

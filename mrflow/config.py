@@ -28,6 +28,6 @@ class EngineConfig:
             conf["spark.executor.memory"] = self.memory_per_executor
         return conf
 
-    def session(self, name: str = "mrflow", master: str | None = None) -> SparkSession:
-        builder = SparkSession.builder.appName(name).config(map=self.spark_conf())
+    def session(self, name: str = "mrflow", master: str | None = None, more: dict[str, str] | None = None) -> SparkSession:
+        builder = SparkSession.builder.appName(name).config(map=self.spark_conf() | (more or {}))
         return (builder.master(master) if master else builder).getOrCreate()

@@ -9,11 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from ..plans.job import FileTransferJob, InvalidJob
-
-
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+from ..sources.scratch import file_system as _fs
 
 
 def _names(spark: SparkSession, folder: str) -> list[str]:

@@ -32,11 +32,14 @@ def _register(kind: str, name: str, **facts):
     return keep
 
 
-def mapper(name: str, native: bool = False, schema: str | None = None):
-    """native: DataFrame (and auxiliary data) to DataFrame, its first column the key. Else: line, auxiliary data to items of ``schema``."""
+def mapper(name: str, native: bool = False, schema: str | None = None, merge: Callable | None = None):
+    """native: DataFrame (and auxiliary data) to DataFrame, its first column the key. Else: line, auxiliary data to items of ``schema``.
+
+    merge: a function of two items of a key that makes one; a task then merges its items before they are dealt out.
+    """
     if not native and not schema:
         raise ValueError("an opaque function needs the schema of its items")
-    return _register("map", name, native=native, schema=schema)
+    return _register("map", name, native=native, schema=schema, merge=merge)
 
 
 def reducer(name: str, native: bool = False, schema: str | None = None, order_by: tuple[str, ...] = (), merge: Callable | None = None):
@@ -51,6 +54,7 @@ def reducer(name: str, native: bool = False, schema: str | None = None, order_by
 
 def find(kind: str, name: str, project: str | None = None) -> Function:
     if project:
+        # its functions go to the workers with it
         try:
             importlib.import_module(project)
         except ModuleNotFoundError as e:

@@ -15,7 +15,8 @@ def tokens(text: Column) -> Column:
 
 
 def explode_tokens(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
-    return df.select(*keep, F.explode(tokens(F.col(text_col))).alias("token"))
+    """The words of a text as rows. The empty ones that splitting leaves go afterwards, which needs no second array."""
+    return df.select(*keep, F.explode(F.split(F.lower(text_col), NOT_WORD)).alias("token")).filter("token <> ''")
 
 
 def count_by(df: DataFrame, *keys: str, into: str = "n") -> DataFrame:

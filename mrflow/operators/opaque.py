@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, BooleanType, DateType, IntegralType, MapType, StringType, StructType, VariantType
 
-ROWS = 10_000
+from ..functions.shipping import ship
+
+#: Items and characters of a batch that a function puts out.
+ROWS, CHARS = 10_000, 8 << 20
 PLAIN = (StringType, IntegralType, BooleanType, DateType, BinaryType)
 
 
@@ -27,8 +30,28 @@ def _tuples(batch: pa.RecordBatch) -> Iterator[tuple]:
     return zip(*(c.to_pylist() for c in batch.columns), strict=True) if batch.num_columns else iter(())
 
 
+def _weight(value: Any) -> int:
+    if isinstance(value, (str, bytes)):
+        return len(value)
+    return sum(map(_weight, value.values() if isinstance(value, dict) else value)) if isinstance(value, (list, tuple, dict)) else 8
+
+
 def _batches(items: Iterator[Sequence], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    while some := list(itertools.islice(items, ROWS)):
+    long = [i for i, f in enumerate(schema) if not pa.types.is_primitive(f.type)]
+
+    def cut() -> Iterator[list]:
+        some, chars = [], 0
+        for item in items:
+            some.append(item)
+            for i in long:
+                chars += _weight(item[i])
+            if len(some) >= ROWS or chars >= CHARS:
+                yield some
+                some, chars = [], 0
+        if some:
+            yield some
+
+    for some in cut():
         columns = zip(*some, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -42,6 +65,7 @@ def flat_map(df: DataFrame, function: Callable[[Any, Any], Sequence], schema: st
 
     With ``merge`` a task merges its items of equal keys before they leave it, as ``combine`` does.
     """
+    ship(df.sparkSession)
     shared, out, single = df.sparkSession.sparkContext.broadcast(aux), _arrow(schema), len(df.columns) == 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,6 +116,7 @@ def sortable(df: DataFrame, names: Sequence[str]) -> list:
 
 def reduce_groups(df: DataFrame, keys: Sequence[str], function: Callable[[Iterator[tuple], Any], Sequence], schema: str, aux: Any = None, order_by: Sequence[str] | None = None, partitions: int | None = None) -> DataFrame:
     """function(items of a key, aux) to any number of items. Items come as whole tuples, ordered by order_by (all other columns if not given)."""
+    ship(df.sparkSession)
     values = [c for c in df.columns if c not in keys] if order_by is None else list(order_by)
     shared, out = df.sparkSession.sparkContext.broadcast(aux), _arrow(schema)
     key = _key_of(df.schema, keys)
@@ -101,8 +126,8 @@ def reduce_groups(df: DataFrame, keys: Sequence[str], function: Callable[[Iterat
         groups = itertools.groupby(rows, key=key)
         yield from _batches((item for _, group in groups for item in function(group, shared.value)), out)
 
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartition(n, *[F.col(f"`{k}`") for k in keys])
+    # without a number of partitions Spark may join small ones
+    dealt = df.repartition(*([partitions] if partitions else []), *[F.col(f"`{k}`") for k in keys])
     return dealt.sortWithinPartitions(*sortable(df, [*keys, *values])).mapInArrow(run, schema)
 
 
@@ -113,6 +138,7 @@ def sub_groups(items: Iterator[tuple], at: int = 0) -> Iterator[tuple[Any, Itera
 
 def combine(df: DataFrame, keys: Sequence[str], function: Callable[[tuple, tuple], tuple], most: int = 100_000) -> DataFrame:
     """Merge items of equal keys within a task before the exchange, with at most ``most`` keys held: eases hot keys of mergeable reducers."""
+    ship(df.sparkSession)
     out = to_arrow_schema(df.schema, prefers_large_types=False)
     key = _key_of(df.schema, keys)
 

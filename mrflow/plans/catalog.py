@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 from collections.abc import Callable
 from decimal import Decimal
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import registry
 from ..operators import native, opaque
-from ..sources import readers
-from .job import Job, ScriptJob
+from ..sources import readers, scratch, sinks
+from .job import FileTransferJob, Job, MapReduceJob, ScriptJob, compile_job, run_mapreduce
 
 _WORD = re.compile(r"[^\W_]+")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,7 +98,7 @@ def q08_dedup_text(spark, sf_dir):
 
 @query(f"SELECT token, doc_id, count(*) AS n FROM ({TOKENS}) WHERE token <> '' GROUP BY token, doc_id")
 def q09_inverted_index(spark, sf_dir):
-    """Postings as rows: a token in every document makes many rows and no long list."""
+    """Postings as rows: a token in every document makes many rows and no long list. Tokens of a pair mostly meet in the map task already."""
     return native.count_by(native.explode_tokens(table(spark, sf_dir, "documents"), "text", "doc_id"), "token", "doc_id")
 
 
@@ -131,6 +134,12 @@ def q11_event_path(spark, sf_dir):
     return opaque.reduce_groups(items, ["user_id"], _steps, "user_id long, step long, event_type string")
 
 
+@query(_SQL["q11_event_path"])
+def q11_native_event_path(spark, sf_dir):
+    step = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return table(spark, sf_dir, "events").select("user_id", step.cast("long").alias("step"), "event_type")
+
+
 PAIRS = "SELECT event_type AS first_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS second_type FROM events"
 
 
@@ -193,15 +202,26 @@ def q15_topk_per_supplier(spark, sf_dir):
 
 def _supplier(group, aux):
     key, total, n = None, Decimal(0), 0
-    for key, qty in group:  # noqa: B007
-        total, n = total + (qty or 0), n + 1
+    for key, qty, some in group:  # noqa: B007
+        total, n = total + qty, n + some
     yield key, n, float(total)
 
 
+def _same_supplier(a, b):
+    return a[0], a[1] + b[1], a[2] + b[2]
+
+
 @query("SELECT l_suppkey, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_qty FROM lineitem GROUP BY l_suppkey")
 def q16_streaming_group(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_quantity").cast("decimal(18,2)").alias("qty"))
-    return opaque.reduce_groups(items, ["l_suppkey"], _supplier, "l_suppkey long, n long, sum_qty double", order_by=[])
+    """The reducer adds up, so a task merges its items before they are dealt out."""
+    qty = F.coalesce(F.col("l_quantity").cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
+    items = table(spark, sf_dir, "lineitem").select("l_suppkey", qty.alias("qty"), F.lit(1).cast("long").alias("n"))
+    return opaque.reduce_groups(opaque.combine(items, ["l_suppkey"], _same_supplier), ["l_suppkey"], _supplier, "l_suppkey long, n long, sum_qty double", order_by=[])
+
+
+@query(_SQL["q16_streaming_group"])
+def q16_native_group(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double"), F.lit(0.0)).alias("sum_qty"))
 
 
 @query("SELECT c_custkey, c_name, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
@@ -229,6 +249,14 @@ def q18_tagged_join(spark, sf_dir):
     return opaque.reduce_groups(left.unionByName(right), ["key"], _tagged, "n_name string, n_customers long, cents long", order_by=["tag"])
 
 
+@query(_SQL["q18_tagged_join"])
+def q18_native_join(spark, sf_dir):
+    """Customers are added up by nation before the nation's name is looked up."""
+    cents = F.sum(F.round(F.col("c_acctbal") * 100).cast("long"))
+    per = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n_customers"), cents.alias("cents"))
+    return native.lookup(per, table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey", "inner").select("n_name", "n_customers", "cents")
+
+
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def q19_semi(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")
@@ -304,9 +332,10 @@ def q29_json_props(spark, sf_dir):
 p AS (SELECT t, unnest(generate_series(1, len(t) - 1)) AS i FROM t WHERE len(t) > 1)
 SELECT t[i] AS first, t[i + 1] AS second, count(*) AS n FROM p GROUP BY ALL""")
 def q30_bigrams(spark, sf_dir):
+    """One pass over a text's tokens: each place gives the token there and the next one."""
     t = table(spark, sf_dir, "documents").select(native.tokens(F.col("text")).alias("t")).filter("size(t) > 1")
-    pair = F.zip_with(F.expr("slice(t, 1, size(t) - 1)"), F.expr("slice(t, 2, size(t) - 1)"), lambda a, b: F.struct(a.alias("first"), b.alias("second")))
-    return native.count_by(t.select(F.explode(pair).alias("p")).select("p.first", "p.second"), "first", "second")
+    pairs = t.select("t", F.explode(F.sequence(F.lit(1), F.size("t") - 1)).alias("i")).select(F.element_at("t", F.col("i")).alias("first"), F.element_at("t", F.col("i") + 1).alias("second"))
+    return native.count_by(pairs, "first", "second")
 
 
 def _conversation(group, aux):
@@ -338,6 +367,12 @@ def q32_scheduler_log(spark, sf_dir):
     return spark.createDataFrame([(i, e["cycle"], e["job_name"], e["success"]) for i, e in enumerate(log)], "step int, cycle int, job_name string, success boolean")
 
 
+@query("SELECT conv_id, count(*) AS n_turns, arg_min(role, turn) AS first_role, arg_max(role, turn) AS last_role, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY conv_id")
+def q31_native_conversations(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    return turns.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.min_by("role", "turn").alias("first_role"), F.max_by("role", "turn").alias("last_role"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n_chars"))
+
+
 @query("SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")
 def q33_distinct(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment").distinct()
@@ -346,3 +381,177 @@ def q33_distinct(spark, sf_dir):
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 def q34_cube(spark, sf_dir):
     return table(spark, sf_dir, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def q35_rollup(spark, sf_dir):
+    return table(spark, sf_dir, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
+def q36_grouping_sets(spark, sf_dir):
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    return table(spark, sf_dir, "orders").groupingSets([[status], [priority], []], status, priority).agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def q37_intersect(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).intersect(table(spark, sf_dir, "supplier").select("s_nationkey"))
+
+
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def q38_except(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id").subtract(table(spark, sf_dir, "labels").select("doc_id"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+def q39_order_limit(spark, sf_dir):
+    """A global order with a limit: every task offers its first hundred."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
+
+
+# From here on queries go the whole way of a job: text files in folders, named functions, written output, kept state.
+
+
+@registry.mapper("catalog_words", schema="token string, n long", merge=lambda a, b: (a[0], a[1] + b[1]))
+def _words_of_line(line, aux):
+    return [(t, n) for t, n in _count_line(line, aux) if not aux or t not in aux]
+
+
+@registry.reducer("catalog_total", schema="token string, n long", merge=lambda a, b: (a[0], a[1] + b[1]))
+def _total(group, aux):
+    return _add_up(group, aux)
+
+
+@registry.mapper("catalog_native_words", native=True)
+def _native_words(lines, aux=None):
+    return native.explode_tokens(lines, "value").withColumn("n", F.lit(1).cast("long"))
+
+
+@registry.reducer("catalog_native_total", native=True)
+def _native_total(items, aux=None):
+    return native.merge_sums([items], ["token"], ["n"])
+
+
+@registry.mapper("catalog_counts_of_items", schema="occurrences long, n_tokens long", merge=lambda a, b: (a[0], a[1] + b[1]))
+def _count_of_item(line, aux):
+    return [(json.loads(line)[1], 1)]
+
+
+@registry.reducer("catalog_histogram", schema="occurrences long, n_tokens long", merge=lambda a, b: (a[0], a[1] + b[1]))
+def _histogram(group, aux):
+    return _add_up(group, aux)
+
+
+def _text_files(spark, sf_dir, folder: str, half: int | None = None) -> str:
+    """The documents' texts as files of lines in a folder; half: those of even or odd ids."""
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    docs = docs if half is None else docs.filter(F.pmod("doc_id", F.lit(2)) == half)
+    sinks.write(docs.select("text"), folder, "lines", append=True)
+    return folder
+
+
+def _job(spark, name: str, inputs: list[str], out: str, **more) -> MapReduceJob:
+    return MapReduceJob(**{"job_name": name, "job_priority": 1, "inputs": inputs, "map_function_name": "catalog_words", "reduce_function_name": "catalog_total", "output_dir": out} | more)
+
+
+@query(Q01)
+def q40_text_folders(spark, sf_dir):
+    """A job over two folders of text, one of them gzip: native functions, output compressed and in rolling parts."""
+    folders = [scratch.folder(spark, "in") for _ in "ab"]
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    for i, folder in enumerate(folders):
+        sinks.write(docs.filter(F.pmod("doc_id", F.lit(2)) == i).select("text"), folder, "lines", compress=i == 1)
+    out = scratch.folder(spark, "out")
+    run_mapreduce(spark, _job(spark, "folders", folders, out, map_function_name="catalog_native_words", reduce_function_name="catalog_native_total", compress=True, max_records_per_file=10_000))
+    return spark.read.schema("token string, n long").json(out)
+
+
+@query(Q01)
+def q41_ledger_delta(spark, sf_dir):
+    """Three runs over a folder that grows, the third with nothing new; opaque functions, outputs merged."""
+    from ..streaming import incremental
+
+    folder, out = scratch.folder(spark, "in"), scratch.folder(spark, "out")
+    job = _job(spark, "delta", [folder], out, hold_state=True, delete_job_data=False, streaming_group=True)
+    for half in (0, 1, None):
+        if half is not None:
+            _text_files(spark, sf_dir, folder, half)
+        incremental.run_delta(spark, job)
+    return incremental.merged_output(spark, job)
+
+
+@query(Q01)
+def q42_state_reset(spark, sf_dir):
+    """A run without hold_state forgets what was seen and reads all files again."""
+    folder, out = scratch.folder(spark, "in"), scratch.folder(spark, "out")
+    _text_files(spark, sf_dir, folder, 0)
+    run_mapreduce(spark, _job(spark, "reset", [folder], out, hold_state=True))
+    _text_files(spark, sf_dir, folder, 1)
+    run_mapreduce(spark, _job(spark, "reset", [folder], out))
+    return spark.read.schema("token string, n long").json(out)
+
+
+@query(Q01)
+def q43_streaming_counts(spark, sf_dir):
+    """Structured Streaming over the same folder: what came since the last call is counted and added."""
+    from ..streaming import incremental
+
+    folder, state, parts = (scratch.folder(spark, n) for n in ("in", "state", "parts"))
+    for half in (0, 1):
+        _text_files(spark, sf_dir, folder, half)
+        counts = incremental.token_counts_so_far(spark, folder, state, parts)
+    return counts
+
+
+@query(_SQL["q27_count_histogram"])
+def q44_job_chain(spark, sf_dir):
+    """A job writes items as JSON lines, and the next one's map function reads them."""
+    folder, items, out = (scratch.folder(spark, n) for n in ("in", "items", "out"))
+    _text_files(spark, sf_dir, folder)
+    run_mapreduce(spark, _job(spark, "first", [folder], items, output_format="items", compress=True))
+    return compile_job(spark, _job(spark, "second", [items], out, map_function_name="catalog_counts_of_items", reduce_function_name="catalog_histogram"))
+
+
+@query(f"SELECT token, n FROM ({Q01}) WHERE token NOT IN ('the', 'and', 'de', 'der')")
+def q45_auxiliary_file(spark, sf_dir):
+    """Auxiliary data goes to the shared store by a transfer, and from there to every map task."""
+    from ..control.transfer import transfer
+
+    folder, far = scratch.folder(spark, "in"), scratch.folder(spark, "aux")
+    _text_files(spark, sf_dir, folder)
+    with tempfile.TemporaryDirectory() as local:  # the driver's own disk is where a transfer starts
+        (Path(local) / "stop.json").write_text(json.dumps(["the", "and", "de", "der"]))
+        transfer(spark, FileTransferJob(job_name="aux", job_priority=1, transfer_type="upload_auxiliary", input_file_name=f"{local}/stop.json", auxiliary_data_name="stop", output_dir=far))
+    return compile_job(spark, _job(spark, "stop", [folder], "-", aux_dir=far, aux_map="stop"))
+
+
+@query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n, min(event_id) AS least FROM events GROUP BY ALL")
+def q46_json_lines(spark, sf_dir):
+    """Rows as JSON lines, compressed and in rolling parts, read back by schema."""
+    folder = scratch.folder(spark, "json")
+    sinks.write(table(spark, sf_dir, "events").select("event_id", "event_type", "props"), folder, "json", compress=True, max_records_per_file=1000)
+    back = readers.read_json_lines(spark, [folder], "event_id long, event_type string, props string")
+    return back.groupBy("event_type", F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"), F.min("event_id").alias("least"))
+
+
+@query("SELECT event_id % 7 = 0 AS bad, count(*) AS n, CAST(sum(CASE WHEN event_id % 7 = 0 THEN 0 ELSE event_id END) AS BIGINT) AS ids FROM events GROUP BY 1")
+def q47_bad_lines(spark, sf_dir):
+    """Lines that are no JSON are kept apart, and the others lose nothing."""
+    folder = scratch.folder(spark, "lines")
+    line = F.when(F.pmod("event_id", F.lit(7)) == 0, F.lit("{no")).otherwise(F.to_json(F.struct("event_id", "event_type")))
+    sinks.write(table(spark, sf_dir, "events").select(line.alias("value")), folder, "lines")
+    back = readers.read_json_lines(spark, [folder], "event_id long, event_type string", keep_bad=True)
+    return back.groupBy(F.col(readers.BAD_LINE).isNotNull().alias("bad")).agg(F.count("*").alias("n"), F.coalesce(F.sum("event_id"), F.lit(0)).alias("ids"))
+
+
+@query()
+def q48_sample_of_text_files(spark, sf_dir):
+    """Which of a folder's files a sample by path takes, and that their lines come whole."""
+    folder = scratch.folder(spark, "in")
+    sinks.write(table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.md5("text")), folder, "values", max_records_per_file=50)
+    files = readers.list_files(spark, [folder])
+    few = {n for _, n in readers.sampled(files, 0.5)}
+    lines = readers.read_text(spark, [folder], 0.5).count()
+    whole = spark.read.text([f"{folder}/{n}" for n in sorted(few)]).count() if few else 0
+    return spark.createDataFrame([(len(files), len(few), lines, whole)], "files int, taken int, n_lines long, n_whole long")

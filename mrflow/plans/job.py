@@ -5,16 +5,18 @@ from __future__ import annotations
 import json
 import subprocess
 import sys
+import uuid
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, fields
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ..functions import registry
+from ..functions.shipping import ship
 from ..operators import opaque
-from ..sources import readers, sinks
+from ..sources import readers, scratch, sinks
 
 
 class InvalidJob(ValueError):
@@ -54,6 +56,10 @@ class MapReduceJob(Job):
     aux_dir: str | None = None
     hold_state: bool = False
     downsample: float = 1.0
+    #: Files changed in the last so many seconds wait for the next run.
+    settle: float = 0.0
+    #: json: a row is an object; items: a row is an array, its key first, as other jobs' map functions read them; values; parquet.
+    output_format: str = "json"
     max_records_per_file: int | None = None
     streaming_group: bool = False
     compress: bool = False
@@ -68,6 +74,8 @@ class MapReduceJob(Job):
             raise InvalidJob("inputs is a list of folders")
         if not 0 <= self.downsample <= 1:
             raise InvalidJob("downsample lies between 0 and 1")
+        if self.output_format not in sinks.FORMATS:
+            raise InvalidJob(f"unknown output format {self.output_format!r}")
 
 
 @dataclass
@@ -116,21 +124,35 @@ def from_dict(d: dict[str, Any]) -> Job:
     return kind(**{k: v for k, v in d.items() if k in known})
 
 
-def auxiliary(folder: str | None, name: str | None) -> Any:
-    """One JSON document, or None without a name. Small by contract: every executor gets it."""
-    return json.loads((Path(folder) / f"{name}.data").read_text()) if name else None
+def auxiliary(spark: SparkSession, folder: str | None, name: str | None) -> Any:
+    """One JSON document of any store that Spark can read, or None without a name. Small by contract: every executor gets it."""
+    if not name:
+        return None
+    path = f"{folder}/{name}.data"
+    if not scratch.exists(spark, path):
+        raise FileNotFoundError(path)
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def _function(spark: SparkSession, kind: str, name: str, project: str | None) -> registry.Function:
+    f = registry.find(kind, name, project)
+    if project:
+        ship(spark, project)
+    return f
 
 
 def mapped(df: DataFrame, job: MapReduceJob) -> DataFrame:
-    f = registry.find("map", job.map_function_name, job.project_name)
-    aux = auxiliary(job.aux_dir, job.aux_map)
-    return f.call(df, aux) if f.native else opaque.flat_map(df, f.call, f.schema, aux)
+    f = _function(df.sparkSession, "map", job.map_function_name, job.project_name)
+    aux = auxiliary(df.sparkSession, job.aux_dir, job.aux_map)
+    if f.native:
+        return f.call(df, aux)
+    return opaque.flat_map(df, f.call, f.schema, aux, StructType.fromDDL(f.schema).names[:1], f.merge)
 
 
 def reduced(items: DataFrame, job: MapReduceJob) -> DataFrame:
     """The first column is the key. A native reducer may aggregate partially; an opaque one sees its items in order."""
-    f = registry.find("reduce", job.reduce_function_name, job.project_name)
-    aux = auxiliary(job.aux_dir, job.aux_reduce)
+    f = _function(items.sparkSession, "reduce", job.reduce_function_name, job.project_name)
+    aux = auxiliary(items.sparkSession, job.aux_dir, job.aux_reduce)
     if f.native:
         return f.call(items, aux)
     call = f.call if job.streaming_group else lambda group, a, call=f.call: call(list(group), a)
@@ -138,7 +160,7 @@ def reduced(items: DataFrame, job: MapReduceJob) -> DataFrame:
 
 
 def compile_job(spark: SparkSession, job: MapReduceJob, source: DataFrame | None = None, seen: set[str] | None = None) -> DataFrame:
-    lines = source if source is not None else readers.read_text(spark, job.inputs, job.downsample, seen)
+    lines = source if source is not None else readers.read_text(spark, job.inputs, job.downsample, seen, job.settle)
     return reduced(mapped(lines, job), job)
 
 
@@ -150,7 +172,8 @@ def run_mapreduce(spark: SparkSession, job: MapReduceJob) -> None:
     if job.hold_state or incremental.has_ledger(spark, job):
         incremental.run_delta(spark, job)
         return
-    sinks.write(compile_job(spark, job), job.output_dir, "json", job.compress, job.max_records_per_file, append=not job.delete_job_data)
+    to = job.output_dir if job.delete_job_data else f"{job.output_dir.rstrip('/')}/{readers.RUN}={uuid.uuid4().hex}"
+    sinks.write(compile_job(spark, job), to, job.output_format, job.compress, job.max_records_per_file)
 
 
 def run_script(job: ScriptJob) -> None:

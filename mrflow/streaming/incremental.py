@@ -1,20 +1,23 @@
 """Incremental runs: files seen before are left out, and outputs that add up are merged.
 
-Two ways: a ledger of files for any job (written after the output, so a failed run loses nothing), and a Structured
-Streaming file source whose checkpoint is the state, run with availableNow.
+Two ways: a ledger of files for any job, and a Structured Streaming file source whose checkpoint is the state, run with
+availableNow. The ledger is written after the output. The output of a run that appends goes to a folder named by a hash of
+its files, so a run that is repeated because it broke off between the two replaces what it wrote: nothing is lost, nothing counts twice.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ..functions import registry
 from ..operators import native, opaque
 from ..plans.job import InvalidJob, MapReduceJob, compile_job
-from ..sources import readers, sinks
+from ..sources import readers, scratch, sinks
 
 LEDGER = "path string, ts double, job string"
 
@@ -23,13 +26,8 @@ def _ledger(job: MapReduceJob) -> str:
     return f"{job.output_dir.rstrip('/')}.ledger"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def has_ledger(spark: SparkSession, job: MapReduceJob) -> bool:
-    return _exists(spark, _ledger(job))
+    return scratch.exists(spark, _ledger(job))
 
 
 def read_ledger(spark: SparkSession, job: MapReduceJob) -> DataFrame:
@@ -37,21 +35,25 @@ def read_ledger(spark: SparkSession, job: MapReduceJob) -> DataFrame:
 
 
 def reset(spark: SparkSession, job: MapReduceJob) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_ledger(job))
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    scratch.delete(spark, _ledger(job))
 
 
 def run_delta(spark: SparkSession, job: MapReduceJob) -> list[str]:
     """Run over files not seen; afterwards they are. A run without hold_state forgets the state and reads all files. Identity is the path."""
     if not job.hold_state:
         reset(spark, job)
-    seen = {r["path"] for r in read_ledger(spark, job).select("path").collect()}
-    files = readers.paths(spark, job.inputs, job.downsample, seen)
+    files = readers.paths(spark, job.inputs, job.downsample, settle=job.settle)
+    if files and has_ledger(spark, job):  # only what is listed now comes back, however long the ledger
+        listed = spark.createDataFrame([(f,) for f in files], "path string")
+        seen = {r["path"] for r in read_ledger(spark, job).select("path").join(listed, "path", "left_semi").distinct().collect()}
+        files = [f for f in files if f not in seen]
     if files:
         out = compile_job(spark, job, spark.read.text(files))
-        sinks.write(out, job.output_dir, "json", job.compress, job.max_records_per_file, append=not job.delete_job_data)
+        name = hashlib.md5("\n".join(sorted(files)).encode()).hexdigest()
+        to = job.output_dir if job.delete_job_data else f"{job.output_dir.rstrip('/')}/{readers.RUN}={name}"
+        sinks.write(out, to, job.output_format, job.compress, job.max_records_per_file)
     elif job.delete_job_data:
-        sinks.write(compile_job(spark, job, spark.createDataFrame([], "value string")), job.output_dir, "json")
+        sinks.write(compile_job(spark, job, spark.createDataFrame([], "value string")), job.output_dir, job.output_format)
     if job.hold_state and files:
         now = time.time()
         spark.createDataFrame([(f, now, job.job_name) for f in files], LEDGER).coalesce(1).write.mode("append").json(_ledger(job))
@@ -63,8 +65,12 @@ def merged_output(spark: SparkSession, job: MapReduceJob) -> DataFrame:
     f = registry.find("reduce", job.reduce_function_name, job.project_name)
     if f.merge is None or f.schema is None:
         raise InvalidJob(f"reduce function {f.name} does not say how its outputs merge, or lacks a schema")
-    parts = spark.read.schema(f.schema).json(job.output_dir) if _exists(spark, job.output_dir) else spark.createDataFrame([], f.schema)
-    key, merge = parts.columns[:1], f.merge
+    names = StructType.fromDDL(f.schema).names
+    if job.output_format not in ("json", "parquet"):
+        raise InvalidJob("outputs merge if their rows have names: json or parquet")
+    read = spark.read.schema(f.schema).option("recursiveFileLookup", True)
+    parts = getattr(read, job.output_format)(job.output_dir) if scratch.exists(spark, job.output_dir) else spark.createDataFrame([], f.schema)
+    key, merge = names[:1], f.merge
 
     def fold(group, aux):
         yield functools.reduce(merge, group)
@@ -83,6 +89,6 @@ def token_counts_so_far(spark: SparkSession, folder: str, checkpoint: str, parts
 
     query = spark.readStream.text(folder).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    if not _exists(spark, parts):
+    if not scratch.exists(spark, parts):
         return spark.createDataFrame([], "token string, n long")
     return native.merge_sums([spark.read.parquet(parts).select("token", "n")], ["token"], ["n"])

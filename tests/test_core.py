@@ -1,7 +1,12 @@
+import fcntl
 import gzip
 import json
 import math
+import os
+import subprocess
 import sys
+import time
+from pathlib import Path
 
 import pytest
 from pyspark import cloudpickle
@@ -13,11 +18,12 @@ from mrflow.control.transfer import transfer
 from mrflow.functions import registry
 from mrflow.operators import native, opaque
 from mrflow.plans.job import FileTransferJob, InvalidJob, MapReduceJob, ScriptJob, auxiliary, compile_job, from_dict, run_mapreduce, run_script
-from mrflow.sources import readers, sinks
+from mrflow.sources import readers, scratch, sinks
 from mrflow.streaming import incremental
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers do not import tests
 
+ROOT = Path(__file__).resolve().parents[1]
 LINES = ["the cat saw the dog", "", "a dog"]
 
 
@@ -26,6 +32,11 @@ def words(line, aux):
     return [(w, 1) for w in line.split() if not aux or w not in aux]
 
 
+@registry.mapper("of_items", schema="key string, n long", merge=lambda a, b: (a[0], a[1] + b[1]))
+def of_items(line, aux):
+    return [tuple(json.loads(line))]
+
+
 @registry.reducer("total", schema="key string, n long", merge=lambda a, b: (a[0], a[1] + b[1]))
 def total(group, aux):
     items = list(group)
@@ -79,12 +90,90 @@ def test_sources(spark, tmp_path):
         readers.read_text(spark, [str(tmp_path / "_x")])
 
 
-def test_downsample_is_nested_stable_and_moves_with_the_folder():
+def test_downsample_is_nested_and_stable_by_path():
     files = [("/a", f"f{i}") for i in range(400)]
     few, half = (readers.sampled(files, r) for r in (0.1, 0.5))
     assert set(few) < set(half) and 10 < len(few) < 80 and 140 < len(half) < 260
-    assert [n for _, n in readers.sampled([("/b", n) for _, n in files], 0.1)] == [n for _, n in few]
-    assert readers.sampled(files, 1.0) == files
+    assert readers.sampled(files, 0.1) == few and readers.sampled(files, 1.0) == files
+    # the path counts, so folders whose files are all named alike are sampled too
+    assert 140 < len(readers.sampled([(f"/d{i}", "part-00000") for i in range(400)], 0.5)) < 260
+
+
+def test_files_still_being_written_wait(spark, tmp_path):
+    put(tmp_path / "in", "x", ["one"])
+    put(tmp_path / "in", "y.tmp", ["two"])
+    put(tmp_path / "in", "z", ["three"])
+    names = lambda **m: [n for _, n in readers.list_files(spark, [str(tmp_path / "in")], **m)]
+    assert names() == ["x", "z"]
+    with (tmp_path / "in" / "z").open("a") as f:
+        fcntl.flock(f, fcntl.LOCK_EX)
+        locked = subprocess.run([sys.executable, "-c", f"from mrflow.sources import readers; print(readers._locked({str(tmp_path / 'in' / 'z')!r}), readers._locked({str(tmp_path / 'in' / 'x')!r}))"], capture_output=True, text=True, cwd=ROOT)
+        assert locked.stdout.split() == ["True", "False"]
+    assert names(settle=60.0) == []
+    old = time.time() - 100
+    os.utime(tmp_path / "in" / "x", (old, old))
+    assert names(settle=60.0) == ["x"]
+
+
+def test_code_goes_to_the_workers(tmp_path):
+    """A query with Python functions and a user's project run in a folder where no worker finds them."""
+    project = tmp_path / "lib" / "wordproject"
+    project.mkdir(parents=True)
+    (project / "__init__.py").write_text("from mrflow.functions import registry\nfrom wordproject.cut import cut\nregistry.mapper('cut', schema='key string, n long')(cut)\nregistry.reducer('sum_up', schema='key string, n long')(lambda group, aux: [(g[0][0], sum(n for _, n in g)) for g in [list(group)]])\n")
+    (project / "cut.py").write_text("def cut(line, aux):\n    return [(w, 1) for w in line.split()]\n")
+    put(tmp_path / "in", "x", LINES)
+    (tmp_path / "run.py").write_text(f"""
+import sys
+sys.path[:0] = [{str(ROOT)!r}, {str(tmp_path / 'lib')!r}]
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from mrflow.plans import catalog
+from mrflow.plans.job import MapReduceJob, compile_job
+n = catalog.queries()["q31_conversation_walk"](spark, "/root/testdata/sf0.001").count()
+job = MapReduceJob(job_name="p", job_priority=1, inputs=[{str(tmp_path / 'in')!r}], map_function_name="cut", reduce_function_name="sum_up", project_name="wordproject")
+print(n > 0, sorted(tuple(r) for r in compile_job(spark, job).collect()))
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    ran = subprocess.run([sys.executable, "run.py"], capture_output=True, text=True, cwd=tmp_path, env=env, timeout=300)
+    assert ran.stdout.strip() == f"True {sorted(WANT.items())}", ran.stderr[-2000:]
+
+
+def test_a_job_reads_what_another_wrote(spark, tmp_path):
+    put(tmp_path / "in", "x", LINES)
+    for append in (False, True):
+        run_mapreduce(spark, job(tmp_path / "in", tmp_path / f"items{append}", output_format="items", delete_job_data=not append))
+        run_mapreduce(spark, job(tmp_path / "in", tmp_path / f"items{append}", output_format="items", delete_job_data=not append))
+        second = job(tmp_path / f"items{append}", tmp_path / "o", map_function_name="of_items")
+        assert counts(compile_job(spark, second)) == {k: n * (1 + append) for k, n in WANT.items()}
+    with pytest.raises(InvalidJob):
+        job(tmp_path / "in", tmp_path / "o", output_format="csv")
+
+
+def test_a_run_that_broke_off_counts_once(spark, tmp_path, monkeypatch):
+    put(tmp_path / "in", "x", LINES)
+    j = job(tmp_path / "in", tmp_path / "out", hold_state=True, delete_job_data=False)
+    with monkeypatch.context() as m:
+        m.setattr(incremental.time, "time", lambda: 1 / 0)  # after the output, before the ledger
+        with pytest.raises(ZeroDivisionError):
+            incremental.run_delta(spark, j)
+    assert not incremental.has_ledger(spark, j) and len(incremental.run_delta(spark, j)) == 1
+    assert counts(incremental.merged_output(spark, j)) == WANT
+
+
+def test_batches_of_long_values_stay_small():
+    schema = opaque._arrow("k long, t string, a array<string>")
+    items = [(i, "x" * 1_000_000, ["y" * 500_000]) for i in range(40)]
+    sizes = [b.num_rows for b in opaque._batches(iter(items), schema)]
+    assert sum(sizes) == 40 and max(sizes) <= 6
+
+
+def test_scratch_goes(spark, tmp_path):
+    before = scratch.mark()
+    kept = [scratch.keep(spark.range(3), "x") for _ in range(3)]
+    assert [k.count() for k in kept] == [3, 3, 3]
+    paths = scratch._MADE[before:]
+    scratch.clear(spark, before, but=1)
+    assert [scratch.exists(spark, p) for p in paths] == [False, False, True] and kept[2].count() == 3
 
 
 def test_bad_json_lines(spark, tmp_path):
@@ -163,9 +252,9 @@ def test_auxiliary(spark, tmp_path):
     (tmp_path / "stop.data").write_text(json.dumps(["the"]))
     got = counts(compile_job(spark, job(tmp_path / "in", tmp_path / "o", aux_dir=str(tmp_path), aux_map="stop")))
     assert got == {k: v for k, v in WANT.items() if k != "the"}
-    assert auxiliary(None, None) is None
+    assert auxiliary(spark, None, None) is None and auxiliary(spark, f"file://{tmp_path}", "stop") == ["the"]
     with pytest.raises(FileNotFoundError):
-        auxiliary(str(tmp_path), "none")
+        auxiliary(spark, str(tmp_path), "none")
 
 
 def test_incremental_runs(spark, tmp_path):

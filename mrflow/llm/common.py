@@ -2,38 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+from ..sources import scratch
+
 #: A word is a run of characters other than these.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local one is made only where there is one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = f"file://{tempfile.mkdtemp(prefix='mrflow-')}"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    ship(df.sparkSession)
+    return scratch.keep(df, name)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -63,3 +55,36 @@ def free_names(columns: list[str], taken: list[str]) -> dict[str, str]:
         used.add(name.lower())
         names[c] = name
     return names
+
+
+def released() -> None:
+    """Give memory that a worker needs no more back to the machine, since idle workers stay."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def sized(batches: Iterator[pd.DataFrame], by: list[str], least: int) -> Iterator[pd.DataFrame]:
+    """Sorted batches put together to ``least`` rows or more, such that the rows of a key come in one."""
+    held: list[pd.DataFrame] = []
+    n = 0
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        # all rows but those of the batch's last key, which may go on in the next one, are complete
+        start = int((pdf[by] == pdf[by].iloc[-1]).all(axis=1).to_numpy().argmax())
+        ended = start or (held and (held[-1][by].iloc[-1] != pdf[by].iloc[0]).any())
+        if ended and n + start >= least:
+            yield _whole([*held, pdf.iloc[:start]])
+            held, n = [pdf.iloc[start:]], len(pdf) - start
+        else:
+            held.append(pdf)
+            n += len(pdf)
+    if n:
+        yield _whole(held)
+
+
+def _whole(parts: list[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0].reset_index(drop=True)

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import scratch
 from .common import keep
 
 
@@ -39,21 +40,26 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges (u, v: long) to (node, component: long), component being the smallest node reachable.
 
-    Nodes without a link to another node are not in the result. Every round writes one table to the shared folder.
-    Stops when a round changes nothing; raises if ``rounds`` did not do.
+    Nodes without a link to another node are not in the result. Every round writes its tables to the shared folder and deletes
+    those of the round before; the smallest neighbours are one of them, so that both sides of the join are plain and Spark can
+    split the links of a hub over tasks. Stops when a round changes nothing; raises if ``rounds`` did not do.
     """
+    spark, start = edges.sparkSession, scratch.mark()
     edges = keep(edges.filter("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct(), "links")
     before = _state(edges)
     for _ in range(rounds):
         if not before[0]:
             break
         both = edges.unionByName(edges.selectExpr("v AS u", "u AS v"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").selectExpr("v AS u", "m AS v").filter("u <> v").distinct()
+        low = keep(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u AS c", "least(u, m) AS m"), "low")
+        large = both.filter("v > u").join(low, F.col("u") == F.col("c")).selectExpr("v AS u", "m AS v").filter("u <> v")
+        large = keep(large.distinct(), "large")
         # after the large star every link points from a node to a smaller one
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").selectExpr("v AS a", "m", "u").select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        low = keep(large.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u AS c", "m"), "low")
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        small = large.join(low, F.col("u") == F.col("c")).select(F.explode(ends).alias("e"))
         edges = keep(small.select("e.u", "e.v").filter("u <> v").distinct(), "links")
+        scratch.clear(spark, start, but=1)
         after = _state(edges)
         if after == before:
             break

@@ -1,35 +1,31 @@
 """SimHash near-duplicates, found by anchor-point covering.
 
 A fingerprint has 64 bits, bit i being 1 if more than half of a text's shingle hashes have it. Two fingerprints link if
-at most ``threshold`` bits differ. Where a similarity is given, hashes have 256 bits: the first 64 are the fingerprint, the
-next 64 have anchors as well, and the others confirm. All pairs that meet at an anchor are then linked if their 256 bits
-differ in no more than is expected at that similarity (and, to stop early, the first 64 and 128 bits in no more than LEAD,
-which such pairs exceed once in tens of thousands). This finds every such pair with a block in which at most one bit
-differs, so all within ``threshold`` bits of either word, and keeps texts that are near by chance apart in a corpus of any size.
-
-Without a similarity the 64 bits are cut into ``threshold + 2`` parts, and groups of three parts are chosen such that however
-``threshold`` differing bits fall, one group has at most one of them. With one, each of the two words is cut into
-``threshold // 2 + 1`` blocks, of which one has at most one. In every group or block the anchors are the words of a covering
-code of radius 1 a piece: Hamming(15, 11) on each 15 bits and all words on the rest. A fingerprint has one home anchor and
-is replicated to every anchor that may be home to one that differs in a bit, those within the radius plus one; a linked
-pair therefore meets at the home anchor of either one. A group has some 2**24 anchors for a threshold of 4, so an anchor
-has few members even of thousands of millions of fingerprints.
-Comparison is per anchor. Of the links found in a batch only a spanning forest leaves the task, so a large group of near
-copies gives rows in proportion to its size.
+at most ``threshold`` bits differ.
+
+The 64 bits are cut into ``threshold + 2`` parts, and groups of three parts are chosen such that however ``threshold`` differing
+bits fall, one group has at most one of them. In every group the anchors are the words of a covering code of radius 1 a piece:
+Hamming(15, 11) on each 15 bits and all words on the rest. A fingerprint has one home anchor and is replicated to every anchor
+that may be home to one that differs in a bit, those within the radius plus one; a linked pair therefore meets at the home anchor
+of either one. A group has some 2**24 anchors for a threshold of 4, so an anchor has few members even of thousands of millions of
+fingerprints. Comparison is per anchor, home members with all. Of the links found only a spanning forest leaves a task, and
+members that are linked already are not compared again, so a large group of near copies costs work and rows in proportion to its size.
 
 Equal fingerprints are brought together before anything is replicated, so copies cost nothing here.
 
-Where pairs are to be exact (``exact_groups``), texts are their sets of shingle hashes. MinHash bands only propose pairs, and a
-pair links if the Jaccard similarity of the two sets reaches the one given. A first round confirms a spanning forest of the
-proposals; a second one confirms every proposed pair that the first has left in different groups. So the groups are those of
-all confirmed pairs, and a large group of near copies costs rows in proportion to its size.
+``exact_groups`` links texts by the Jaccard similarity of their sets of shingles. Fingerprints of such pairs differ in ten bits
+of 64 at a similarity of 0.8, more than any anchors can cover that few texts share: pairs come together at the anchors of
+fingerprints (two blocks of 32 bits, of which one differs in one bit at most) or in one of 32 bands of MinHash values, and a sketch of
+192 bits rules most others out. That only proposes. The texts of a connected group of proposals then meet, each once, and every
+pair of them is decided by the sets themselves; groups beyond a bound are cut into blocks, and pairs of blocks meet, but for
+those whose texts are linked already.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -38,30 +34,35 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, released, sized
 from .components import components, local_forest
 
 SEED = 42
 #: Longer texts are cut into pieces of so many characters while they are hashed.
 PIECE = 1 << 22
 #: Comparisons made at once.
-AT_ONCE = 1 << 21
-#: The words of a wide fingerprint; the first ANCHORED have anchors.
-WIDE = ("fp", "check", "check2", "check3")
-ANCHORED = 2
-#: Of the bits that may differ in all words, the shares that may differ in the first one and in the first two.
-LEAD = (0.52, 0.88)
-#: An anchor with more members than this is dealt to several tasks by its home members.
+AT_ONCE = 1 << 20
+#: Members of an anchor that are compared in steps, those that are linked by then no more.
+STEPPED = 128
+#: An anchor with more members than this is cut into parts, and pairs of parts meet.
 HOT_ANCHOR = 50_000
 #: So many members of an anchor of that size are counted to tell.
 COUNTED = 1000
+#: Fingerprints replicated at once.
+SPREAD_ROWS = 2000
 
 #: MinHash bands and values in each. At a similarity of 0.8 a pair shares no band once in 16,000 times.
 BANDS, ROWS = 32, 6
+#: The bits that may differ for sure where pairs meet at the anchors of exact groups; two blocks of 32 bits.
+NEAR = 3
 #: The last bits of the MinHash values, in words.
 SKETCH = ("s0", "s1", "s2")
 #: A pair is proposed if its sketches differ in no more bits than expected and so many standard deviations.
 DEVIATIONS = 4
+#: Shingles of a block of texts that meet; a text counts as so many more.
+BLOCK, TEXT = 1 << 18, 512
+#: Columns of a matrix of shingles, and from how many texts of a cell a shingle gets a column in a large one.
+COLUMNS, DENSE = 4096, 24
 _MINHASH = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
 
 
@@ -89,69 +90,36 @@ def _bits64(hashes: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, 64)
 
 
-def _bits256(hashes: bytes) -> np.ndarray:
-    """The 128 bits of each hash, and 128 more from mixing its two words."""
-    own = np.frombuffer(hashes, ">u8").reshape(-1, 2).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        more = own * np.uint64(0x9E3779B97F4A7C15)
-        more ^= more >> np.uint64(32)
-        more *= np.uint64(0xD6E8FEB86659FD93)
-        more ^= more >> np.uint64(29)
-    return np.unpackbits(np.concatenate([own, more], 1).astype(">u8").view(np.uint8), axis=1)
-
-
-def _majority(text: str | None, k: int, digest: Callable[[bytes, int], bytes], to_bits: Callable[[bytes], np.ndarray]) -> bytes:
-    """The bits that over half of the shingles' hashes have; all 0 for null and for texts without a word."""
-    ones, n, tail = to_bits(digest(b"", SEED))[0] * np.int64(0), 0, []
+def simhash(text: str | None, k: int = 4) -> int:
+    """The fingerprint as a signed 64-bit number: the bits that over half of the shingles' hashes have; 0 for null and for texts without a word."""
+    ones, n, tail = np.zeros(64, np.int64), 0, []
     for words in _words(text or ""):
         words = tail + words
         if len(words) >= k:
             joined = b" ".join(words)
             ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
             starts = [0, *ends[:-k].tolist()]
-            hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)]
+            hashes = [xxhash.xxh64_digest(joined[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)]
             n += len(hashes)
             for i in range(0, len(hashes), 1 << 14):
-                ones += _count_ones(to_bits(b"".join(hashes[i : i + (1 << 14)])))
+                ones += _count_ones(_bits64(b"".join(hashes[i : i + (1 << 14)])))
             words = words[len(words) - k + 1 :]
         tail = words
     if not n and tail:
-        ones, n = to_bits(digest(b" ".join(tail), SEED))[0].astype(np.int64), 1
-    return np.packbits(2 * ones > n).tobytes()
-
-
-def simhash(text: str | None, k: int = 4) -> int:
-    """The fingerprint as a signed 64-bit number."""
-    return int.from_bytes(_majority(text, k, xxhash.xxh64_digest, _bits64), "big", signed=True)
-
-
-def wide_simhash(text: str | None, k: int = 5) -> tuple[int, ...]:
-    """The words of the wide fingerprint as signed 64-bit numbers."""
-    bits = _majority(text, k, xxhash.xxh3_128_digest, _bits256)
-    return tuple(int.from_bytes(bits[i : i + 8], "big", signed=True) for i in range(0, len(bits), 8))
+        ones, n = _bits64(xxhash.xxh64_digest(b" ".join(tail), SEED))[0].astype(np.int64), 1
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
-def fingerprint_udf(shingle: int = 4, wide: bool = False):
-    @F.pandas_udf(", ".join(f"{w} long" for w in WIDE) if wide else "fp long")
-    def fingerprint(texts: pd.Series) -> pd.DataFrame:
-        if wide:
-            return pd.DataFrame([wide_simhash(t, shingle) for t in texts], columns=list(WIDE), dtype="int64")
-        return pd.DataFrame({"fp": [simhash(t, shingle) for t in texts]}, dtype="int64")
+def fingerprint_udf(shingle: int = 4):
+    @F.pandas_udf("long")
+    def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([simhash(t, shingle) for t in texts], dtype="int64")
+        released()
 
     return fingerprint
 
 
-def expected_bits(similarity: float, bits: int = 64 * len(WIDE)) -> int:
-    """How many of the bits differ on average where two sets of shingles have this Jaccard similarity, rounded up."""
-    return math.ceil(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
-def limits(similarity: float) -> list[int]:
-    """How many bits may differ in the first word, the first two, and so on."""
-    most = expected_bits(similarity)
-    return [*(int(share * most) for share in LEAD), *[most] * (len(WIDE) - len(LEAD))]
-
-
 @cache
 def _hamming() -> tuple[np.ndarray, np.ndarray]:
     """For each 15-bit word: its nearest codeword, and all 8 codewords within distance 2 (the nearest one again where there are fewer)."""
@@ -245,128 +213,140 @@ def anchors(fps: np.ndarray, groups: list[Bits]) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(keys), np.concatenate(homes), np.concatenate(at)
 
 
-def _compare(keys: np.ndarray, part: np.ndarray, home: np.ndarray, words: list[np.ndarray], most: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the home members of each anchor and its other members, as a spanning forest: places of rows.
+def _forest(pdf: pd.DataFrame, words: tuple[str, ...], most: int) -> pd.DataFrame:
+    """Links between the home members of each anchor and its other members, as a spanning forest: (u, v) of nodes, u the greater.
 
-    A link needs the first i + 1 words of two rows to differ in at most most[i] bits, for every i, but not to be equal.
+    Two members link if all words together differ in at most ``most`` bits.
     """
+    keys, part, home, node = (pdf[c].to_numpy() for c in ("key", "part", "home", "node"))
+    bits = [pdf[w].to_numpy().view(np.uint64) for w in words]
+    home = home.astype(bool)
     new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (part[1:] != part[:-1])])
     size = np.diff(np.r_[new, len(keys)])
+    us, vs = [node[:0]], [node[:0]]
+
+    def near(mine: np.ndarray, other: np.ndarray) -> np.ndarray:
+        differ = np.bitwise_count(bits[0][mine] ^ bits[0][other]).astype(np.int16)
+        for b in bits[1:]:
+            differ += np.bitwise_count(b[mine] ^ b[other])
+        return (differ <= most) & (node[mine] != node[other])
+
+    # small anchors together, so many comparisons at once
     first, many = np.repeat(new, size), np.repeat(size, size)
-    whole = words[0].view(np.uint64)
-    for w in words[1:]:  # a hash tells the rows apart
-        whole = (whole ^ (whole >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)
-    _, row, node = np.unique(whole, return_index=True, return_inverse=True)
-    who = np.flatnonzero(home & (many > 1))
-    us, vs, done = [], [], 0
-    total = np.cumsum(many[who])
+    who = np.flatnonzero(home & (many > 1) & (many <= STEPPED))
+    total, done = np.cumsum(many[who]), 0
     while done < len(who):
         upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + AT_ONCE, "right")))
         x = who[done:upto]
         n = many[x]
         mine = np.repeat(x, n)
         other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[x], n)
-        differ = np.zeros(len(mine), np.int64)
-        for w, at_most in zip(words, most, strict=True):
-            differ += np.bitwise_count((w[mine] ^ w[other]).view(np.uint64))
-            near = differ <= at_most
-            mine, other, differ = mine[near], other[near], differ[near]
-        a, b = local_forest(node[mine[differ > 0]], node[other[differ > 0]])
+        linked = near(mine, other)
+        a, b = local_forest(node[mine[linked]], node[other[linked]])
         us.append(a)
         vs.append(b)
         done = upto
-    if not us:
-        return row[:0], row[:0]
-    a, b = local_forest(np.concatenate(us), np.concatenate(vs))
-    return row[a], row[b]
+    # large ones in steps that grow: what is one group by then is not compared again
+    for start, n in zip(new[size > STEPPED].tolist(), size[size > STEPPED].tolist(), strict=True):
+        own = np.flatnonzero(home[start : start + n])
+        label, at, step = np.arange(n), 0, 1
+        while at < len(own) and (label != label[0]).any():
+            x = own[at : at + step]
+            at += step
+            step = min(4 * step, max(1, AT_ONCE // n))
+            labels, count = np.unique(label, return_counts=True)
+            x = x[count[np.searchsorted(labels, label[x])] < n]
+            mine, other = np.repeat(x, n), np.tile(np.arange(n), len(x))
+            apart = label[mine] != label[other]
+            mine, other = mine[apart], other[apart]
+            linked = near(start + mine, start + other)
+            a, b = local_forest(label[mine[linked]], label[other[linked]])
+            to = np.arange(n)
+            to[a] = b
+            label = to[label]
+        moved = np.flatnonzero(label != np.arange(n))
+        us.append(node[start + moved])
+        vs.append(node[start + label[moved]])
+    return pd.DataFrame(dict(zip("uv", local_forest(np.concatenate(us), np.concatenate(vs)), strict=True)))
+
+
+def _met(spread: DataFrame, words: tuple[str, ...], most: int, hot: int) -> DataFrame:
+    """spread (key, home, node and words; longs) to links (u, v) of nodes that meet at a key and are near: the components are those of all such pairs."""
+    spark = spread.sparkSession
 
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in sized(batches, ["key", "part"], 100_000):
+            yield _forest(pdf, words, most)
+        released()
 
-def links(fps: DataFrame, threshold: int = 4, hot: int = HOT_ANCHOR, similarity: float | None = None) -> DataFrame:
-    """fps (fp: long; all of WIDE where a similarity is given; distinct) to links (u, v: long) of nodes, whose components are those of the full link graph."""
-    names = ["fp"] if similarity is None else list(WIDE)
-    most = [threshold] if similarity is None else limits(similarity)
-    anchored = names[:ANCHORED]
-    groups = triples(threshold) if similarity is None else blocks(threshold)
-    columns = ", ".join(f"{n} long" for n in names)
+    # how many parts an anchor is cut into changes no link, so an estimate from a fixed share of its members will do
+    one_in = max(1, hot // COUNTED)
+    some = spread.filter(F.pmod(F.xxhash64("key", "node"), F.lit(one_in)) == 0)
+    crowd = some.groupBy("key").agg((F.count("*") * one_in).alias("n")).filter(F.col("n") > hot)
+    crowd = keep(crowd.select(F.col("key").alias("crowded"), F.floor(F.col("n") / hot + 1).cast("int").alias("parts")), "crowded")
+    columns = ["key", "part", "home", "node", *[w for w in words if w != "node"]]
+    whole = spread.withColumn("part", F.lit(0).cast("long"))
+    if crowd.limit(1).count():
+        # a pair of parts gets the home members of one and all members of the other
+        joined = spread.join(crowd, spread["key"] == crowd["crowded"], "left")
+        whole = joined.filter("crowded IS NULL").withColumn("part", F.lit(0).cast("long"))
+        own = F.pmod(F.xxhash64("node"), F.col("parts"))
+        every = F.sequence(F.lit(0), F.col("parts") - 1)
+        cells = F.array_distinct(F.concat(F.transform(every, lambda j: own * F.col("parts") + j), F.transform(every, lambda i: i * F.col("parts") + own)))
+        cut = joined.filter("crowded IS NOT NULL").withColumn("own", own).withColumn("part", F.explode(cells))
+        cut = cut.withColumn("home", F.col("home") & (F.floor(F.col("part") / F.col("parts")) == F.col("own")))
+        whole = whole.select(*columns).unionByName(cut.select(*columns))
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return whole.select(*columns).repartition(width, "key", "part").sortWithinPartitions("key", "part").mapInPandas(compare, "u long, v long")
+
+
+def links(fps: DataFrame, threshold: int = 4, hot: int = HOT_ANCHOR) -> DataFrame:
+    """fps (node: long, a fingerprint; distinct) to links (u, v: long), whose components are those of the full link graph."""
+    groups = triples(threshold)
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for (w, name), i in itertools.product(enumerate(anchored), range(0, len(pdf), 20_000)):
-                key, home, at = anchors(pdf[name].to_numpy(np.int64)[i : i + 20_000], groups)
-                yield pd.DataFrame({"key": key | (w << 60), "home": home} | {n: pdf[n].to_numpy(np.int64)[i + at] for n in names})
+            for i in range(0, len(pdf), SPREAD_ROWS):
+                fp = pdf["node"].to_numpy(np.int64)[i : i + SPREAD_ROWS]
+                key, home, at = anchors(fp, groups)
+                yield pd.DataFrame({"key": key, "home": home, "node": fp[at]})
+        released()
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        n = 0
+    width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = fps.select("node").repartition(width, "node").mapInPandas(replicate, "key long, home boolean, node long")
+    return _met(keep(spread, "anchors"), ("node",), threshold, hot)
 
-        def flush(pdf: pd.DataFrame) -> pd.DataFrame:
-            words = [pdf[name].to_numpy() for name in names]
-            u, v = _compare(pdf["key"].to_numpy(), pdf["part"].to_numpy(), pdf["home"].to_numpy(), words, most)
-            return pd.DataFrame({f"{side}_{name}": w[at] for side, at in (("u", u), ("v", v)) for name, w in zip(names, words, strict=True)})
 
-        for pdf in batches:
-            held.append(pdf)
-            n += len(pdf)
-            if n >= 200_000:
-                pdf = pd.concat(held, ignore_index=True)
-                last = (pdf["key"] == pdf["key"].iloc[-1]) & (pdf["part"] == pdf["part"].iloc[-1])
-                cut = int((~last).sum())  # sorted: the last anchor may go on in the next batch
-                if cut:
-                    yield flush(pdf.iloc[:cut])
-                held, n = [pdf.iloc[cut:]], len(pdf) - cut
-        if n:
-            yield flush(pd.concat(held, ignore_index=True))
-
-    spread = keep(fps.select(*names).mapInPandas(replicate, f"key long, home boolean, {columns}"), "anchors")
-    # how many parts an anchor is dealt to changes no link, so an estimate from a fixed share of its members will do:
-    # home members go to one part each, other members to all of them; at most about rows / hot anchors are crowded
-    one_in = max(1, hot // COUNTED)
-    some = spread.filter(F.pmod(F.xxhash64("key", *names), F.lit(one_in)) == 0)
-    crowd = some.groupBy("key").agg((F.count("*") * one_in).alias("n")).filter(F.col("n") > hot)
-    crowded = {r["key"]: int(r["n"] // hot + 1) for r in crowd.collect()}
-    if crowded:
-        named = spread.sparkSession.createDataFrame(list(crowded.items()), "key long, parts int")
-        spread = spread.join(F.broadcast(named), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        own = F.pmod(F.xxhash64(*names), F.col("parts")).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        spread = spread.select("key", every.alias("part"), (F.col("home") & (F.col("part") == own)).alias("home"), *names)
-    else:
-        spread = spread.withColumn("part", F.lit(0))
-    width = int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = ", ".join(f"{side}_{n} long" for side in "uv" for n in names)
-    met = spread.select("key", "part", "home", *names).repartition(width, "key", "part").sortWithinPartitions("key", "part").mapInPandas(compare, found)
-    return met.select(*[_node([f"{side}_{n}" for n in names]).alias(side) for side in "uv"])
-
-
-def _node(words: list[str]) -> Column:
-    """What names a fingerprint in the link graph: itself, or a hash of it and its confirming bits."""
-    return F.col(words[0]) if len(words) == 1 else F.xxhash64(*words)
-
-
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, threshold: int = 4, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, threshold: int = 4) -> tuple[DataFrame, DataFrame]:
     """Fingerprint every text and find the groups.
 
-    Returns (members, groups): members has one row per input row (doc_id, row_hash, node, fp), groups one per distinct
+    Returns (members, groups): members has one row per input row (doc_id, row_key, node: the fingerprint), groups one per distinct
     fingerprint (node, group_node, component_id, copies). component_id is the smallest id in the group; null ids are
-    ignored, and it is null if all are. Null and wordless texts have fingerprint 0 and are linked like any other.
-    Repeated rows are members each. Other columns are not read. An empty table gives empty results.
+    ignored, and it is null if all are. Null and wordless texts have fingerprint 0 and are linked like any other. Very long texts
+    are hashed in pieces. Repeated rows are members each. Other columns are not read. An empty table gives empty results.
     """
-    words = ["fp"] if similarity is None else list(WIDE)
-    made = fingerprint_udf(shingle, similarity is not None)(F.col(text_col))
-    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_hash"), made.alias("made"))
-    own = own.select("doc_id", "row_hash", *[F.col(f"made.{w}") for w in words])
-    members = keep(own.withColumn("node", _node(words)), "fingerprints")
-    distinct = keep(members.groupBy("node", *words).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct")
-    found = components(links(distinct, threshold, similarity=similarity)).withColumnRenamed("node", "of")
+    text = F.col(f"`{text_col}`")
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), fingerprint_udf(shingle)(text).alias("node"))
+    members = keep(own, "fingerprints")
+    distinct = keep(members.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct")
+    found = components(links(distinct, threshold)).withColumnRenamed("node", "of")
     grouped = distinct.join(found, distinct["node"] == found["of"], "left").select("node", F.coalesce("component", "node").alias("group_node"), "least", "copies")
-    low = grouped.groupBy("group_node").agg(F.min("least").alias("component_id"))
+    grouped = keep(grouped, "grouped")
+    # written, so that Spark can split the rows of a large group over tasks in the join
+    low = keep(grouped.groupBy("group_node").agg(F.min("least").alias("component_id")), "lows")
     return members, keep(grouped.join(low, "group_node").select("node", "group_node", "component_id", "copies"), "groups")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, threshold: int = 4) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id, fingerprint_copies (rows with this fingerprint)."""
     members, groups = near_groups(docs, id_col, text_col, shingle, threshold)
-    return members.join(groups, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("copies").alias("fingerprint_copies"))
+    return members.join(groups, "node").select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id", F.col("copies").alias("fingerprint_copies"))
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits that tell rows of different ids or texts apart."""
+    both = [F.col(f"`{id_col}`"), F.col(f"`{text_col}`")]
+    return F.struct(F.xxhash64(*both).alias("a"), F.xxhash64(F.lit(1), *[c.isNull() for c in both], *both).alias("b"))
 
 
 def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
@@ -396,135 +376,174 @@ def minhash(hashes: np.ndarray) -> tuple[list[int], list[int]]:
     return np.array(keys, np.uint64).view(np.int64).tolist(), sketch.tolist()
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of shingle hashes, each counted once."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 14):
+        ones += _count_ones(_bits64(hashes[i : i + (1 << 14)].astype(">u8").tobytes()))
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+
+
 def sketch_bits(similarity: float) -> int:
     """How many bits of the sketches of a proposed pair may differ."""
     n, p = BANDS * ROWS, (1 - similarity) / 2
     return int(n * p + DEVIATIONS * math.sqrt(n * p * (1 - p)))
 
 
-def _propose(pdf: pd.DataFrame, most: int, forest: bool) -> pd.DataFrame:
-    """Pairs of nodes of different labels that meet in a bucket with near sketches: a spanning forest of them, or all."""
-    keys, part = pdf["key"].to_numpy(), pdf["part"].to_numpy()
-    new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (part[1:] != part[:-1])])
-    size = np.diff(np.r_[new, len(keys)])
-    first, many = np.repeat(new, size), np.repeat(size, size)
-    node, label = pdf["node"].to_numpy(), pdf["label"].to_numpy()
-    words = [pdf[s].to_numpy() for s in SKETCH]
-    who = np.flatnonzero(pdf["home"].to_numpy(bool) & (many > 1))
-    total, done, us, vs = np.cumsum(many[who]), 0, [node[:0]], [node[:0]]
-    while done < len(who):
-        upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + AT_ONCE, "right")))
-        x = who[done:upto]
-        n = many[x]
-        mine = np.repeat(x, n)
-        other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[x], n)
-        apart = label[mine] != label[other]
-        mine, other = mine[apart], other[apart]
-        differ = sum(np.bitwise_count((w[mine] ^ w[other]).view(np.uint64)).astype(np.int64) for w in words)
-        u, v = node[mine[differ <= most]], node[other[differ <= most]]
-        if forest:
-            u, v = local_forest(u, v)
-        us.append(np.maximum(u, v))
-        vs.append(np.minimum(u, v))
-        done = upto
-    u, v = np.concatenate(us), np.concatenate(vs)
-    return pd.DataFrame(dict(zip("uv", local_forest(u, v), strict=True)) if forest else {"u": u, "v": v}).drop_duplicates()
-
-
-def _proposed(spread: DataFrame, most: int, forest: bool, hot: int) -> DataFrame:
-    """spread (key, node, label, sketch) to pairs (u > v), distinct. A bucket of over ``hot`` members is dealt to several tasks."""
-
-    def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        n = 0
-        for pdf in batches:
-            held.append(pdf)
-            n += len(pdf)
-            if n >= 200_000:
-                pdf = pd.concat(held, ignore_index=True)
-                last = (pdf["key"] == pdf["key"].iloc[-1]) & (pdf["part"] == pdf["part"].iloc[-1])
-                cut = int((~last).sum())  # sorted: the last bucket may go on in the next batch
-                if cut:
-                    yield _propose(pdf.iloc[:cut], most, forest)
-                held, n = [pdf.iloc[cut:]], len(pdf) - cut
-        if n:
-            yield _propose(pd.concat(held, ignore_index=True), most, forest)
-
-    some = spread.filter(F.pmod(F.xxhash64("key", "node"), F.lit(max(1, hot // COUNTED))) == 0)
-    crowd = some.groupBy("key").agg((F.count("*") * max(1, hot // COUNTED)).alias("n")).filter(F.col("n") > hot)
-    crowded = {r["key"]: int(r["n"] // hot + 1) for r in crowd.collect()}
-    spread = spread.withColumn("part", F.lit(0)).withColumn("home", F.lit(True))
-    if crowded:
-        named = spread.sparkSession.createDataFrame(list(crowded.items()), "key long, parts int")
-        spread = spread.drop("part").join(F.broadcast(named), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        spread = spread.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        spread = spread.withColumn("home", F.col("part") == F.pmod(F.xxhash64("node"), F.col("parts")))
-    width = int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = spread.select("key", "part", "home", "node", "label", *SKETCH).repartition(width, "key", "part").sortWithinPartitions("key", "part")
-    return spread.mapInPandas(propose, "u long, v long").distinct()
+def _similar(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """The pairs of a cell whose sets are similar, as a spanning forest. Members of side 1 meet those of side 2, and of side 0 each other; equal labels need no link."""
+    node, label, side = (pdf[c].to_numpy() for c in ("node", "label", "side"))
+    n, size = len(node), np.array([len(h) for h in pdf["hashes"]])
+    member = np.repeat(np.arange(n), size)
+    _, column, count = np.unique(np.concatenate([*pdf["hashes"], np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
+    least = 2 if n <= 2 * DENSE else DENSE
+    shared = np.zeros((n, n), np.float32)
+    wide = np.flatnonzero(count >= least)
+    place = np.full(len(count), -1)
+    place[wide] = np.arange(len(wide))
+    at = place[column]
+    for i in range(0, len(wide), COLUMNS):
+        some = np.flatnonzero((at >= i) & (at < i + COLUMNS))
+        m = np.zeros((n, min(COLUMNS, len(wide) - i)), np.float32)
+        m[member[some], at[some] - i] = 1
+        shared += m @ m.T
+    if least > 2:  # shingles of few members: their pairs one by one
+        few = np.flatnonzero((count[column] >= 2) & (count[column] < least))
+        few = few[np.argsort(column[few], kind="stable")]
+        c, who = column[few], member[few]
+        for step in range(1, least - 1):
+            same = np.flatnonzero(c[step:] == c[:-step])
+            np.add.at(shared, (who[same], who[same + step]), 1)
+            np.add.at(shared, (who[same + step], who[same]), 1)
+    shared = shared.astype(float)
+    either = size[:, None] + size[None, :] - shared
+    meets = ((side[:, None] == 0) & (side[None, :] == 0)) | ((side[:, None] == 1) & (side[None, :] == 2))
+    x, y = np.nonzero(meets & (label[:, None] != label[None, :]) & (shared >= similarity * either - 1e-9))
+    return pd.DataFrame(dict(zip("uv", local_forest(node[x], node[y]), strict=True)))
+
+
+def _confirmed(cells: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """cells (cell, side, node, label) and sets (node, hashes) to links (u, v) of similar sets that meet in a cell."""
+
+    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in sized(batches, ["cell"], 1):
+            for _, one in pdf.groupby("cell", sort=False):
+                if len(one) > 1:
+                    yield _similar(one, similarity)
+        released()
+
+    width = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = cells.join(sets, "node").select("cell", "side", "node", "label", "hashes")
+    return met.repartition(width, "cell").sortWithinPartitions("cell").mapInPandas(confirm, "u long, v long")
+
+
+def _blocks(nodes: DataFrame) -> DataFrame:
+    """nodes (node, comp, label, weight) of large components to cells (cell, side, node, label): pairs of blocks, without those of one label.
+
+    A label over the bound has blocks of its own; the others of a component are pooled, whole, by a hash.
+    """
+    labels = nodes.groupBy("comp", "label").agg(F.sum("weight").alias("of_label"))
+    pools = labels.filter(F.col("of_label") <= BLOCK).groupBy("comp").agg(F.sum("of_label").alias("pooled"))
+    labels = keep(labels.join(pools, "comp", "left").select(F.col("comp").alias("c"), F.col("label").alias("l"), "of_label", F.coalesce("pooled", F.lit(0)).alias("pooled")), "labels")
+    own = F.col("of_label") > BLOCK
+    part = F.when(own, F.pmod(F.xxhash64("node"), F.floor(F.col("of_label") / BLOCK) + 1)).otherwise(F.pmod(F.xxhash64("label"), F.floor(F.col("pooled") / BLOCK) + 1))
+    placed = nodes.join(labels, (F.col("comp") == F.col("c")) & (F.col("label") == F.col("l")))
+    single = F.when(own, F.col("label"))
+    placed = keep(placed.select("node", "comp", "label", single.alias("single"), F.xxhash64("comp", single.isNull(), single, part).alias("block")), "placed")
+    blocks = keep(placed.select("comp", "single", "block").distinct(), "blocks")
+    others = blocks.select(F.col("comp").alias("c"), F.col("single").alias("s"), F.col("block").alias("other"))
+    pairs = blocks.join(others, (F.col("comp") == F.col("c")) & (F.col("block") <= F.col("other"))).filter("single IS NULL OR s IS NULL OR single <> s")
+    pairs = keep(pairs.select(F.xxhash64("block", "other").alias("cell"), "block", "other"), "block_pairs")
+    left = pairs.select("cell", "block", F.when(F.col("block") == F.col("other"), 0).otherwise(1).alias("side"))
+    right = pairs.filter("block <> other").select("cell", F.col("other").alias("block"), F.lit(2).alias("side"))
+    return placed.join(left.unionByName(right), "block").select("cell", "side", "node", "label")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, hot: int = HOT_ANCHOR) -> tuple[DataFrame, DataFrame]:
     """Groups of texts whose sets of shingles have at least this Jaccard similarity, directly or through others.
 
-    Returns (members, groups): members has one row per input row (doc_id, row_hash, node), groups one per distinct set (node,
-    group_node). Null and wordless texts are one set. Every link is confirmed on the sets themselves.
+    Returns (members, groups): members has one row per input row (doc_id, row_key, node), groups one per distinct set (node,
+    group_node). Null and wordless texts are one set. Every link is confirmed on the sets themselves; a set is known by 64 bits.
     """
-
-    @F.pandas_udf("node long, bands array<long>, s0 long, s1 long, s2 long")
-    def made(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            own = shingle_set(t, shingle)
-            bands, sketch = minhash(own) if len(own) else ([], [0, 0, 0])
-            rows.append((int.from_bytes(xxhash.xxh3_64_digest(own.tobytes(), SEED), "big", signed=True), bands, *sketch))
-        return pd.DataFrame(rows, columns=["node", "bands", *SKETCH])
+    text = F.col(f"`{text_col}`")
+
+    @F.pandas_udf("node long, fp long, bands array<long>, s0 long, s1 long, s2 long")
+    def made(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for t in texts:
+                own = shingle_set(t, shingle)
+                bands, sketch = minhash(own) if len(own) else ([], [0, 0, 0])
+                rows.append((int.from_bytes(xxhash.xxh3_64_digest(own.tobytes(), SEED), "big", signed=True), majority(own), bands, *sketch))
+            yield pd.DataFrame(rows, columns=["node", "fp", "bands", *SKETCH])
+        released()
 
     @F.pandas_udf("array<long>")
-    def hashes(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, shingle).view(np.int64) for t in texts], dtype=object)
-
-    row_hash = F.xxhash64(F.col(id_col), F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), row_hash.alias("row_hash"), made(F.col(text_col)).alias("made"))
-    rows = keep(rows.select("doc_id", "row_hash", "made.*"), "minhashes")
-    members = rows.select("doc_id", "row_hash", "node")
-    names = keep(rows.groupBy("node").agg(F.min("row_hash").alias("row_hash")), "nodes")
-    one = rows.join(names, ["node", "row_hash"], "left_semi").dropDuplicates(["node"]).select("node", F.col("node").alias("label"), F.explode("bands").alias("key"), *SKETCH)
-    spread = keep(one, "buckets")
-    most = sketch_bits(similarity)
-    first = keep(_proposed(spread, most, True, hot), "proposed")
-    # every node of a proposed pair is in the forest, so only their sets are needed
-    met = keep(first.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "met")
-    texts = docs.select(row_hash.alias("row_hash"), F.col(text_col).alias("text")).join(names.join(met, "node", "left_semi"), "row_hash").dropDuplicates(["node"])
-    sets = keep(texts.select("node", hashes("text").alias("hashes")), "sets")
+    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingle_set(t, shingle).view(np.int64) for t in texts], dtype=object)
+        released()
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
+    def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for i in range(0, len(whole), SPREAD_ROWS):
+                pdf = whole.iloc[i : i + SPREAD_ROWS]
+                key, home, at = anchors(pdf["fp"].to_numpy(np.int64), blocks(NEAR))
+                key = np.concatenate([key, np.concatenate([*pdf["bands"], np.zeros(0, np.int64)])])
+                at = np.concatenate([at, np.repeat(np.arange(len(pdf)), BANDS)])
+                yield pd.DataFrame({"key": key, "home": np.r_[home, np.ones(len(key) - len(home), bool)]} | {c: pdf[c].to_numpy(np.int64)[at] for c in ("node", *SKETCH)})
+        released()
+
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), made(text).alias("made"))
+    rows = keep(rows.select("doc_id", "row_key", "made.*"), "minhashes")
+    members = rows.select("doc_id", "row_key", "node")
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = rows.filter(F.size("bands") > 0).groupBy("node").agg(F.first(F.struct("fp", "bands", *SKETCH)).alias("m")).select("node", "m.*")
+    spread = keep(distinct.repartition(width, "node").mapInPandas(replicate, "key long, home boolean, node long, s0 long, s1 long, s2 long"), "buckets")
+    proposed = keep(_met(spread, SKETCH, sketch_bits(similarity), hot), "proposed")
+    # a forest has every node of a proposed pair, so only their sets are needed, and its components are those of all proposals
+    comps = components(proposed)
+    comps = keep(comps.unionByName(comps.select(F.col("component").alias("node"), "component").distinct()), "proposed_nodes")
+    names = keep(members.groupBy("node").agg(F.min("row_key").alias("row_key")).join(comps, "node").select("node", "row_key"), "names")
+    texts = docs.select(row_key(id_col, text_col).alias("row_key"), text.alias("text")).join(names, "row_key").select("node", "text").dropDuplicates(["node"])
+    sets = keep(texts.select("node", hashes("text").alias("hashes")), "sets")
+    weighed = keep(sets.select(F.col("node").alias("of"), (F.size("hashes") + TEXT).cast("long").alias("weight")).join(comps, F.col("of") == F.col("node")).select("node", F.col("component").alias("comp"), "weight"), "weighed")
+    large = keep(weighed.groupBy("comp").agg(F.sum("weight").alias("all")).filter(F.col("all") > BLOCK).select(F.col("comp").alias("large")), "large")
+    small = weighed.join(large, F.col("comp") == F.col("large"), "left_anti")
+    cells = small.select(F.col("comp").alias("cell"), F.lit(0).alias("side"), "node", F.col("node").alias("label"))
+    found = keep(_confirmed(cells, sets, similarity), "confirmed")
+    if large.limit(1).count():
+        # what the forest of proposals links already needs no cell
+        big = keep(weighed.join(large, F.col("comp") == F.col("large"), "left_semi"), "large_nodes")
+        forest = proposed.join(big.select(F.col("node").alias("u")), "u", "left_semi")
+        both = forest.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
         shared = F.size(F.array_intersect("a", "b"))
-        return both.filter(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v")
-
-    links_ = keep(confirmed(first), "confirmed")
-    found = components(links_)
-    labelled = spread.drop("label").join(met, "node", "left_semi").join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    rest = keep(_proposed(keep(labelled, "labelled"), most, False, hot).join(first, ["u", "v"], "left_anti"), "proposed")
-    found = components(links_.unionByName(confirmed(rest))).withColumnRenamed("node", "of")
-    groups = names.join(found, names["node"] == found["of"], "left").select("node", F.coalesce("component", "node").alias("group_node"))
+        first = keep(both.filter(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v"), "confirmed")
+        label = components(first).withColumnRenamed("node", "of")
+        nodes = keep(big.join(label, F.col("node") == F.col("of"), "left").select("node", "comp", "weight", F.coalesce("component", "node").alias("label")), "labelled")
+        found = found.unionByName(first).unionByName(keep(_confirmed(_blocks(nodes), sets, similarity), "confirmed"))
+    group = components(found).withColumnRenamed("node", "of")
+    names = rows.select("node").distinct()
+    groups = names.join(group, names["node"] == group["of"], "left").select("node", F.coalesce("component", "node").alias("group_node"))
     return members, keep(groups, "groups")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 4, similarity: float | None = None, exact: bool = False) -> DataFrame:
-    """docs with one row of each near-duplicate group: the one with the smallest id (null ids last, then by content). If ``exact``, links are confirmed by their Jaccard similarity."""
-    if exact and similarity is None:
-        raise ValueError("exact groups need a similarity")
-    members, groups = exact_groups(docs, id_col, text_col, shingle, similarity) if exact else near_groups(docs, id_col, text_col, shingle, threshold, similarity)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash"))
-    # repeated rows are one before a group's rows meet
-    best = members.select("node", "doc_id", "row_hash").distinct().groupBy("node").agg(first.alias("best"))
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 4, similarity: float | None = None) -> DataFrame:
+    """docs with one row of each near-duplicate group: the one with the smallest id (null ids last, then by content).
+
+    With a similarity, links are texts whose sets of shingles are that similar, each confirmed; else fingerprints at most
+    ``threshold`` bits apart. Of rows alike in id and text one stays, the first by its other columns as JSON. Null, empty and wordless
+    texts are alike. An empty table gives an empty one. Columns of any type and name stay.
+    """
+    members, groups = exact_groups(docs, id_col, text_col, shingle, similarity) if similarity is not None else near_groups(docs, id_col, text_col, shingle, threshold)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
+    # the rows of a node are one before a group's nodes meet
+    best = members.groupBy("node").agg(first.alias("best"))
     best = best.join(groups.select("node", "group_node"), "node").groupBy("group_node").agg(F.min("best").alias("best"))
-    best = keep(best.select(F.col("best.row_hash").alias("__row_hash")), "best")
-    own = F.xxhash64(F.col(id_col), F.col(text_col))
-    kept = docs.withColumn("__row_hash", own).join(best, "__row_hash", "left_semi")
-    times = members.join(best, members["row_hash"] == best["__row_hash"], "left_semi").groupBy("row_hash").count().filter("count > 1")
+    best = keep(best.select(F.col("best.row_key").alias("best_key")), "best")
+    rows = docs.select(row_key(id_col, text_col).alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = rows.join(best, rows["row_key"] == best["best_key"], "left_semi")
+    times = members.join(best, members["row_key"] == best["best_key"], "left_semi").groupBy("row_key").count().filter("count > 1")
     if times.limit(1).count():  # some of the chosen rows are there more than once
-        kept = kept.dropDuplicates(["__row_hash"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        kept = kept.groupBy("row_key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -23,7 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group, the one with the smallest id: shingles of five words, a Jaccard similarity of 0.8 at least, confirmed for every link."""
-    return simhash.keep_one(docs, shingle=5, threshold=7, similarity=0.8, exact=True)
+    return simhash.keep_one(docs, shingle=5, similarity=0.8)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

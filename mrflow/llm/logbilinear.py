@@ -1,17 +1,22 @@
 """Language-model scoring with a log-bilinear neural model trained by noise-contrastive estimation.
 
-Tokens are words, A-Z lower-cased, and one end per text. The most frequent ``model_words`` tokens (the end among them) are
-classes of their own; every other word belongs to a class by its last two characters. The model gives
+Tokens are words, A-Z lower-cased, and one end per text. Words that come often enough, the more the larger the corpus, have
+vectors of their own, as targets and as contexts; in order of their counts they are cut into classes, small ones of frequent words
+first. Every other word belongs to one of ``SUFFIX_CLASSES`` by its last two characters, as a target and as a context. With
+h = A[previous] + B[before] of the two words before, the model gives
 
-    ln p(class | previous, one before) = A[previous].R[class] + B[before].R[class] + bias[class] - ln Z
+    ln p(class) = h.R[class] + bias[class] - ln Z            over all classes
+    ln p(word | class) = h.W[word] + bias[word] - ln Z[class]    over a class's words with vectors
 
 and a word of a suffix class gets the share (c + 1) / (N_class + V_class + 1) of it, c being its count in the training
-texts; the one left over is for words never seen. So the probabilities of all words sum to 1.
+texts; the one left over is for words never seen. So the probabilities of all words sum to 1. Both sums are taken for every token,
+by batched matrix products.
 
-Counting covers all training texts. Training covers them too: every task makes one pass of minibatch AdaGrad over its
-texts by noise-contrastive estimation, with noise from the class frequencies that a minibatch shares, so both passes are
-matrix products; the tasks' parameters are averaged by their tokens. ln Z of all pairs of contexts comes from batched
-matrix products over the classes, after which a token costs a few lookups.
+Counting covers all training texts. Training covers them too, each token once, in ROUNDS rounds: the texts of a round, a
+part by hash, are dealt by hash to shards, whose number the count of tokens gives; a shard goes on from the common parameters by
+minibatch AdaGrad on the noise-contrastive estimate, for classes with noise from the class frequencies, for words with noise from their
+class. Then the shards' parameters are averaged, weighted by the squared gradients that each parameter met. So the model depends on
+the texts and their ids alone, not on files, partitions or machines.
 
 Counts of rare words aren't held in memory: the ``head`` most frequent words are broadcast (their number is the bound),
 the counts of all others are joined. A rare word comes too seldom to be a hot key.
@@ -19,28 +24,39 @@ the counts of all others are joined. A rare word comes too seldom to be a hot ke
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, released
 
 END = ""
 HEAD = 1 << 16
-MODEL_WORDS = 512
+#: A word with a vector comes at least LEAST times, and 1 / SHARE of the root of the number of tokens.
+LEAST, SHARE = 5, 50
 SUFFIX_CLASSES = 64
 DIM = 16
-NOISE = 64
-BATCH = 512
+#: Noise drawn for a minibatch's classes, and for its words of each class.
+NOISE, WORD_NOISE = 64, 4
+BATCH = 2048
 RATE = 0.1
+ROUNDS = 3
+#: Training tokens of a shard, and the most shards.
+SHARD_TOKENS, SHARDS = 1 << 21, 4096
+#: Parameters in a row when shards are averaged.
+CHUNK = 1 << 16
 #: Characters of text that are cut into tokens at once, whole texts each.
 SLICE = 4 << 20
+#: Values of a matrix of logits.
+LOGITS = 1 << 21
 
 
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -75,34 +91,63 @@ def suffix_classes(words: pa.Array, classes: int = SUFFIX_CLASSES) -> np.ndarray
 
 @dataclass
 class Vocabulary:
-    """The head, by count: words, counts. Classes: model words, suffix classes, then the start of a text."""
+    """The head, by count: words, counts. The first ``own`` have vectors; class k has those from first[k] to first[k + 1].
+
+    As contexts and targets words are known by kinds: those with vectors, then the suffix classes; then, as a context, the start.
+    """
 
     words: pa.Array
     counts: np.ndarray
-    model_words: int
+    own: int
+    first: np.ndarray
     end: int
     tokens: int
     types: int
     suffix_tokens: np.ndarray
     suffix_types: np.ndarray
-    class_tokens: np.ndarray
 
     @property
     def classes(self) -> int:
-        return self.model_words + len(self.suffix_tokens) + 1
+        """Classes of words with vectors; the suffix classes come after them."""
+        return len(self.first) - 1
+
+    @property
+    def start(self) -> int:
+        return self.own + len(self.suffix_tokens)
+
+    @property
+    def class_of(self) -> np.ndarray:
+        """The class of each kind."""
+        return np.r_[np.repeat(np.arange(self.classes), np.diff(self.first)), self.classes + np.arange(len(self.suffix_tokens))].astype(np.int32)
+
+    @property
+    def class_tokens(self) -> np.ndarray:
+        return np.r_[np.add.reduceat(self.counts[: self.own], self.first[:-1]) if self.own else np.zeros(0, np.int64), self.suffix_tokens]
 
     def encode(self, flat: pa.Array, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(class, place in the head or -1) of every token, ends included, and the text it belongs to."""
+        """(kind, place in the head or -1) of every token, ends included, and the text it belongs to."""
         coded = flat.dictionary_encode()
         place = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int32)
-        kind = np.where((place >= 0) & (place < self.model_words), place, self.model_words + suffix_classes(coded.dictionary)) if len(place) else place
+        kind = np.where((place >= 0) & (place < self.own), place, self.own + suffix_classes(coded.dictionary)) if len(place) else place
         of = coded.indices.to_numpy(zero_copy_only=False)
         last = np.cumsum(n)
-        kinds = np.insert(kind[of].astype(np.int32), last, self.end if 0 <= self.end < self.model_words else self.model_words)
+        end = self.end if 0 <= self.end < self.own else self.own + zlib.crc32(END.encode()) % SUFFIX_CLASSES
+        kinds = np.insert(kind[of].astype(np.int32), last, end)
         places = np.insert(place[of], last, self.end)
         return kinds, places, np.repeat(np.arange(len(n)), n + 1)
 
 
+def cut(counts: np.ndarray) -> np.ndarray:
+    """Where classes begin, and the end: words by descending count, in classes of equal sums of the roots of their counts, which
+    keeps the expected number of words to sum over low."""
+    if not len(counts):
+        return np.zeros(1, np.int64)
+    classes = max(1, round(0.8 * math.sqrt(len(counts))))
+    upto = np.cumsum(np.sqrt(counts + 1.0))
+    of = np.minimum((upto / upto[-1] * classes).astype(np.int64), classes - 1)
+    return np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(counts)]
+
+
 def contexts(kinds: np.ndarray, text: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     """Classes of the previous token and the one before; before a text's first token there are starts."""
     one = np.r_[start, kinds[:-1]].astype(np.int32)
@@ -115,80 +160,125 @@ def contexts(kinds: np.ndarray, text: np.ndarray, start: int) -> tuple[np.ndarra
 
 
 class Parameters:
-    """A, B (contexts), R (words) and the bias, in one flat array."""
+    """A, B (contexts), R (classes), W (words) and the biases, in one flat array."""
 
-    def __init__(self, classes: int, dim: int = DIM, flat: np.ndarray | None = None):
-        n = classes * dim
-        self.flat = np.zeros(3 * n + classes, np.float32) if flat is None else flat
-        self.a, self.b, self.r = (self.flat[i * n : (i + 1) * n].reshape(classes, dim) for i in range(3))
-        self.bias = self.flat[3 * n :]
+    def __init__(self, vocabulary: Vocabulary, flat: np.ndarray | None = None, dim: int = DIM):
+        contexts, classes, words = vocabulary.start + 1, vocabulary.classes + len(vocabulary.suffix_tokens), vocabulary.own
+        shapes = [(contexts, dim), (contexts, dim), (classes, dim), (words, dim), (classes,), (words,)]
+        ends = np.cumsum([0, *(math.prod(x) for x in shapes)])
+        self.flat = np.zeros(ends[-1], np.float32) if flat is None else flat
+        self.a, self.b, self.r, self.w, self.class_bias, self.word_bias = (self.flat[i:j].reshape(x) for i, j, x in zip(ends, ends[1:], shapes, strict=False))
 
 
 def initial(vocabulary: Vocabulary, seed: int = 0) -> np.ndarray:
-    p = Parameters(vocabulary.classes)
+    p = Parameters(vocabulary)
     p.flat[:] = np.random.default_rng(seed).normal(0, 0.1, len(p.flat))
-    p.bias[:] = np.log((vocabulary.class_tokens + 1) / (vocabulary.class_tokens + 1).sum())
+    p.class_bias[:] = np.log((vocabulary.class_tokens + 1) / (vocabulary.class_tokens + 1).sum())
+    p.word_bias[:] = in_class(vocabulary)
     return p.flat
 
 
-def _add(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sum rows by their target; returns the distinct targets, having summed into a dense array."""
+def in_class(vocabulary: Vocabulary) -> np.ndarray:
+    """ln of each word's share of its class by counts."""
+    plus = vocabulary.counts[: vocabulary.own] + 1.0
+    if not len(plus):
+        return plus
+    return np.log(plus / np.repeat(np.add.reduceat(plus, vocabulary.first[:-1]), np.diff(vocabulary.first)))
+
+
+def _summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct targets, and the sums of their rows."""
     order = np.argsort(at, kind="stable")
-    sorted_ = at[order]
-    new = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-    into[sorted_[new]] += np.add.reduceat(rows[order], new, axis=0)
-    return sorted_[new]
-
-
-def learn(p: Parameters, squares: np.ndarray, w: np.ndarray, one: np.ndarray, two: np.ndarray, noise: np.ndarray, rng: np.random.Generator, rate: float = RATE, k: int = NOISE) -> None:
-    """One pass of minibatches over the positions, by noise-contrastive estimation and AdaGrad."""
-    s, g = Parameters(len(noise), p.a.shape[1], squares), Parameters(len(noise), p.a.shape[1])
-    log_noise = np.log(noise * k).astype(np.float32)
-    cumulative = np.cumsum(noise)
-    order = rng.permutation(len(w))
-    for i in range(0, len(w), BATCH):
-        x = order[i : i + BATCH]
-        t, c1, c2 = w[x], one[x], two[x]
-        z = np.minimum(np.searchsorted(cumulative, rng.random(k) * cumulative[-1]), len(noise) - 1)
-        context = p.a[c1] + p.b[c2]
-        target = p.r[t]
-        # the data's words are to be told from the noise's
-        d = 1 / (1 + np.exp(np.clip((context * target).sum(1) + p.bias[t] - log_noise[t], -30, 30)))
-        q = -1 / (1 + np.exp(-np.clip(context @ p.r[z].T + p.bias[z] - log_noise[z], -30, 30)))
-        g.flat[:] = 0
-        to_context = d[:, None] * target + q @ p.r[z]
-        _add(g.a, c1, to_context)
-        _add(g.b, c2, to_context)
-        _add(g.r, t, d[:, None] * context)
-        np.add.at(g.r, z, q.T @ context)
-        g.bias += np.bincount(t, d, len(noise)).astype(np.float32) + np.bincount(z, q.sum(0), len(noise)).astype(np.float32)
-        s.flat += g.flat * g.flat
-        p.flat += rate * g.flat / (np.sqrt(s.flat) + 1e-6)
+    new = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0]) if len(at) else np.zeros(0, int)
+    return at[order[new]], np.add.reduceat(rows[order], new, axis=0) if len(at) else rows
+
+
+def _chance(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+class Learner:
+    """One shard's parameters and what AdaGrad has summed."""
+
+    def __init__(self, vocabulary: Vocabulary, flat: np.ndarray, squares: np.ndarray, seed: int):
+        self.v, self.p, self.s = vocabulary, Parameters(vocabulary, flat), Parameters(vocabulary, squares)
+        self.rng = np.random.default_rng(seed)
+        tokens = vocabulary.class_tokens + 1.0
+        self.class_of, self.noise_upto = vocabulary.class_of, np.cumsum(tokens)
+        self.log_noise = np.log(NOISE * tokens / tokens.sum()).astype(np.float32)
+        self.word_upto = np.r_[0, np.cumsum(vocabulary.counts[: vocabulary.own] + 1.0)]
+        self.log_word_noise = (in_class(vocabulary) + np.log(WORD_NOISE)).astype(np.float32)
+        self.several = np.r_[np.diff(vocabulary.first) > 1, np.zeros(len(vocabulary.suffix_tokens), bool)]
+
+    def step(self, into: str, at: np.ndarray, gradient: np.ndarray) -> None:
+        rows, g = _summed(at, gradient)
+        p, s = getattr(self.p, into), getattr(self.s, into)
+        s[rows] += g * g
+        p[rows] += RATE * g / (np.sqrt(s[rows]) + 1e-6)
+
+    def learn(self, kinds: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        """One pass of minibatches over the positions."""
+        p, v = self.p, self.v
+        order = self.rng.permutation(len(kinds))
+        for i in range(0, len(order), BATCH):
+            x = order[i : i + BATCH]
+            t, c1, c2 = kinds[x], one[x], two[x]
+            k = self.class_of[t]
+            z = np.minimum(np.searchsorted(self.noise_upto, self.rng.random(NOISE) * self.noise_upto[-1], "right"), len(self.noise_upto) - 1)
+            context = p.a[c1] + p.b[c2]
+            # the data's classes are to be told from the noise's
+            target = p.r[k]
+            d = 1 - _chance((context * target).sum(1) + p.class_bias[k] - self.log_noise[k])
+            q = -_chance(context @ p.r[z].T + p.class_bias[z] - self.log_noise[z])
+            to_context = d[:, None] * target + q @ p.r[z]
+            steps = [("r", np.r_[k, z], np.concatenate([d[:, None] * context, q.T @ context])), ("class_bias", np.r_[k, z], np.r_[d, q.sum(0)])]
+            many = np.flatnonzero(self.several[k])
+            if len(many):  # and its words from others of their class
+                many = many[np.argsort(k[many], kind="stable")]
+                w, own, h = t[many], k[many], context[many]
+                new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                run = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(own)]))
+                lo, hi = v.first[own[new]], v.first[own[new] + 1]
+                draw = self.word_upto[lo][:, None] + self.rng.random((len(new), WORD_NOISE)) * (self.word_upto[hi] - self.word_upto[lo])[:, None]
+                z = np.clip(np.searchsorted(self.word_upto, draw, "right") - 1, lo[:, None], hi[:, None] - 1)
+                target, other = p.w[w], p.w[z][run]
+                d = 1 - _chance((h * target).sum(1) + p.word_bias[w] - self.log_word_noise[w])
+                q = -_chance(np.einsum("nd,nkd->nk", h, other) + (p.word_bias[z] - self.log_word_noise[z])[run])
+                to_context[many] += d[:, None] * target + np.einsum("nk,nkd->nd", q, other)
+                by_noise = np.add.reduceat(q[:, :, None] * h[:, None, :], new, axis=0).reshape(-1, h.shape[1])
+                steps += [("w", np.r_[w, z.ravel()], np.concatenate([d[:, None] * h, by_noise])), ("word_bias", np.r_[w, z.ravel()], np.r_[d, np.add.reduceat(q, new, axis=0).ravel()])]
+            for into, at, gradient in [*steps, ("a", c1, to_context), ("b", c2, to_context)]:
+                self.step(into, at, gradient)
+
+
+def _log_share(h: np.ndarray, rows: np.ndarray, bias: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """ln of the softmax of h.rows + bias, at ``wanted``."""
+    out, step = np.empty(len(h)), max(1, LOGITS // max(1, len(rows)))
+    for i in range(0, len(h), step):
+        z = h[i : i + step] @ rows.T
+        z += bias
+        z -= z.max(1, keepdims=True)
+        own = z[np.arange(len(z)), wanted[i : i + step]].astype(float)
+        out[i : i + step] = own - np.log(np.exp(z, out=z).sum(1, dtype=float))
+    return out
 
 
 @dataclass
 class Model:
     vocabulary: Vocabulary
-    by_one: np.ndarray
-    by_two: np.ndarray
-    log_z: np.ndarray
-
-    @staticmethod
-    def of(vocabulary: Vocabulary, flat: np.ndarray) -> Model:
-        """Normalise for every pair of contexts. The start isn't a word: nothing is left for it."""
-        p = Parameters(vocabulary.classes, flat=flat)
-        one, two = p.a @ p.r.T + p.bias, p.b @ p.r.T
-        one[:, -1] = -np.inf
-        log_z = np.empty((vocabulary.classes, vocabulary.classes), np.float32)
-        for c in range(vocabulary.classes):
-            logits = one[c] + two
-            top = logits[:, :-1].max(1, keepdims=True)
-            log_z[c] = np.log(np.exp(logits[:, :-1] - top).sum(1)) + top[:, 0]
-        return Model(vocabulary, one, two, log_z)
-
-    def log_p(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Natural logarithm of the probability of each class in its context."""
-        return (self.by_one[one, w] + self.by_two[two, w] - self.log_z[one, two]).astype(np.float64)
+    flat: np.ndarray
+
+    def log_p(self, kinds: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the probability of each kind in its context; of a suffix class as a whole."""
+        p, v = Parameters(self.vocabulary, self.flat), self.vocabulary
+        h, k = p.a[one] + p.b[two], v.class_of[kinds]
+        out = _log_share(h, p.r, p.class_bias, k)
+        order = np.argsort(k, kind="stable")
+        edges = np.searchsorted(k[order], np.arange(v.classes + 1))
+        for c in np.flatnonzero((np.diff(edges) > 0) & (np.diff(v.first) > 1)).tolist():
+            x, lo, hi = order[edges[c] : edges[c + 1]], v.first[c], v.first[c + 1]
+            out[x] += _log_share(h[x], p.w[lo:hi], p.word_bias[lo:hi], kinds[x] - lo)
+        return out
 
 
 def count(texts: DataFrame) -> DataFrame:
@@ -219,58 +309,96 @@ def _most_frequent(counts: DataFrame, head: int) -> list:
     return sorted(top, key=lambda r: (-r["c"], r["token"]))
 
 
-def fit(texts: DataFrame, head: int = HEAD, model_words: int = MODEL_WORDS) -> tuple[Model, DataFrame]:
-    """Learn from texts (text; null is empty). Returns the model and the counts of all tokens."""
+def fit(texts: DataFrame, head: int = HEAD, least: int | None = None, text_col: str = "text", id_col: str = "doc_id") -> tuple[Model, DataFrame]:
+    """Learn from texts (null is empty). Returns the model and the counts of all tokens. least: how often a word with a vector comes."""
     spark = texts.sparkSession
+    texts = texts.select(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("hash"), F.col(f"`{text_col}`").alias("text"))
     counts = keep(count(texts), "counts")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    top = _most_frequent(counts, head)
-    own = [r["token"] for r in top[:model_words]]
+    top, tokens_ = _most_frequent(counts, head), total["n"] or 0
+    least = max(LEAST, math.ceil(math.sqrt(tokens_) / SHARE)) if least is None else least
+    own = [r["token"] for r in top if r["c"] >= least]
     rest = counts.join(F.broadcast(spark.createDataFrame([(t,) for t in own], "token string")), "token", "left_anti") if own else counts
     n, v = np.zeros(SUFFIX_CLASSES, np.int64), np.zeros(SUFFIX_CLASSES, np.int64)
     for r in rest.groupBy(suffix_class(F.col("token")).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
         n[r["k"]], v[r["k"]] = r["n"], r["v"]
     many = np.array([r["c"] for r in top], np.int64)
-    class_tokens = np.r_[many[: len(own)], n, 0]
     words = pa.array([r["token"] for r in top], pa.string())
     end = next((i for i, r in enumerate(top) if r["token"] == END), -1)
-    vocabulary = Vocabulary(words, many, len(own), end, total["n"] or 0, total["v"], n, v, class_tokens)
-    shared = spark.sparkContext.broadcast((vocabulary, initial(vocabulary)))
+    vocabulary = Vocabulary(words, many, len(own), cut(many[: len(own)]), end, tokens_, total["v"], n, v)
+    flat = initial(vocabulary)
+    squares = np.zeros_like(flat)
+    shards = min(SHARDS, 1 + tokens_ // SHARD_TOKENS)
+    part, shard = F.pmod(F.shiftrightunsigned("hash", 48), F.lit(ROUNDS)), F.pmod("hash", F.lit(shards))
+    for number in range(ROUNDS if tokens_ else 0):
+        dealt = texts.filter(part == number).select(shard.cast("int").alias("shard"), "hash", "text")
+        # in the order of the hashes, so the minibatches are the same whatever order the rows came in
+        dealt = dealt.repartition(min(shards, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)), "shard").sortWithinPartitions("shard", "hash")
+        shared = spark.sparkContext.broadcast((vocabulary, flat, squares))
+        learned = _averaged(dealt, shared, number)
+        for r in learned.collect():
+            i = r["chunk"] * CHUNK
+            weight, x, s = (np.frombuffer(r[c], np.float64) for c in ("weight", "x", "s"))
+            seen = weight > 0
+            flat[i : i + CHUNK][seen] = (x[seen] / weight[seen]).astype(np.float32)
+            squares[i : i + CHUNK] = (s / max(1, r["shards"])).astype(np.float32)
+        shared.unpersist()
+    return Model(vocabulary, flat), counts
+
+
+def _averaged(dealt: DataFrame, shared, number: int) -> DataFrame:
+    """Train every shard (shard, hash, text) and sum up: chunk, shards, and of its parameters the weights, weighted values and squares."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, flat = shared.value
-        p, seen = Parameters(vocabulary.classes, flat=flat.copy()), 0
-        squares = np.zeros_like(p.flat)
-        noise = (vocabulary.class_tokens + 1.0) / (vocabulary.class_tokens + 1.0).sum()
-        rng = np.random.default_rng(1)
+        vocabulary, flat, squares = shared.value
+        learner, at = None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            weight = learner.s.flat - squares
+            for i in range(0, len(flat), CHUNK):
+                yield pa.RecordBatch.from_pydict({"chunk": [i // CHUNK], "x": [learner.p.flat[i : i + CHUNK].tobytes()], "s": [learner.s.flat[i : i + CHUNK].tobytes()], "weight": [weight[i : i + CHUNK].tobytes()]}, pa.schema([("chunk", pa.int32()), *((c, pa.binary()) for c in ("x", "s", "weight"))]))
+
         for whole in batches:
             for batch in slices(whole, "text"):
-                w, _, text = vocabulary.encode(*tokens(batch.column(0)))
-                one, two = contexts(w, text, vocabulary.classes - 1)
-                learn(p, squares, w, one, two, noise, rng)
-                seen += len(w)
-        if seen:
-            at = np.arange(len(p.flat))
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(p.flat.astype(float) * seen), pa.array(np.full(len(at), float(seen)))], ["at", "weighted", "weight"])
-
-    learned = texts.select("text").mapInArrow(train, "at long, weighted double, weight double").groupBy("at").agg((F.sum("weighted") / F.sum("weight")).alias("x")).collect()
-    flat = initial(vocabulary)
-    for r in learned:
-        flat[r["at"]] = r["x"]
-    return Model.of(vocabulary, flat), counts
+                own = batch.column("shard").to_numpy()
+                for lo, hi in zip(*(lambda e: (e[:-1], e[1:]))(np.r_[np.flatnonzero(np.r_[True, own[1:] != own[:-1]]), len(own)].tolist()), strict=True):
+                    if own[lo] != at:
+                        if learner is not None:
+                            yield from done()
+                        at, learner = own[lo], Learner(vocabulary, flat.copy(), squares.copy(), number * SHARDS + int(own[lo]))
+                    kinds, _, text = vocabulary.encode(*tokens(batch.column("text").slice(lo, hi - lo)))
+                    learner.learn(kinds, *contexts(kinds, text, vocabulary.start))
+        if learner is not None:
+            yield from done()
+        released()
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, list] = {}
+        for pdf in batches:
+            for chunk, x, s, weight in zip(pdf["chunk"], pdf["x"], pdf["s"], pdf["weight"], strict=True):
+                x, s, weight = (np.frombuffer(b, np.float32).astype(float) for b in (x, s, weight))
+                held = sums.setdefault(chunk, [0, 0.0, 0.0, 0.0])
+                sums[chunk] = [held[0] + 1, held[1] + weight, held[2] + weight * x, held[3] + s]
+        for chunk, (n, weight, x, s) in sums.items():
+            yield pd.DataFrame({"chunk": [chunk], "shards": [n], "weight": [weight.tobytes()], "x": [x.tobytes()], "s": [s.tobytes()]})
+
+    each = dealt.select("shard", "text").mapInArrow(train, "chunk int, x binary, s binary, weight binary")
+    return each.repartition("chunk").mapInPandas(add_up, "chunk int, shards long, weight binary, x binary, s binary")
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, text_col: str = "text", keep_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep_cols and n_tokens, n_known, train_tokens, base_score, score of every row; both scores are log10 probabilities of the text.
 
-    Null and empty texts have one token, the end. Repeated rows get equal scores. If nothing was learned, the end has
+    Null and empty texts have one token, the end. Repeated rows get equal scores. Columns that aren't named stay out, whatever
+    their names; an empty table gives none. If nothing was learned, the end has
     count 0 and the scores are those of the smoothed, empty counts. Whole texts are scored, however long.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     names = list(keep_cols)
-    part = docs.select(F.spark_partition_id().cast("long").alias("__p"), *names, F.col(text_col).alias("__text"))
-    schema = "__row long, " + "".join(f"`{n}` {docs.schema[n].dataType.simpleString()}, " for n in names) + "n_tokens long, __known long, __base double, __score double, __rare array<string>"
+    part = docs.select(F.spark_partition_id().cast("long").alias("row"), *[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)], F.col(f"`{text_col}`").alias("text"))
+    kept = [f"c{i}" for i in range(len(names))]
+    schema = "row long, " + "".join(f"c{i} {docs.schema[n].dataType.simpleString()}, " for i, n in enumerate(names)) + "n_tokens long, known long, base double, score double, rare array<string>"
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, row = shared.value, 0
@@ -278,15 +406,15 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text_col: str = "tex
         plus = np.log10(v.counts + 1.0)
         share = np.log10(v.suffix_tokens + v.suffix_types + 1.0)
         for whole in batches:
-            for batch in slices(whole, "__text"):
+            for batch in slices(whole, "text"):
                 flat, n = tokens(batch.column(batch.num_columns - 1))
                 w, place, text = v.encode(flat, n)
-                one, two = contexts(w, text, v.classes - 1)
+                one, two = contexts(w, text, v.start)
                 ln = m.log_p(w, one, two) / np.log(10)
                 known = place >= 0
                 counted = np.where(known, plus[place], 0.0) if len(plus) else np.zeros(len(place))
-                in_class = w >= v.model_words
-                ln[in_class] += counted[in_class] - share[w[in_class] - v.model_words]
+                suffixed = w >= v.own
+                ln[suffixed] += counted[suffixed] - share[w[suffixed] - v.own]
                 total = lambda x: np.bincount(text, x, len(n))  # noqa: B023, E731
                 rare = ~known
                 rare[np.cumsum(n + 1) - 1] = False  # the end is no word to look up
@@ -294,19 +422,20 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text_col: str = "tex
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(total(rare))].astype(np.int32)), flat.take(pa.array(words)))
                 ids = (batch.column(0)[0].as_py() << 36) + row + np.arange(len(n))
                 row += len(n)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), *batch.columns[1:-1], pa.array(n + 1), pa.array(total(known).astype(np.int64)), pa.array(total(counted)), pa.array(total(ln)), lists], ["__row", *names, "n_tokens", "__known", "__base", "__score", "__rare"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), *batch.columns[1:-1], pa.array(n + 1), pa.array(total(known).astype(np.int64)), pa.array(total(counted)), pa.array(total(ln)), lists], ["row", *kept, "n_tokens", "known", "base", "score", "rare"])
+        released()
 
     scored = keep(part.mapInArrow(per_batch, schema), "scored")
-    rare = scored.select("__row", F.explode("__rare").alias("token")).join(counts, "token")
-    late = rare.groupBy("__row").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("__late"), F.count("*").alias("__more"))
+    rare = scored.select("row", F.explode("rare").alias("token")).join(counts, "token")
+    late = keep(rare.groupBy("row").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("late"), F.count("*").alias("more")).withColumnRenamed("row", "of"), "rare")
     v = model.vocabulary
-    out = scored.drop("__rare").join(late, "__row", "left")
-    more, each = F.coalesce("__late", F.lit(0.0)), float(np.log10(v.tokens + v.types + 1.0))
+    out = scored.drop("rare").join(late, F.col("row") == F.col("of"), "left")
+    more, each = F.coalesce("late", F.lit(0.0)), float(np.log10(v.tokens + v.types + 1.0))
     return out.select(
-        *[F.col(f"`{n}`") for n in names],
+        *[F.col(k).alias(n) for k, n in zip(kept, names, strict=True)],
         "n_tokens",
-        (F.col("__known") + F.coalesce("__more", F.lit(0))).cast("long").alias("n_known"),
+        (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
         F.lit(v.tokens).cast("long").alias("train_tokens"),
-        (F.col("__base") + more - F.col("n_tokens") * each).alias("base_score"),
-        (F.col("__score") + more).alias("score"),
+        (F.col("base") + more - F.col("n_tokens") * each).alias("base_score"),
+        (F.col("score") + more).alias("score"),
     )

@@ -376,23 +376,60 @@ def test_lm_scores(spark, docs, rows):
     held = F.pmod(queries.id_crc(F.col("doc_id")), F.lit(7)) == 2
     counts = Counter(t for r in train for t in [*words(r[1]), ""])
     n, v = sum(counts.values()), len(counts)
-    for head in (1 << 16, 20):  # with a small head most words are looked up by a join
-        model, table = logbilinear.fit(docs.filter(~held), head=head, model_words=15)
-        got = logbilinear.score(docs, model, table, keep_cols=("doc_id", "text")).collect()
+    for head, least in ((1 << 16, 5), (20, 1), (1 << 16, 10**6)):  # with a small head most words are looked up by a join
+        model, table = logbilinear.fit(docs.filter(~held), head=head, least=least)
+        every = sum(c >= least for c in counts.values())
+        assert model.vocabulary.own == every if head > 20 else 0 < model.vocabulary.own <= 21
+        got = logbilinear.score(docs.withColumn("row", F.lit("clash")), model, table, keep_cols=("doc_id", "text", "row")).collect()
         assert len(got) == len(rows)
         for r in got:
             t = [*words(r["text"]), ""]
             base = sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in t)
-            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(counts[x] > 0 for x in t), n)
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["row"]) == (len(t), sum(counts[x] > 0 for x in t), n, "clash")
             assert math.isclose(r["base_score"], base, abs_tol=1e-6) and r["score"] < 0
+        for r in got[:20]:
+            assert math.isclose(r["score"], slow_score(model, counts, [*words(r["text"]), ""]), rel_tol=1e-4)
         assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
+def slow_score(model, counts, text):
+    """The log10 probability of a text, from the parameters, one token after the other."""
+    v, p = model.vocabulary, logbilinear.Parameters(model.vocabulary, model.flat)
+    own = {w: i for i, w in enumerate(v.words.to_pylist()[: v.own])}
+    kind = lambda w: own.get(w, v.own + zlib.crc32(w[-2:].encode()) % 64)
+    share = lambda logits, i: logits[i] - math.log(sum(math.exp(x) for x in logits))
+    total, before, previous = 0.0, v.start, v.start
+    for w in text:
+        h = [float(x) + float(y) for x, y in zip(p.a[previous], p.b[before], strict=True)]
+        logit = lambda row, bias, h=h: sum(x * float(y) for x, y in zip(h, row, strict=True)) + float(bias)
+        logits = [logit(*x) for x in zip(p.r, p.class_bias, strict=True)]
+        i = kind(w)
+        if i < v.own:
+            k = next(k for k in range(v.classes) if v.first[k] <= i < v.first[k + 1])
+            inside = [logit(p.w[j], p.word_bias[j]) for j in range(v.first[k], v.first[k + 1])]
+            total += share(logits, k) + share(inside, i - v.first[k])
+        else:
+            k = i - v.own
+            total += share(logits, v.classes + k) + math.log((counts[w] + 1) / (v.suffix_tokens[k] + v.suffix_types[k] + 1))
+        before, previous = previous, i
+    return total / math.log(10)
+
+
+def test_lm_does_not_depend_on_partitions(spark, docs):
+    two = []
+    for parts in (1, 7):
+        model, table = logbilinear.fit(docs.repartition(parts), least=3)
+        two.append(sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 3)) for r in logbilinear.score(docs, model, table).collect()))
+    assert all(a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=1e-4) for a, b in zip(*two, strict=True))
+
+
 def test_lm_probabilities_sum_to_one(spark, docs):
-    model, table = logbilinear.fit(docs, model_words=15)
-    m, v = model, model.vocabulary
-    for one, two in ((v.classes - 1, v.classes - 1), (0, 3), (20, 1)):
-        p = np.exp([m.log_p(np.array([w]), np.array([one]), np.array([two]))[0] for w in range(v.classes - 1)])
+    model, table = logbilinear.fit(docs, least=8)
+    v = model.vocabulary
+    every = np.arange(v.own + logbilinear.SUFFIX_CLASSES)
+    assert v.own > 20 and v.classes > 2
+    for one, two in ((v.start, v.start), (0, 3), (v.own + 1, 1)):
+        p = np.exp(model.log_p(every, np.full(len(every), one), np.full(len(every), two)))
         assert math.isclose(p.sum(), 1, abs_tol=1e-4)
     for k in range(len(v.suffix_tokens)):
         own = [r["c"] for r in table.filter(logbilinear.suffix_class(F.col("token")) == k).collect() if r["c"] is not None]
@@ -402,6 +439,25 @@ def test_lm_probabilities_sum_to_one(spark, docs):
     assert all(r["n_known"] == 0 and math.isfinite(r["score"]) for r in out)
 
 
+def test_lm_learns_what_follows_what(spark):
+    """In a text where each word fixes the next one, a model of contexts is far better than counts."""
+    rng = random.Random(1)
+    names = [f"w{i}" for i in range(60)]
+    after = {w: rng.sample(names, 2) for w in names}
+
+    def text():
+        w, out = rng.choice(names), []
+        for _ in range(300):
+            out.append(w)
+            w = rng.choice(after[w])
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(i, text()) for i in range(400)], "doc_id long, text string")
+    model, table = logbilinear.fit(docs.filter("doc_id < 350"))
+    r = logbilinear.score(docs.filter("doc_id >= 350"), model, table).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert r[0] / r[2] > r[1] / r[2] + 0.4  # log10 a token; counts alone give -1.78
+
+
 def test_pii(spark):
     text = "Mail a.b9@mail8.example.com or A.B9@MAIL8.EXAMPLE.COM; +1 (988) 555-2485 = +1 988 555 2485 = 988-555-2485; 4532015112830366, 4532 0151 1283 0367; 10.2.3.4 v1.2.3.4.5; 123-45-6789; Frau Müller und Mr. John Smith, г-жа Иванова."
     clean = "No data here, 2024-01-01, 3.14, 12345 items at 5 @ home; the secret: nobody knew, token = none."

@@ -3,11 +3,14 @@
 Features: letters lower-cased, every other run of characters one space; n-grams of 1 to 3 characters, hashed. A value is
 (1 + ln count) * idf, the vector scaled to length 1. Document frequencies are counted over all training rows. The weights
 are trained with follow-the-regularised-leader (FTRL-proximal) under L1 and L2 penalties, on a sample of the labelled
-rows that ``sample_rows`` bounds, chosen by a hash and even over languages; a fifth of the sample sets the temperature.
+rows that ``sample_rows`` bounds, chosen by a hash and even over languages: on whole texts and on a cut-out of each. A fifth of
+the sample sets the temperature, with cut-outs of 1 to 21 words, since whole texts of known languages are told apart without
+error, which would make any score 1; a prior holds it near 1 where there is little to go by.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -17,13 +20,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names, released
+
 BITS = 14
 DIM = 1 << BITS
 ORDERS = 3
 UNKNOWN = "und"
 #: Characters of a text that are hashed at once.
 PIECE = 1 << 19
-
+#: Words of the cut-outs, and how many characters they are taken from.
+CUTS, CUT_CHARS = (1, 2, 3, 5, 8, 13, 21), 2000
 
 _END = np.array([32], np.uint32)
 
@@ -73,6 +79,16 @@ def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int32), total[at].astype(np.float32)
 
 
+def cut_outs(text: str) -> list[str]:
+    """Stretches of so many words as CUTS has, from a place that a hash of the text gives."""
+    h = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    at = h % max(1, len(text) - CUT_CHARS)
+    words = text[at : at + CUT_CHARS].split()
+    if at and len(words) > 1:
+        words = words[1:]  # the first may be a part of a word
+    return [" ".join(words[(h >> 3) % max(1, len(words) - n + 1) :][:n]) for n in CUTS]
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -99,9 +115,15 @@ class Model:
         return self.langs[best], float(p[best] / p.sum())
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01) -> Model:
-    """FTRL-proximal over the rows (features, counts, language) in the order given; every fifth row sets the temperature."""
-    langs = sorted({r[2] for r in rows})
+def calibration_error(p: np.ndarray, right: np.ndarray, bins: int = 10) -> float:
+    """The mean difference between score and accuracy over bins of the score."""
+    at = np.minimum((p * bins).astype(int), bins - 1)
+    return float(sum(abs(p[at == b].sum() - right[at == b].sum()) for b in range(bins)) / max(1, len(p)))
+
+
+def train(rows: list[tuple[list[tuple[np.ndarray, np.ndarray]], str]], idf: np.ndarray, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, prior: float = 1.0) -> Model:
+    """FTRL-proximal over the rows (features and counts of a text and its cut-outs; language) in the order given; every fifth row sets the temperature."""
+    langs = sorted({r[1] for r in rows})
     model = Model(langs, idf, np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32))
     if not langs:
         return model
@@ -115,40 +137,53 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray, epoch
     held, learn = rows[::5] if len(rows) >= 10 * len(langs) else [], rows
     if held:
         learn = [r for i, r in enumerate(rows) if i % 5]
-    for _ in range(epochs):
-        for at, n, lang in learn:
-            x = np.r_[model.vector(at, n), 1.0]
-            i = np.r_[at, DIM]
-            w = weights(i)
-            q = x @ w
-            p = np.exp(q - q.max())
-            p /= p.sum()
-            p[langs.index(lang)] -= 1
-            g = x[:, None] * p[None, :]
-            grown = s[i] + g * g
-            z[i] += g - (np.sqrt(grown) - np.sqrt(s[i])) / alpha * w
-            s[i] = grown
+    for epoch in range(epochs):
+        for row, (texts, lang) in enumerate(learn):
+            # the text, and one of its cut-outs, another one each time
+            for at, n in texts[:1] + texts[1 + (row + epoch) % len(CUTS) :][:1]:
+                if not len(at):
+                    continue
+                x = np.r_[model.vector(at, n), 1.0]
+                i = np.r_[at, DIM]
+                w = weights(i)
+                q = x @ w
+                p = np.exp(q - q.max())
+                p /= p.sum()
+                p[langs.index(lang)] -= 1
+                g = x[:, None] * p[None, :]
+                grown = s[i] + g * g
+                z[i] += g - (np.sqrt(grown) - np.sqrt(s[i])) / alpha * w
+                s[i] = grown
     full = weights(np.arange(DIM + 1))
     model.weights, model.bias = full[:-1].astype(np.float32), full[-1].astype(np.float32)
-    if held:
-        logits = np.array([model.logits(a, n) for a, n, _ in held], np.float64)
-        y = np.array([langs.index(r[2]) for r in held])
+    cuts = [(at, n, lang) for texts, lang in held for at, n in texts[1:] if len(at)]
+    if cuts:
+        logits = np.array([model.logits(at, n) for at, n, _ in cuts], np.float64)
+        y = np.array([langs.index(lang) for *_, lang in cuts])
+
+        def shares(t: float) -> np.ndarray:
+            q = np.exp((logits - logits.max(1, keepdims=True)) / t)
+            return q / q.sum(1, keepdims=True)
 
         def loss(t: float) -> float:
-            q = logits / t
-            q = q - q.max(1, keepdims=True)
-            return float((np.log(np.exp(q).sum(1)) - q[np.arange(len(y)), y]).mean())
+            return float(-np.log(np.maximum(shares(t)[np.arange(len(y)), y], 1e-300)).mean())
 
-        grid = np.geomspace(0.05, 5, 60)
-        model.temperature = float(grid[int(np.argmin([loss(t) for t in grid]))])
-        model.held = {"rows": len(y), "accuracy": float((logits.argmax(1) == y).mean()), "loss": loss(model.temperature)}
+        grid = np.geomspace(0.02, 5, 120)
+        model.temperature = float(grid[int(np.argmin([loss(t) + prior * np.log(t) ** 2 / len(y) for t in grid]))])
+        p = shares(model.temperature)
+        whole = [(model.logits(*texts[0]).argmax(), langs.index(lang)) for texts, lang in held if len(texts[0][0])]
+        model.held = {"rows": len(y), "accuracy": float(np.mean([a == b for a, b in whole])), "cut_accuracy": float((p.argmax(1) == y).mean()), "loss": loss(model.temperature), "calibration_error": calibration_error(p.max(1), p.argmax(1) == y)}
     return model
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = 2000) -> Model:
-    """Learn from labelled rows (null languages are left out). Only text and language are inputs; the id orders the sample."""
-    rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    per_lang = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = 2000, most_langs: int = 1000) -> Model:
+    """Learn from labelled rows (null languages are left out). Only text and language are inputs; the id orders the sample.
+
+    most_langs: so many languages are learned, the most frequent ones.
+    """
+    spark = labelled.sparkSession
+    rows = labelled.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    per_lang = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
     if not per_lang:
         return Model([], np.ones(DIM, np.float32), np.zeros((DIM, 0), np.float32), np.zeros(0, np.float32))
     share = max(5, sample_rows // len(per_lang))
@@ -162,6 +197,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
                 n += 1
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"at": np.r_[at, -1], "n": np.r_[seen[at], n]})
+        released()
 
     total = rows.select("text").mapInPandas(frequencies, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
     idf, n = np.zeros(DIM), next((r["n"] for r in total if r["at"] == -1), 0)
@@ -170,19 +206,18 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
             idf[r["at"]] = r["n"]
     idf = (np.log((1 + n) / (1 + idf)) + 1).astype(np.float32)
 
-    @F.pandas_udf("at binary, n binary")
-    def features(texts: pd.Series) -> pd.DataFrame:
-        made = [counts(t) for t in texts]
-        return pd.DataFrame({"at": [a.tobytes() for a, _ in made], "n": [n.tobytes() for _, n in made]})
+    @F.pandas_udf("array<struct<at: binary, n: binary>>")
+    def features(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"at": a.tobytes(), "n": n.tobytes()} for a, n in map(counts, [t, *cut_outs(t)])] for t in texts], dtype=object)
 
     draw = (F.xxhash64(F.lit("langid"), "id", "text").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))).alias("draw")
-    below = F.create_map(*[F.lit(x) for lang, c in per_lang.items() for x in (lang, share / c)])
-    few = rows.select("id", "lang", "text", draw).filter(F.col("draw") < below[F.col("lang")])
+    below = F.broadcast(spark.createDataFrame([(lang, share / c) for lang, c in per_lang.items()], "lang string, below double"))  # most_langs rows
+    few = rows.select("id", "lang", "text", draw).join(below, "lang").filter("draw < below")
     few = few.orderBy("draw", "id").limit(2 * share * len(per_lang))  # a draw that many copies share can't exceed the bound
     got = few.select("draw", "id", "lang", features("text").alias("f")).collect()
     got.sort(key=lambda r: (r["draw"], r["id"] or "", r["lang"]))
-    sample = [(np.frombuffer(r["f"]["at"], np.int32), np.frombuffer(r["f"]["n"], np.float32), r["lang"]) for r in got]
-    return train([r for r in sample if len(r[0])], idf)
+    sample = [([(np.frombuffer(f["at"], np.int32), np.frombuffer(f["n"], np.float32)) for f in r["f"]], r["lang"]) for r in got]
+    return train([r for r in sample if len(r[0][0][0])], idf)
 
 
 def predictor(df: DataFrame, model: Model):
@@ -190,9 +225,11 @@ def predictor(df: DataFrame, model: Model):
     shared = df.sparkSession.sparkContext.broadcast(model)  # its size: hashed features x languages
 
     @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        return pd.DataFrame([m.predict(t) for t in texts], columns=["lang_pred", "score"])
+        for texts in batches:
+            yield pd.DataFrame([m.predict(t) for t in texts], columns=["lang_pred", "score"])
+        released()
 
     return predict
 
@@ -201,9 +238,11 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", into: str = "l
     """df with a struct column ``into`` (lang_pred, score).
 
     Null, empty and letterless texts get ``und`` with score 0, and so does every text if nothing was learned. Each row
-    is judged alone, so repeated rows get equal results. All other columns stay as they are.
+    is judged alone, so repeated rows get equal results. All other columns stay as they are; one that is named like ``into``
+    stays under its name with underscores added until it is free. Whole texts are read, however long; an empty table stays one.
     """
-    return df.withColumn(into, predictor(df, model)(F.col(text_col)))
+    names = free_names(df.columns, [into])
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], predictor(df, model)(F.col(f"`{text_col}`")).alias(into))
 
 
 def confident(language: Column, least: float) -> Column:

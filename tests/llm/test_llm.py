@@ -222,10 +222,27 @@ def test_language(spark, docs, rows):
     for r in got:
         assert 0 <= r["language"]["score"] <= 1
         assert (r["language"]["lang_pred"] == "und") == (not any(c.isalpha() for c in r["text"] or ""))
+    assert langid.identify(docs.withColumn("language", F.lit("clash")), model).select("language_").first()[0] == "clash"
     nothing = langid.fit(docs.limit(0))
     assert nothing.predict("text") == ("und", 0.0) and langid.fit(docs.withColumn("lang", F.lit(None).cast("string"))).langs == []
 
 
+def test_language_scores_are_calibrated(spark):
+    """Over cut-outs of held-out texts of all lengths the score is near the share that is right; one letter settles nothing."""
+    sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text IS NOT NULL AND lang IS NOT NULL")
+    model = langid.fit(sf.filter("doc_id % 4 <> 2"))
+    assert 0.021 < model.temperature < 4.9 and model.held["calibration_error"] < 0.06 and model.held["accuracy"] > 0.97
+    p, right = [], []
+    for r in sf.filter("doc_id % 4 = 2").select("text", "lang").collect():
+        for cut in langid.cut_outs(r["text"]):
+            lang, score = model.predict(cut)
+            if lang != "und":
+                p.append(score)
+                right.append(lang == r["lang"])
+    assert langid.calibration_error(np.array(p), np.array(right)) < 0.08 and 0.6 < np.mean(right)
+    assert model.predict("a")[1] < 0.95 and model.predict("Съешь же ещё этих мягких французских булок")[1] < 0.6
+
+
 def test_language_counts_do_not_depend_on_pieces(monkeypatch):
     text = "Ein  Text -- mit ÄÖ und 12 Zahlen,x y𝒳z " * 9
     whole = langid.counts(text)

@@ -639,6 +639,9 @@ def test_chat(spark):
     whole = {(r["conv_id"], r["speaker"]): r for r in chat.dialogues(segments).collect()}
     text, mask = whole[(1, "ann")]["text"], whole[(1, "ann")]["mask"]
     assert [text[m["start"] : m["end"]] for m in mask] == ["<|assistant|>\nhi<|end|>\n"]
+    parts = sorted((r for r in chat.dialogues(segments, most_chars=1000).collect() if r["conv_id"] == 3 and r["speaker"] == "a"), key=lambda r: r["part"])
+    assert len(parts) > 10 and "".join(r["text"] for r in parts) == whole[(3, "a")]["text"] and all(len(r["text"]) < 1100 for r in parts)
+    assert [r["text"][m["start"] : m["end"]] for r in parts for m in r["mask"]] == [f"<|assistant|>\nt{i}<|end|>\n" for i in range(0, 700, 2)]
     assert chat.perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
@@ -711,12 +714,45 @@ def test_url_filter(spark):
         assert (r["host"], r["path"]) == (host, path)
         assert r["rule"] == (max(fits)[1] if fits else None)
         assert r["verdict"] == max(fits)[2] if fits else r["verdict"] in ("allow", "block")
+    # the trees' verdicts, from the features of a slow reference
+    rows = pages.select("url", urlfilter.host_of(F.col("url")).alias("host"), urlfilter.path_of(F.col("url")).alias("path"))
+    labelled = rows.withColumn("fit", urlfilter.ruled(F.col("host"), F.col("path"))).filter("fit IS NOT NULL").select("url", "host", "path", (F.col("fit.verdict") == "block").cast("int").alias("blocked"))
+    model = urlfilter.fit(labelled)
+    assert model.held["rows"] > 0 and model.held["loss"] < 0.5 * model.held["loss_of_the_mean"] and model.trees
+    scores = {r["page_id"]: r["block_score"] for r in got}
+    truth = labelled.collect()
+    made = {r["url"]: list(r)[1:] for r in urlfilter.features(rows, model.counted, model.mean).select("row.url", "f.*").collect()}
+    for i, url in enumerate(urls):
+        assert np.allclose(made[url], slow_features(url, truth, model.mean), rtol=0, atol=1e-9)
+        p = 1 / (1 + math.exp(-model.start - sum(float(t.apply(np.array([made[url]]))[0]) for t in model.trees)))
+        assert math.isclose(scores[i], p, abs_tol=1e-9)
+    # for a row to learn from, its own fold is left out of the suffixes' shares
+    folds = {r["url"]: r["f"] for r in labelled.select("url", urlfilter.fold_of(F.col("url")).alias("f")).collect()}
+    for r in urlfilter.features(labelled, model.counted, model.mean, crossed=True).select("row.url", "f.pair_rate").collect():
+        others = [t for t in truth if folds[t["url"]] != folds[r["url"]]]
+        assert math.isclose(r["pair_rate"], slow_features(r["url"], others, model.mean)[-1])
+    clash = urlfilter.judge(pages.withColumnRenamed("host", "verdict"), keep_cols=("page_id", "verdict"))
+    assert clash.columns == ["page_id", "verdict_", "host", "path", "rule", "verdict", "block_score"] and clash.first()["verdict_"] == "clash"
     few = urlfilter.judge(pages, sample_rows=20).collect()
     assert sorted((r["page_id"], r["rule"] or "") for r in few) == sorted((r["page_id"], r["rule"] or "") for r in got)
     assert urlfilter.judge(pages.limit(0)).count() == 0
     assert {r["verdict"] for r in urlfilter.judge(pages.filter("page_id < 3")).collect()} == {"allow"}
 
 
+def slow_features(url, labelled, mean):
+    host, path = slow_url(url)
+    u = url or ""
+    chars = Counter(u)
+    rates = []
+    for labels in (1, 2):
+        end = lambda h, labels=labels: ".".join(h.split(".")[-labels:])
+        same = [r["blocked"] for r in labelled if end(r["host"]) == end(host)]
+        rates.append((sum(same) + 20 * mean) / (len(same) + 20))
+    query = u.split("?", 1)[1].split("#")[0] if "?" in u else ""
+    entropy = -sum(n / len(u) * math.log2(n / len(u)) for n in chars.values()) if u else 0.0
+    return [len(u), len(host), len(path), len(host.split(".")), len(regex.findall("/[^/]", path)), sum(map(u.count, "0123456789")) / len(u) if u else 0.0, len(regex.findall("[0-9]", path)), host.count("-"), len([x for x in query.split("&") if x]), float("#" in u), entropy, *rates]
+
+
 def test_trees_learn():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, len(urlfilter.FEATURES)))

@@ -3,7 +3,7 @@
 Every participant of a conversation (every role but ``system``) is once the assistant; the others are users named by their
 role, and system turns stay what they are. A rendered dialogue is given as one row per turn: its rendered text, its place
 in the dialogue's string, and whether it is trained on (the assistant's own turns are). So a very long conversation is
-never one value; ``dialogues`` puts together those whose rendered length is bounded.
+never one value; ``dialogues`` puts turns together to parts of bounded length.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ def perspectives(turns: DataFrame) -> DataFrame:
     Columns: conv_id, speaker, turn, position (from 0), chat_role, name, content, segment, start_char, end_char, trained.
     Turns go by turn, then role and text; null turns come last, in that order. A null role is the participant
     ``unknown``, a null text is empty, a null conv_id is one conversation. Repeated rows are turns each. A conversation
-    of system turns alone has no participant and gives no rows.
+    of system turns alone has no participant and gives no rows; an empty table gives none. A very long text is one segment.
+    Other columns stay out, whatever their names.
     """
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("part", F.coalesce(F.floor(F.col("turn") / PART), F.lit((1 << 62))))
@@ -60,10 +61,13 @@ def perspectives(turns: DataFrame) -> DataFrame:
 
 
 def dialogues(segments: DataFrame, most_chars: int = 1 << 20) -> DataFrame:
-    """One row per conversation and speaker of at most most_chars: text and the stretches [start, end) trained on. Longer ones stay as segments."""
-    ends = segments.groupBy("conv_id", "speaker").agg(F.max("end_char").alias("n")).filter(F.col("n") <= most_chars)
-    same = segments["conv_id"].eqNullSafe(ends["conv_id"]) & (segments["speaker"] == ends["speaker"])
-    few = segments.join(ends, same, "left_semi")
-    one = few.groupBy("conv_id", "speaker").agg(F.array_sort(F.collect_list(F.struct("position", "segment", "start_char", "end_char", "trained"))).alias("s"))
-    spans = F.transform(F.filter("s", lambda x: x["trained"]), lambda x: F.struct(x["start_char"].alias("start"), x["end_char"].alias("end")))
-    return one.select("conv_id", "speaker", F.concat_ws("", F.transform("s", lambda x: x["segment"])).alias("text"), spans.alias("mask"))
+    """One row per conversation, speaker and part: text and the stretches [start, end) of it that are trained on.
+
+    A dialogue of at most most_chars characters is one part, 0. A longer one is cut between turns, where every most_chars
+    characters a part begins; a turn longer than that ends its part.
+    """
+    part = F.floor(F.col("start_char") / most_chars).alias("part")
+    one = segments.groupBy("conv_id", "speaker", part).agg(F.array_sort(F.collect_list(F.struct("position", "segment", "start_char", "end_char", "trained"))).alias("s"))
+    first = F.element_at("s", 1)["start_char"]
+    spans = F.transform(F.filter("s", lambda x: x["trained"]), lambda x: F.struct((x["start_char"] - first).alias("start"), (x["end_char"] - first).alias("end")))
+    return one.select("conv_id", "speaker", "part", F.concat_ws("", F.transform("s", lambda x: x["segment"])).alias("text"), spans.alias("mask"))

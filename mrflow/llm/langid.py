@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from .common import free_names, released
 
 BITS = 14
@@ -182,6 +183,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     most_langs: so many languages are learned, the most frequent ones.
     """
     spark = labelled.sparkSession
+    ship(spark)
     rows = labelled.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
     per_lang = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
     if not per_lang:
@@ -222,6 +224,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 
 def predictor(df: DataFrame, model: Model):
     """A column function: text to struct(lang_pred, score)."""
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # its size: hashed features x languages
 
     @F.pandas_udf("lang_pred string, score double")

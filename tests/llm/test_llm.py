@@ -280,7 +280,7 @@ def test_decontamination(spark):
     fold = lambda t: decontaminate.fold(t)[0].tolist()
     for _, t in texts:
         found = {f[0] for f in index.find(t)}
-        want = {index.ids[j] for j, x in enumerate(index.texts) if t and slow_distance(x.tolist(), fold(t)) <= index.k[j]}
+        want = {i for j, x in enumerate(index.texts) if t and slow_distance(x.tolist(), fold(t)) <= index.k[j] for i in index.ids[j]}
         assert found == want
     docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -301,6 +301,35 @@ def test_short_items_and_items_without_an_id(spark):
     assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == [2, 4, 7, 8]
 
 
+def test_items_in_passes_and_items_that_are_equal(spark, monkeypatch):
+    items = [(i, prose("en", 30)) for i in range(8)]
+    items += [(20, items[0][1]), (21, items[0][1].upper()), (None, items[0][1]), (20, items[0][1])]
+    texts = [(i, prose("de", 20) + " " + items[i % 8][1] + " " + prose("fr", 20)) for i in range(16)] + [(30, prose("en", 60)), (31, None), (0, None)]
+    docs = spark.createDataFrame(texts * 2, "doc_id long, text string").withColumn("found", F.lit("clash")).withColumn("key", F.lit(1))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = decontaminate.find_passages(docs, bench).collect()
+    monkeypatch.setattr(decontaminate, "INDEX_CHARS", 300)
+    several = decontaminate.find_passages(docs, bench).collect()
+    key = lambda r: (r["doc_id"], r["text"] or "", r["found_"], r["key"], str(r["found"] and [tuple(f) for f in r["found"]]))
+    assert Counter(map(key, one)) == Counter(map(key, several)) and len(one) == 38
+    for r in one:
+        want = {i for i, t in items if i is not None and r["text"] and t.lower() in r["text"].lower()} | ({None} if r["text"] and items[0][1] in r["text"] else set())
+        assert {f["item_id"] for f in r["found"] or []} >= want and (not want or None in want or len(want) == 1)
+    assert decontaminate.clean(docs, bench).columns == docs.columns
+
+
+def test_runs_of_one_character_take_bounded_time():
+    item = "start " + "a" * 90 + " end of it"
+    index = decontaminate.Index.of([(1, item), (2, "ab" * 60)])
+    text = "a" * 600_000 + " b " + item + " " + "ab" * 100_000
+    start = time.time()
+    found = index.find(text)
+    assert time.time() - start < 60
+    assert (1, 600_003, 600_003 + len(item), 0) in found and sum(f[0] == 2 for f in found) >= 1500
+    ends = sorted((f[1], f[2]) for f in found if f[0] == 2)
+    assert all(a[1] <= b[0] for a, b in itertools.pairwise(ends))
+
+
 def test_long_texts_are_searched_whole(monkeypatch):
     item = prose("fr", 30)
     text = prose("en", 4000) + " " + item + " " + prose("en", 4000)

@@ -24,6 +24,8 @@ PART_ROWS, PART_SLOTS = 1024, 4096
 STRETCHES = 4096
 #: No document is taken more often than this.
 MOST = 3
+#: Copies of a row that are written in one step.
+STRETCH = 4096
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
@@ -91,7 +93,7 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
 
 def _row_key(seed: int, *columns: str) -> Column:
     """A seeded hash of the columns that tells a null from a value moved to another column."""
-    return F.xxhash64(F.lit(seed), *[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns])
+    return F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in columns], *[F.col(f"`{c}`").isNull() for c in columns])
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, block: int = 1024, weights: tuple[int, ...] = (1, 2, 3)) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -101,7 +103,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     source of its own, the last.
     """
     key = _row_key(seed, id_col, source_col, text_col)
-    rows = docs.select(key.alias("row_key"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    rows = docs.select(key.alias("row_key"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size"))
     # repeated rows are one from here until each gets its place
     rows = keep(rows.groupBy("row_key", "doc_id", "source", "size").agg(F.count("*").alias("copies")), "sizes")
     count = rows.count()
@@ -130,18 +132,39 @@ def pieces(streams: DataFrame, slots: DataFrame, block: int = 1024) -> DataFrame
 
 
 def mix(docs: DataFrame, block: int = 1024, **columns) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted)."""
+    """One row per input row: doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted).
+
+    Null texts have size 0 and are not taken; a null source is a source; repeated rows have a place each; very long texts span
+    many blocks. Other columns are not read, whatever their names. An empty table gives no rows.
+    """
     _, streams, slots = plan(docs, block=block, **columns)
     taken = pieces(streams, slots, block).groupBy("row_key", "copy").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
     return streams.join(taken, ["row_key", "copy"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, block: int = 1024, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """docs, each row as often as the mix takes it: its words taken over its size, rounded. Only the document at a source's end is cut, so only it is rounded."""
+    """docs, each row as often as the mix takes it: its words taken over its size, rounded. Only the document at a source's end is cut, so only it is rounded.
+
+    Rows alike in id, source and text are dealt what their copies are taken, as evenly as can be, the first by their other columns
+    as JSON. Null and wordless texts have no words and are not taken. An empty table gives an empty one. Columns of any type and name stay.
+    """
     _, streams, slots = plan(docs, id_col, text_col, source_col, seed, block, weights)
-    taken = pieces(streams, slots, block).groupBy("row_key").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.first("size").alias("size"))
-    sizes = streams.groupBy("row_key").agg(F.first("copies").alias("copies"))
-    often = taken.join(sizes, "row_key").select("row_key", F.round(F.col("taken") / (F.col("size") * F.col("copies"))).cast("int").alias("__often")).filter("__often > 0")
-    key = _row_key(seed, id_col, source_col, text_col)
-    out = docs.withColumn("__key", key).join(often, F.col("__key") == F.col("row_key"))
-    return out.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__often")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = pieces(streams, slots, block).groupBy("row_key", "copy").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.first("size").alias("size"))
+    often = taken.withColumn("often", F.round(F.col("taken") / F.col("size")).cast("long")).groupBy("row_key").agg(F.sum("often").alias("often")).filter("often > 0")
+    copies = streams.groupBy("row_key").agg(F.first("copies").alias("copies"))
+    often = keep(often.join(copies, "row_key").withColumnRenamed("row_key", "taken_key"), "often")
+    rows = docs.select(_row_key(seed, id_col, source_col, text_col).alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    met = rows.join(often, rows["row_key"] == often["taken_key"])
+    out = met.filter("copies = 1").select("row", "often")
+    if often.filter("copies > 1").limit(1).count():
+        # equal rows become one before their key's rows meet; a variant then has a stretch of the key's copies
+        alike = met.filter("copies > 1").groupBy("row_key", F.to_json("row").alias("variant")).agg(F.first("row").alias("row"), F.count("*").alias("n"), F.first("often").alias("often"), F.first("copies").alias("copies"))
+        begin = F.sum("n").over(Window.partitionBy("row_key").orderBy("variant")) - F.col("n")
+        more = F.col("often") % F.col("copies")
+        times = F.col("n") * F.floor(F.col("often") / F.col("copies")) + F.greatest(F.lit(0), F.least(F.col("n"), more - F.col("begin")))
+        alike = alike.withColumn("begin", begin).withColumn("times", times.cast("long")).filter("times > 0")
+        # many copies are written by many tasks, STRETCH of them in each step
+        steps = alike.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / STRETCH)))).repartition("row_key", "step")
+        out = out.unionByName(steps.select("row", F.least(F.lit(STRETCH), F.col("times") - F.col("step") * STRETCH).alias("often")))
+    out = out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("often").cast("long"))))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -412,6 +412,22 @@ def test_mixing_edge_cases(spark, docs):
     assert out.columns == docs.columns and out.filter("text IS NULL").count() == 0
 
 
+def test_copies_are_taken_one_by_one(spark):
+    """A source is one repeated row, in two variants, of which the mix takes some half."""
+    rows = [(i, " ".join(["w"] * 100), None, "b", i) for i in range(100)]
+    rows += [(5000, "x y z " * 30, None, "a", 1)] * 400 + [(5000, "x y z " * 30, None, "a", 2)] * 100
+    docs = spark.createDataFrame(rows, DOCS).withColumn("row_key", F.lit("clash")).withColumn("often", F.create_map(F.lit("a"), F.lit(1)))
+    got = mixing.mixed_documents(docs).collect()
+    words_ = Counter(r[3] for r in rows for _ in range(len(words(r[1]))))
+    want, taken = slow_targets(dict(words_)), Counter()
+    for r in got:
+        taken[r["source"]] += len(words(r["text"]))
+    assert all(abs(taken[s] - want[s]) <= 200 for s in want) and {r["row_key"] for r in got} == {"clash"}
+    ratio = want["a"] / words_["a"]
+    by = Counter(r["n_chars"] for r in got if r["doc_id"] == 5000)
+    assert 0.3 < ratio < 0.7 and abs(by[1] + by[2] - 500 * ratio) <= 2 and by[1] <= 400 and by[2] <= 100
+
+
 def test_points_fill_evenly(spark):
     x = [r[0] / (1 << mixing.POINT) for r in spark.range(64).select(mixing.point(F.col("id"))).collect()]
     assert sorted(x) == [i / 64 for i in range(64)]
@@ -807,3 +823,21 @@ def test_pipeline(spark, tmp_path, rows):
     assert 500 in left[1] and 500 not in left[2] and len(left[2]) == len(left[1]) - 1
     assert set(left[3]) <= set(left[2]) and Counter(left[4]) == Counter(left[3])
     assert {"shard", "slot"} < set(at.columns)
+    # the whole of it, with columns named like those that the stages make, and over an empty table
+    clash = ("row", "row_key", "node", "language", "found", "place", "shard", "__key", "__n", "text_")
+    wide = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    for c in clash:
+        wide = wide.withColumn(c, F.lit("mine"))
+    wide.withColumn("slot", F.create_map(F.lit("a"), F.lit(1))).write.parquet(f"file://{tmp_path}/wide/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"file://{tmp_path}/wide/benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}/wide")
+    whole = out.collect()
+    assert Counter(r["doc_id"] for r in whole) == Counter(left[4])
+    assert all(r["row"] == r["node"] == r["shard_"] == "mine" and r["slot_"] == {"a": 1} for r in whole)
+    slots = {}
+    for r in whole:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    wide.limit(0).write.parquet(f"file://{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").count() == 0

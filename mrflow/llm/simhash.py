@@ -60,9 +60,9 @@ SKETCH = ("s0", "s1", "s2")
 #: A pair is proposed if its sketches differ in no more bits than expected and so many standard deviations.
 DEVIATIONS = 4
 #: Shingles of a block of texts that meet; a text counts as so many more.
-BLOCK, TEXT = 1 << 18, 512
+BLOCK, TEXT = 1 << 19, 512
 #: Columns of a matrix of shingles, and from how many texts of a cell a shingle gets a column in a large one.
-COLUMNS, DENSE = 4096, 24
+COLUMNS, DENSE = 2048, 24
 _MINHASH = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
 
 
@@ -415,15 +415,20 @@ def _similar(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
             same = np.flatnonzero(c[step:] == c[:-step])
             np.add.at(shared, (who[same], who[same + step]), 1)
             np.add.at(shared, (who[same + step], who[same]), 1)
-    shared = shared.astype(float)
-    either = size[:, None] + size[None, :] - shared
-    meets = ((side[:, None] == 0) & (side[None, :] == 0)) | ((side[:, None] == 1) & (side[None, :] == 2))
-    x, y = np.nonzero(meets & (label[:, None] != label[None, :]) & (shared >= similarity * either - 1e-9))
-    return pd.DataFrame(dict(zip("uv", local_forest(node[x], node[y]), strict=True)))
+    us, vs = [node[:0]], [node[:0]]
+    for i in range(0, n, 256):
+        rows = slice(i, i + 256)
+        meets = ((side[rows, None] == 0) & (side[None, :] == 0)) | ((side[rows, None] == 1) & (side[None, :] == 2))
+        both = size[rows, None] + size[None, :] - shared[rows].astype(float)
+        x, y = np.nonzero(meets & (label[rows, None] != label[None, :]) & (shared[rows] >= similarity * both - 1e-9))
+        a, b = local_forest(node[i + x], node[y])
+        us.append(a)
+        vs.append(b)
+    return pd.DataFrame(dict(zip("uv", local_forest(np.concatenate(us), np.concatenate(vs)), strict=True)))
 
 
-def _confirmed(cells: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """cells (cell, side, node, label) and sets (node, hashes) to links (u, v) of similar sets that meet in a cell."""
+def _confirmed(met: DataFrame, similarity: float) -> DataFrame:
+    """met (cell, side, node, label, hashes) to links (u, v) of similar sets that meet in a cell."""
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in sized(batches, ["cell"], 1):
@@ -432,9 +437,8 @@ def _confirmed(cells: DataFrame, sets: DataFrame, similarity: float) -> DataFram
                     yield _similar(one, similarity)
         released()
 
-    width = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = cells.join(sets, "node").select("cell", "side", "node", "label", "hashes")
-    return met.repartition(width, "cell").sortWithinPartitions("cell").mapInPandas(confirm, "u long, v long")
+    width = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.select("cell", "side", "node", "label", "hashes").repartition(width, "cell").sortWithinPartitions("cell").mapInPandas(confirm, "u long, v long")
 
 
 def _blocks(nodes: DataFrame) -> DataFrame:
@@ -504,24 +508,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # a forest has every node of a proposed pair, so only their sets are needed, and its components are those of all proposals
     comps = components(proposed)
     comps = keep(comps.unionByName(comps.select(F.col("component").alias("node"), "component").distinct()), "proposed_nodes")
-    names = keep(members.groupBy("node").agg(F.min("row_key").alias("row_key")).join(comps, "node").select("node", "row_key"), "names")
-    texts = docs.select(row_key(id_col, text_col).alias("row_key"), text.alias("text")).join(names, "row_key").select("node", "text").dropDuplicates(["node"])
-    sets = keep(texts.select("node", hashes("text").alias("hashes")), "sets")
-    weighed = keep(sets.select(F.col("node").alias("of"), (F.size("hashes") + TEXT).cast("long").alias("weight")).join(comps, F.col("of") == F.col("node")).select("node", F.col("component").alias("comp"), "weight"), "weighed")
-    large = keep(weighed.groupBy("comp").agg(F.sum("weight").alias("all")).filter(F.col("all") > BLOCK).select(F.col("comp").alias("large")), "large")
-    small = weighed.join(large, F.col("comp") == F.col("large"), "left_anti")
-    cells = small.select(F.col("comp").alias("cell"), F.lit(0).alias("side"), "node", F.col("node").alias("label"))
-    found = keep(_confirmed(cells, sets, similarity), "confirmed")
+    names = members.groupBy("node").agg(F.min("row_key").alias("row_key")).join(comps, "node")
+    names = keep(names.select("node", F.col("component").alias("comp"), "row_key"), "names")
+    # dealt out by rows at any size, and not once more for rows that are there twice
+    texts = docs.select(row_key(id_col, text_col).alias("row_key"), text.alias("text")).join(names.hint("merge"), "row_key").dropDuplicates(["row_key"])
+    sets = keep(texts.select("node", "comp", hashes("text").alias("hashes")).withColumn("weight", (F.size("hashes") + TEXT).cast("long")), "sets")
+    large = keep(sets.groupBy("comp").agg(F.sum("weight").alias("all")).filter(F.col("all") > BLOCK).select(F.col("comp").alias("large")), "large")
+    small = sets.join(large, F.col("comp") == F.col("large"), "left_anti")
+    found = keep(_confirmed(small.select(F.col("comp").alias("cell"), F.lit(0).alias("side"), "node", F.col("node").alias("label"), "hashes"), similarity), "confirmed")
     if large.limit(1).count():
         # what the forest of proposals links already needs no cell
-        big = keep(weighed.join(large, F.col("comp") == F.col("large"), "left_semi"), "large_nodes")
-        forest = proposed.join(big.select(F.col("node").alias("u")), "u", "left_semi")
-        both = forest.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
+        big = keep(sets.join(large, F.col("comp") == F.col("large"), "left_semi"), "large_sets")
+        both = proposed.join(big.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(big.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
         shared = F.size(F.array_intersect("a", "b"))
         first = keep(both.filter(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v"), "confirmed")
         label = components(first).withColumnRenamed("node", "of")
         nodes = keep(big.join(label, F.col("node") == F.col("of"), "left").select("node", "comp", "weight", F.coalesce("component", "node").alias("label")), "labelled")
-        found = found.unionByName(first).unionByName(keep(_confirmed(_blocks(nodes), sets, similarity), "confirmed"))
+        met = _blocks(nodes).join(big.select("node", "hashes"), "node")
+        found = found.unionByName(first).unionByName(keep(_confirmed(met, similarity), "confirmed"))
     group = components(found).withColumnRenamed("node", "of")
     names = rows.select("node").distinct()
     groups = names.join(group, names["node"] == group["of"], "left").select("node", F.coalesce("component", "node").alias("group_node"))
@@ -542,7 +546,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     best = best.join(groups.select("node", "group_node"), "node").groupBy("group_node").agg(F.min("best").alias("best"))
     best = keep(best.select(F.col("best.row_key").alias("best_key")), "best")
     rows = docs.select(row_key(id_col, text_col).alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = rows.join(best, rows["row_key"] == best["best_key"], "left_semi")
+    kept = rows.join(best.hint("merge"), rows["row_key"] == best["best_key"], "left_semi")
     times = members.join(best, members["row_key"] == best["best_key"], "left_semi").groupBy("row_key").count().filter("count > 1")
     if times.limit(1).count():  # some of the chosen rows are there more than once
         kept = kept.groupBy("row_key").agg(F.min_by("row", F.to_json("row")).alias("row"))

@@ -36,6 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from .common import keep, released
 
 END = ""
@@ -312,6 +313,7 @@ def _most_frequent(counts: DataFrame, head: int) -> list:
 def fit(texts: DataFrame, head: int = HEAD, least: int | None = None, text_col: str = "text", id_col: str = "doc_id") -> tuple[Model, DataFrame]:
     """Learn from texts (null is empty). Returns the model and the counts of all tokens. least: how often a word with a vector comes."""
     spark = texts.sparkSession
+    ship(spark)
     texts = texts.select(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("hash"), F.col(f"`{text_col}`").alias("text"))
     counts = keep(count(texts), "counts")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
@@ -394,6 +396,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text_col: str = "tex
     count 0 and the scores are those of the smoothed, empty counts. Whole texts are scored, however long.
     """
     spark = docs.sparkSession
+    ship(spark)
     shared = spark.sparkContext.broadcast(model)
     names = list(keep_cols)
     part = docs.select(F.spark_partition_id().cast("long").alias("row"), *[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)], F.col(f"`{text_col}`").alias("text"))

@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from .common import keep, released, sized
 from .components import components, local_forest
 
@@ -303,6 +304,7 @@ def _met(spread: DataFrame, words: tuple[str, ...], most: int, hot: int) -> Data
 def links(fps: DataFrame, threshold: int = 4, hot: int = HOT_ANCHOR) -> DataFrame:
     """fps (node: long, a fingerprint; distinct) to links (u, v: long), whose components are those of the full link graph."""
     groups = triples(threshold)
+    ship(fps.sparkSession)
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -325,6 +327,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ignored, and it is null if all are. Null and wordless texts have fingerprint 0 and are linked like any other. Very long texts
     are hashed in pieces. Repeated rows are members each. Other columns are not read. An empty table gives empty results.
     """
+    ship(docs.sparkSession)
     text = F.col(f"`{text_col}`")
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), fingerprint_udf(shingle)(text).alias("node"))
     members = keep(own, "fingerprints")
@@ -469,6 +472,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Returns (members, groups): members has one row per input row (doc_id, row_key, node), groups one per distinct set (node,
     group_node). Null and wordless texts are one set. Every link is confirmed on the sets themselves; a set is known by 64 bits.
     """
+    ship(docs.sparkSession)
     text = F.col(f"`{text_col}`")
 
     @F.pandas_udf("node long, fp long, bands array<long>, s0 long, s1 long, s2 long")

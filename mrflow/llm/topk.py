@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from .common import keep
 
 BLOCK_ROWS = 16_384
@@ -207,6 +208,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     An id of 2**63 - 1 is taken for null. Empty tables give no rows; other columns are not read.
     """
     spark = vectors.sparkSession
+    ship(spark)
     none = np.iinfo(np.int64).max
     distinct = queries.filter("vec_id IS NOT NULL").groupBy("vec_id", "v").agg(F.count("*").alias("copies"))
     asked = keep(distinct.withColumn("query", F.monotonically_increasing_id()), "queries")

@@ -20,6 +20,8 @@ from .common import keep, n_words
 POINT = 40
 #: Rows of a part in a running sum; slots of a part in a ranking.
 PART_ROWS, PART_SLOTS = 1024, 4096
+#: Sources of a part.
+PART_SOURCES = 1 << 16
 #: The schedule's points are met with the sources in so many equal stretches.
 STRETCHES = 4096
 #: No document is taken more often than this.
@@ -28,29 +30,48 @@ MOST = 3
 STRETCH = 4096
 
 
+def _ranged(df: DataFrame, order: list) -> DataFrame:
+    """df with ``part``: parts by the order, of some PART_SOURCES rows, one after the other."""
+    parts = 1 + df.count() // PART_SOURCES
+    return keep(df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranged")
+
+
+def _upto(ranged: DataFrame, order: list, **sums: Column) -> DataFrame:
+    """ranged with running sums, a row's own value included: in each part, and over the parts."""
+    rows = ranged.select("*", *[c.alias(f"own_{n}") for n, c in sums.items()])
+    whole = rows.groupBy("part").agg(*[F.sum(f"own_{n}").alias(n) for n in sums])
+    before = whole.select(F.col("part").alias("of"), *[(F.sum(n).over(Window.orderBy("part")) - F.col(n)).alias(f"before_{n}") for n in sums])
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(before, F.col("part") == F.col("of"))
+    return out.select(*ranged.columns, *[(F.sum(f"own_{n}").over(inside) + F.col(f"before_{n}")).alias(n) for n in sums])
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
-    """sizes (source, source_size) to target (double) and goal (long, the target rounded) of every source.
+    """sizes (source, source_size) to target (double), goal (long, the target rounded) and goal_upto (goals up to it) of every source.
 
     The sources, by code point and null last, weigh ``weights`` in turn and share the sum of all sizes. A target stops at
     ``most`` times its source's size; the rest is shared again by weight. In order of size over weight the stopped sources
-    come first, so running sums find them. One row per source: small beside the documents.
+    come first, so running sums find them. Any number of sources: sums run in parts.
     """
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    upto = Window.orderBy("per", "place").rowsBetween(Window.unboundedPreceding, -1)
+    by_name, by_share, by_place = [F.col("source").asc_nulls_last()], [F.col("per"), F.col("place")], [F.col("place")]
     turn = F.array(*[F.lit(w) for w in weights])
-    s = sizes.withColumn("place", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    s = _upto(_ranged(sizes, by_name), by_name, upto=F.lit(1)).withColumn("place", F.col("upto").cast("long") - 1).drop("upto", "part")
     s = s.withColumn("weight", F.element_at(turn, (F.col("place") % len(weights) + 1).cast("int")).cast("long"))
-    s = s.withColumn("per", F.col("source_size") / F.col("weight")).withColumn("all", F.sum("source_size").over(whole)).withColumn("weights", F.sum("weight").over(whole))
-    before, past = F.coalesce(F.sum("source_size").over(upto), F.lit(0)), F.coalesce(F.sum("weight").over(upto), F.lit(0))
+    s = _ranged(s.withColumn("per", F.col("source_size") / F.col("weight")), by_share)
+    total = s.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    every, all_weights = (total["size"] or 0), (total["weight"] or 0)
+    s = _upto(s, by_share, sizes=F.col("source_size"), weights=F.col("weight"))
+    before, past = F.col("sizes") - F.col("source_size"), F.col("weights") - F.col("weight")
     # most * size < weight * (all - most * sizes before) / weights left, without a division
-    over = F.col("source_size").cast("decimal(38,0)") * most * (F.col("weights") - past) <= F.col("weight") * (F.col("all") - before * most)
-    s = s.withColumn("over", over)
-    s = s.withColumn("stopped", F.min("over").over(Window.orderBy("per", "place")))
-    rest = F.col("all") - F.coalesce(F.sum(F.when(F.col("stopped"), F.col("source_size"))).over(whole), F.lit(0)) * most
-    left = F.col("weights") - F.coalesce(F.sum(F.when(F.col("stopped"), F.col("weight"))).over(whole), F.lit(0))
-    share = F.when(F.col("stopped"), (F.col("source_size") * most).cast("double")).otherwise(rest.cast("double") * F.col("weight") / left)
+    over = F.col("source_size").cast("decimal(38,0)") * most * (F.lit(all_weights) - past) <= F.col("weight") * (F.lit(every).cast("decimal(20,0)") - before * most)
+    s = keep(s.withColumn("over", over).drop("sizes", "weights"), "shares")
+    s = keep(_upto(s, by_share, open=(~F.col("over")).cast("int")).withColumn("stopped", F.col("open") == 0).drop("open", "over", "part"), "shares")
+    stopped = s.filter("stopped").agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    rest, left = every - (stopped["size"] or 0) * most, all_weights - (stopped["weight"] or 0)
+    share = F.when(F.col("stopped"), (F.col("source_size") * most).cast("double")).otherwise(F.lit(float(rest)) * F.col("weight") / F.lit(float(max(left, 1))))
     s = s.withColumn("target", share)
-    return s.select("place", "source", "source_size", "weight", "target", F.least(F.round("target").cast("long"), F.col("source_size") * most).alias("goal"))
+    s = s.select("place", "source", "source_size", "weight", "target", F.least(F.round("target").cast("long"), F.col("source_size") * most).alias("goal"))
+    return _upto(_ranged(s, by_place), by_place, goal_upto=F.col("goal")).drop("part")
 
 
 def point(slot: Column) -> Column:
@@ -66,9 +87,8 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
     if slots >= 1 << POINT:
         raise ValueError("more slots than points; take larger blocks")
     width = 1 << POINT
-    upto = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    bounds = sources.withColumn("hi", F.when(F.lit(total) > 0, F.floor(F.sum("goal").over(upto).cast("double") / max(total, 1) * width)).otherwise(0).cast("long"))
-    bounds = bounds.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("place")), F.lit(0))).filter("hi > lo")
+    line = lambda c: F.floor(c.cast("double") / max(total, 1) * width).cast("long")
+    bounds = sources.withColumn("hi", line(F.col("goal_upto"))).withColumn("lo", line(F.col("goal_upto") - F.col("goal"))).filter("hi > lo")
     per = width // STRETCHES
     bounds = bounds.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("lo") / per), F.floor((F.col("hi") - 1) / per))))
     drawn = spark.range(slots).select(F.col("id").alias("slot"), point(F.col("id")).alias("x")).withColumn("stretch", F.floor(F.col("x") / per))

@@ -412,6 +412,20 @@ def test_mixing_edge_cases(spark, docs):
     assert out.columns == docs.columns and out.filter("text IS NULL").count() == 0
 
 
+def test_targets_of_many_sources(spark, monkeypatch):
+    """Sources in several parts, among them none, empty ones and equal shares."""
+    monkeypatch.setattr(mixing, "PART_SOURCES", 50)
+    rng = random.Random(8)
+    sizes = {f"host{rng.randrange(10**6)}": rng.choice([0, 1, 6, 6, 100, rng.randrange(10_000)]) for _ in range(400)} | {None: 77, "": 5, "Ä": 60}
+    got = {r["source"]: r for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)).collect()}
+    want = slow_targets(sizes)
+    assert len(got) == len(sizes) and all(math.isclose(got[s]["target"], want[s], abs_tol=1e-6) for s in sizes)
+    upto = 0
+    for place, s in enumerate(sorted(sizes, key=lambda s: (s is None, s))):
+        upto += got[s]["goal"]
+        assert (got[s]["place"], got[s]["goal_upto"]) == (place, upto)
+
+
 def test_copies_are_taken_one_by_one(spark):
     """A source is one repeated row, in two variants, of which the mix takes some half."""
     rows = [(i, " ".join(["w"] * 100), None, "b", i) for i in range(100)]

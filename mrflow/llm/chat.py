@@ -32,7 +32,9 @@ def perspectives(turns: DataFrame) -> DataFrame:
     Other columns stay out, whatever their names.
     """
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    t = t.withColumn("part", F.coalesce(F.floor(F.col("turn") / PART), F.lit((1 << 62))))
+    # turns without a number are in parts of their order too: by role and how the text begins
+    unnumbered = F.when(F.col("turn").isNull(), F.concat(F.col("role"), F.lit("\0"), F.substring("text", 1, 2))).otherwise("")
+    t = t.withColumn("part", F.struct(F.coalesce(F.floor(F.col("turn") / PART), F.lit(1 << 62)).alias("number"), unnumbered.alias("begin")))
     # a null conv_id is a key like any other
     t = t.withColumn("key", F.xxhash64("conv_id", F.col("conv_id").isNull()))
     speakers = t.filter(F.col("role") != SYSTEM).groupBy("key", "role").agg(F.count("*").alias("own")).select("key", F.col("role").alias("speaker"))

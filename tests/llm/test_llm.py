@@ -702,6 +702,10 @@ def test_chat(spark):
     assert len(parts) > 10 and "".join(r["text"] for r in parts) == whole[(3, "a")]["text"] and all(len(r["text"]) < 1100 for r in parts)
     assert [r["text"][m["start"] : m["end"]] for r in parts for m in r["mask"]] == [f"<|assistant|>\nt{i}<|end|>\n" for i in range(0, 700, 2)]
     assert chat.perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    loose = [(9, None, r, t) for r, t in [("b", "zz"), ("ab", "q"), ("a", "x1"), ("a", "x0"), ("a", ""), (None, "é"), ("a", "x0"), ("b", None)]]
+    got = chat.perspectives(spark.createDataFrame(loose, "conv_id long, turn long, role string, text string")).filter("speaker = 'a'").orderBy("position").collect()
+    want = sorted((r or "unknown", t or "") for _, _, r, t in loose)
+    assert [(r["name"] or "a", r["content"]) for r in got] == want and [r["position"] for r in got] == list(range(8))
 
 
 def test_top_k(spark, monkeypatch):

@@ -5,12 +5,21 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _RUN = uuid.uuid4().hex
-_MADE: list[str] = []
+_TOPS: set[str] = set()
+#: Of each thread the folders it made, so that threads clear none of each other's.
+_LOCAL = threading.local()
+
+
+def _made() -> list[str]:
+    if not hasattr(_LOCAL, "made"):
+        _LOCAL.made = []
+    return _LOCAL.made
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,10 +53,11 @@ def delete(spark: SparkSession, path: str) -> bool:
 def folder(spark: SparkSession, name: str) -> str:
     """A path for a new folder of this driver's run; nothing is there yet."""
     top = f"{shared_dir(spark)}/mrflow-{_RUN}"
-    if not _MADE:
+    if not _TOPS:
         atexit.register(_clear_at_exit, spark)
-    _MADE.append(f"{top}/{name}-{uuid.uuid4().hex}")
-    return _MADE[-1]
+    _TOPS.add(top)
+    _made().append(f"{top}/{name}-{uuid.uuid4().hex}")
+    return _made()[-1]
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -59,18 +69,18 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 
 def mark() -> int:
-    return len(_MADE)
+    return len(_made())
 
 
 def clear(spark: SparkSession, since: int = 0, but: int = 0) -> None:
-    """Delete the folders made after a mark, but for the last ``but``. What was read from them can't be read again."""
-    gone = _MADE[since : len(_MADE) - but]
-    for path in gone:
+    """Delete the folders that this thread made after a mark, but for the last ``but``. What was read from them can't be read again."""
+    made = _made()
+    for path in made[since : len(made) - but]:
         delete(spark, path)
-    del _MADE[since : len(_MADE) - but]
+    del made[since : len(made) - but]
 
 
 def _clear_at_exit(spark: SparkSession) -> None:
     with contextlib.suppress(Exception):  # the session may have ended before
-        for top in {p.rpartition("/")[0] for p in _MADE}:
+        for top in _TOPS:
             delete(spark, top)

@@ -171,7 +171,7 @@ def test_scratch_goes(spark, tmp_path):
     before = scratch.mark()
     kept = [scratch.keep(spark.range(3), "x") for _ in range(3)]
     assert [k.count() for k in kept] == [3, 3, 3]
-    paths = scratch._MADE[before:]
+    paths = scratch._made()[before:]
     scratch.clear(spark, before, but=1)
     assert [scratch.exists(spark, p) for p in paths] == [False, False, True] and kept[2].count() == 3
 

@@ -38,6 +38,8 @@ COUNTRY = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
 _WORD = r"\p{Lu}['’]?\p{L}++(?:['’-]\p{Lu}\p{L}++)*+"
 _ARABIC = r"[\p{IsArabic}&&\p{L}]++"
+#: What titles begin with.
+_BEGINS = "DFHMPSГгΚκ"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Type and pattern, the first that fits being taken.
 PATTERNS = (
@@ -47,8 +49,10 @@ PATTERNS = (
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("ip", rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?!\w|\.\d)"),
     ("secret", rf"(?:AKIA[0-9A-Z]{{16}}|gh[pousr]_\w{{20,80}}+|sk[-_]\w[\w-]{{19,120}}+|xox[abprs]-[\w-]{{10,120}}+|{SECRET_LABEL}[\"']?[ ]{{0,3}}[:=][ ]{{0,3}}[\"']?(?=[^\s\"',;]{{0,40}}\d)[^\s\"',;]{{8,512}}+)"),
-    ("name", rf"(?<!\p{{L}})(?:{MALE}|{FEMALE}|{NEUTRAL})\.? {_WORD}(?: (?:\p{{Lu}}\. )?{_WORD})?|(?<!\p{{L}})(?:{ARABIC_FEMALE}|{ARABIC_MALE}) {_ARABIC}(?: ال{_ARABIC})?|[{HAN_SURNAMES}]\p{{IsHan}}{{0,2}}?(?:{HAN_MALE}|{HAN_FEMALE})"),
+    ("name", rf"(?=[{_BEGINS}])(?<!\p{{L}})(?:{MALE}|{FEMALE}|{NEUTRAL})\.? {_WORD}(?: (?:\p{{Lu}}\. )?{_WORD})?|(?=[اأ])(?<!\p{{L}})(?:{ARABIC_FEMALE}|{ARABIC_MALE}) {_ARABIC}(?: ال{_ARABIC})?|(?=[\u4E00-\u9FFF])[{HAN_SURNAMES}]\p{{IsHan}}{{0,2}}?(?:{HAN_MALE}|{HAN_FEMALE})"),
 )
+#: All but names have a digit or an @.
+NAME = PATTERNS[-1][1]
 #: Nothing begins inside a word of Latin letters and digits, which rules most places out at once.
 PATTERN = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{p})" for _, p in PATTERNS) + ")"
 _TITLE = rf"^(?:{MALE}|{FEMALE}|{NEUTRAL}|{ARABIC_FEMALE}|{ARABIC_MALE})\.? "
@@ -241,8 +245,8 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = "key", into
     names = free_names(docs.columns, [into])
     text = F.col(f"`{text_col}`")
     digest = F.unhex(F.sha2(text, 256))
-    # every pattern but a name's has a digit or an @, and is looked for only in texts that have one
-    maybe = text.rlike(r"[0-9@]") | text.rlike(rf"{MALE}|{FEMALE}|{NEUTRAL}|{ARABIC_MALE}|{HAN_MALE}|{HAN_FEMALE}")
+    # every pattern but a name's has a digit or an @, and all patterns are looked for only in texts that have one or a name
+    maybe = text.rlike("[0-9@]") | text.rlike(NAME)
     found = docs.select(text.alias("text")).filter(maybe).withColumn("found", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).filter(F.size("found") > 0)
     found = found.select(F.unhex(F.sha2("text", 256)).alias("digest"), "found", F.split("text", PATTERN, -1).alias("rest"))
     found = keep(found.groupBy("digest").agg(F.first("found").alias("found"), F.first("rest").alias("rest")), "found")

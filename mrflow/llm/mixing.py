@@ -174,7 +174,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = streams.groupBy("row_key").agg(F.first("copies").alias("copies"))
     often = keep(often.join(copies, "row_key").withColumnRenamed("row_key", "taken_key"), "often")
     rows = docs.select(_row_key(seed, id_col, source_col, text_col).alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    met = rows.join(often, rows["row_key"] == often["taken_key"])
+    met = rows.join(often.hint("merge"), rows["row_key"] == often["taken_key"])  # dealt out by rows at any size
     out = met.filter("copies = 1").select("row", "often")
     if often.filter("copies > 1").limit(1).count():
         # equal rows become one before their key's rows meet; a variant then has a stretch of the key's copies

@@ -42,22 +42,22 @@ from .common import keep, released
 END = ""
 HEAD = 1 << 16
 #: A word with a vector comes at least LEAST times, and 1 / SHARE of the root of the number of tokens.
-LEAST, SHARE = 5, 50
+LEAST, SHARE = 5, 25
 SUFFIX_CLASSES = 64
 DIM = 16
 #: Noise drawn for a minibatch's classes, and for its words of each class.
 NOISE, WORD_NOISE = 64, 4
-BATCH = 2048
+BATCH = 4096
 RATE = 0.1
 ROUNDS = 3
 #: Training tokens of a shard, and the most shards.
-SHARD_TOKENS, SHARDS = 1 << 21, 4096
+SHARD_TOKENS, SHARDS = 1 << 24, 4096
 #: Parameters in a row when shards are averaged.
 CHUNK = 1 << 16
 #: Characters of text that are cut into tokens at once, whole texts each.
 SLICE = 4 << 20
-#: Values of a matrix of logits.
-LOGITS = 1 << 21
+#: Values of a matrix of logits, few enough for a processor's cache; up to SAFE a logit needs no scaling before its power is taken.
+LOGITS, SAFE = 1 << 17, 60.0
 
 
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -143,7 +143,7 @@ def cut(counts: np.ndarray) -> np.ndarray:
     keeps the expected number of words to sum over low."""
     if not len(counts):
         return np.zeros(1, np.int64)
-    classes = max(1, round(0.8 * math.sqrt(len(counts))))
+    classes = max(1, round(0.6 * math.sqrt(len(counts))))
     upto = np.cumsum(np.sqrt(counts + 1.0))
     of = np.minimum((upto / upto[-1] * classes).astype(np.int64), classes - 1)
     return np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(counts)]
@@ -161,14 +161,22 @@ def contexts(kinds: np.ndarray, text: np.ndarray, start: int) -> tuple[np.ndarra
 
 
 class Parameters:
-    """A, B (contexts), R (classes), W (words) and the biases, in one flat array."""
+    """A, B (contexts), R (classes) and W (words), these with their biases as a last column, in one flat array."""
 
     def __init__(self, vocabulary: Vocabulary, flat: np.ndarray | None = None, dim: int = DIM):
         contexts, classes, words = vocabulary.start + 1, vocabulary.classes + len(vocabulary.suffix_tokens), vocabulary.own
-        shapes = [(contexts, dim), (contexts, dim), (classes, dim), (words, dim), (classes,), (words,)]
+        shapes = [(contexts, dim), (contexts, dim), (classes, dim + 1), (words, dim + 1)]
         ends = np.cumsum([0, *(math.prod(x) for x in shapes)])
         self.flat = np.zeros(ends[-1], np.float32) if flat is None else flat
-        self.a, self.b, self.r, self.w, self.class_bias, self.word_bias = (self.flat[i:j].reshape(x) for i, j, x in zip(ends, ends[1:], shapes, strict=False))
+        self.a, self.b, self.classes, self.words = (self.flat[i:j].reshape(x) for i, j, x in zip(ends, ends[1:], shapes, strict=False))
+        self.r, self.class_bias, self.w, self.word_bias = self.classes[:, :dim], self.classes[:, dim], self.words[:, :dim], self.words[:, dim]
+
+    def context(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The contexts' vectors, and 1 for the biases."""
+        h = np.empty((len(one), self.a.shape[1] + 1), np.float32)
+        np.add(self.a[one], self.b[two], out=h[:, :-1])
+        h[:, -1] = 1
+        return h
 
 
 def initial(vocabulary: Vocabulary, seed: int = 0) -> np.ndarray:
@@ -189,9 +197,10 @@ def in_class(vocabulary: Vocabulary) -> np.ndarray:
 
 def _summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct targets, and the sums of their rows."""
-    order = np.argsort(at, kind="stable")
-    new = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0]) if len(at) else np.zeros(0, int)
-    return at[order[new]], np.add.reduceat(rows[order], new, axis=0) if len(at) else rows
+    order = np.argsort(at)
+    at = at[order]
+    new = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
+    return at[new], np.add.reduceat(rows[order], new, axis=0)
 
 
 def _chance(x: np.ndarray) -> np.ndarray:
@@ -226,41 +235,48 @@ class Learner:
             t, c1, c2 = kinds[x], one[x], two[x]
             k = self.class_of[t]
             z = np.minimum(np.searchsorted(self.noise_upto, self.rng.random(NOISE) * self.noise_upto[-1], "right"), len(self.noise_upto) - 1)
-            context = p.a[c1] + p.b[c2]
+            context = p.context(c1, c2)
             # the data's classes are to be told from the noise's
-            target = p.r[k]
-            d = 1 - _chance((context * target).sum(1) + p.class_bias[k] - self.log_noise[k])
-            q = -_chance(context @ p.r[z].T + p.class_bias[z] - self.log_noise[z])
-            to_context = d[:, None] * target + q @ p.r[z]
-            steps = [("r", np.r_[k, z], np.concatenate([d[:, None] * context, q.T @ context])), ("class_bias", np.r_[k, z], np.r_[d, q.sum(0)])]
+            target, other = p.classes[k], p.classes[z]
+            d = 1 - _chance(np.einsum("nd,nd->n", context, target) - self.log_noise[k])
+            q = -_chance(context @ other.T - self.log_noise[z])
+            to_context = d[:, None] * target + q @ other
+            steps = [("classes", np.concatenate([k, z]), np.concatenate([d[:, None] * context, q.T @ context]))]
             many = np.flatnonzero(self.several[k])
             if len(many):  # and its words from others of their class
                 many = many[np.argsort(k[many], kind="stable")]
                 w, own, h = t[many], k[many], context[many]
-                new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                run = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(own)]))
+                new = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
+                run = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(own))))
                 lo, hi = v.first[own[new]], v.first[own[new] + 1]
                 draw = self.word_upto[lo][:, None] + self.rng.random((len(new), WORD_NOISE)) * (self.word_upto[hi] - self.word_upto[lo])[:, None]
                 z = np.clip(np.searchsorted(self.word_upto, draw, "right") - 1, lo[:, None], hi[:, None] - 1)
-                target, other = p.w[w], p.w[z][run]
-                d = 1 - _chance((h * target).sum(1) + p.word_bias[w] - self.log_word_noise[w])
-                q = -_chance(np.einsum("nd,nkd->nk", h, other) + (p.word_bias[z] - self.log_word_noise[z])[run])
+                target, other = p.words[w], p.words[z][run]
+                d = 1 - _chance(np.einsum("nd,nd->n", h, target) - self.log_word_noise[w])
+                q = -_chance(np.einsum("nd,nkd->nk", h, other) - self.log_word_noise[z][run])
                 to_context[many] += d[:, None] * target + np.einsum("nk,nkd->nd", q, other)
                 by_noise = np.add.reduceat(q[:, :, None] * h[:, None, :], new, axis=0).reshape(-1, h.shape[1])
-                steps += [("w", np.r_[w, z.ravel()], np.concatenate([d[:, None] * h, by_noise])), ("word_bias", np.r_[w, z.ravel()], np.r_[d, np.add.reduceat(q, new, axis=0).ravel()])]
+                steps.append(("words", np.concatenate([w, z.ravel()]), np.concatenate([d[:, None] * h, by_noise])))
+            to_context = to_context[:, :-1]
             for into, at, gradient in [*steps, ("a", c1, to_context), ("b", c2, to_context)]:
                 self.step(into, at, gradient)
 
 
-def _log_share(h: np.ndarray, rows: np.ndarray, bias: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """ln of the softmax of h.rows + bias, at ``wanted``."""
-    out, step = np.empty(len(h)), max(1, LOGITS // max(1, len(rows)))
+def _log_share(h: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """ln of the softmax of h.rows, at ``wanted``."""
+    out, step, down = np.empty(len(h)), max(1, LOGITS // max(1, len(rows))), np.ascontiguousarray(rows.T)
+    longest = float(np.sqrt((rows[:, :-1] ** 2).sum(1).max(initial=0)))
+    highest = float(np.abs(rows[:, -1]).max(initial=0))
     for i in range(0, len(h), step):
-        z = h[i : i + step] @ rows.T
-        z += bias
-        z -= z.max(1, keepdims=True)
-        own = z[np.arange(len(z)), wanted[i : i + step]].astype(float)
-        out[i : i + step] = own - np.log(np.exp(z, out=z).sum(1, dtype=float))
+        some = h[i : i + step]
+        z = some @ down
+        own = z[np.arange(len(z)), wanted[i : i + step]]
+        top = 0.0
+        if longest * float(np.sqrt((some[:, :-1] ** 2).sum(1).max())) + highest > SAFE:
+            top = z.max(1, keepdims=True)
+            z -= top
+            top = top[:, 0]
+        out[i : i + step] = own - top - np.log(np.exp(z, out=z).sum(1))
     return out
 
 
@@ -272,13 +288,13 @@ class Model:
     def log_p(self, kinds: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Natural logarithm of the probability of each kind in its context; of a suffix class as a whole."""
         p, v = Parameters(self.vocabulary, self.flat), self.vocabulary
-        h, k = p.a[one] + p.b[two], v.class_of[kinds]
-        out = _log_share(h, p.r, p.class_bias, k)
+        h, k = p.context(one, two), v.class_of[kinds]
+        out = _log_share(h, p.classes, k)
         order = np.argsort(k, kind="stable")
         edges = np.searchsorted(k[order], np.arange(v.classes + 1))
         for c in np.flatnonzero((np.diff(edges) > 0) & (np.diff(v.first) > 1)).tolist():
             x, lo, hi = order[edges[c] : edges[c + 1]], v.first[c], v.first[c + 1]
-            out[x] += _log_share(h[x], p.w[lo:hi], p.word_bias[lo:hi], kinds[x] - lo)
+            out[x] += _log_share(h[x], p.words[lo:hi], kinds[x] - lo)
         return out
 
 
@@ -340,25 +356,25 @@ def fit(texts: DataFrame, head: int = HEAD, least: int | None = None, text_col:
         learned = _averaged(dealt, shared, number)
         for r in learned.collect():
             i = r["chunk"] * CHUNK
-            weight, x, s = (np.frombuffer(r[c], np.float64) for c in ("weight", "x", "s"))
-            seen = weight > 0
-            flat[i : i + CHUNK][seen] = (x[seen] / weight[seen]).astype(np.float32)
-            squares[i : i + CHUNK] = (s / max(1, r["shards"])).astype(np.float32)
+            weight, moved = (np.frombuffer(r[c], np.float64) for c in ("weight", "moved"))
+            flat[i : i + CHUNK] += (moved / np.maximum(weight, 1e-12)).astype(np.float32)
+            squares[i : i + CHUNK] += (weight / max(1, r["shards"])).astype(np.float32)
         shared.unpersist()
     return Model(vocabulary, flat), counts
 
 
 def _averaged(dealt: DataFrame, shared, number: int) -> DataFrame:
-    """Train every shard (shard, hash, text) and sum up: chunk, shards, and of its parameters the weights, weighted values and squares."""
+    """Train every shard (shard, hash, text) and sum up: chunk, shards, and of its parameters the weights and weighted changes."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, flat, squares = shared.value
         learner, at = None, None
 
         def done() -> Iterator[pa.RecordBatch]:
-            weight = learner.s.flat - squares
+            # what changed, in half precision; of the squared gradients the root
+            moved, met = (learner.p.flat - flat).astype(np.float16), np.sqrt(np.maximum(learner.s.flat - squares, 0)).astype(np.float16)
             for i in range(0, len(flat), CHUNK):
-                yield pa.RecordBatch.from_pydict({"chunk": [i // CHUNK], "x": [learner.p.flat[i : i + CHUNK].tobytes()], "s": [learner.s.flat[i : i + CHUNK].tobytes()], "weight": [weight[i : i + CHUNK].tobytes()]}, pa.schema([("chunk", pa.int32()), *((c, pa.binary()) for c in ("x", "s", "weight"))]))
+                yield pa.RecordBatch.from_pydict({"chunk": [i // CHUNK], "moved": [moved[i : i + CHUNK].tobytes()], "met": [met[i : i + CHUNK].tobytes()]}, pa.schema([("chunk", pa.int32()), ("moved", pa.binary()), ("met", pa.binary())]))
 
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -377,15 +393,15 @@ def _averaged(dealt: DataFrame, shared, number: int) -> DataFrame:
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, list] = {}
         for pdf in batches:
-            for chunk, x, s, weight in zip(pdf["chunk"], pdf["x"], pdf["s"], pdf["weight"], strict=True):
-                x, s, weight = (np.frombuffer(b, np.float32).astype(float) for b in (x, s, weight))
-                held = sums.setdefault(chunk, [0, 0.0, 0.0, 0.0])
-                sums[chunk] = [held[0] + 1, held[1] + weight, held[2] + weight * x, held[3] + s]
-        for chunk, (n, weight, x, s) in sums.items():
-            yield pd.DataFrame({"chunk": [chunk], "shards": [n], "weight": [weight.tobytes()], "x": [x.tobytes()], "s": [s.tobytes()]})
-
-    each = dealt.select("shard", "text").mapInArrow(train, "chunk int, x binary, s binary, weight binary")
-    return each.repartition("chunk").mapInPandas(add_up, "chunk int, shards long, weight binary, x binary, s binary")
+            for chunk, moved, met in zip(pdf["chunk"], pdf["moved"], pdf["met"], strict=True):
+                weight = np.frombuffer(met, np.float16).astype(float) ** 2
+                held = sums.setdefault(chunk, [0, 0.0, 0.0])
+                sums[chunk] = [held[0] + 1, held[1] + weight, held[2] + weight * np.frombuffer(moved, np.float16)]
+        for chunk, (n, weight, moved) in sums.items():
+            yield pd.DataFrame({"chunk": [chunk], "shards": [n], "weight": [weight.tobytes()], "moved": [moved.tobytes()]})
+
+    each = dealt.select("shard", "text").mapInArrow(train, "chunk int, moved binary, met binary")
+    return each.repartition("chunk").mapInPandas(add_up, "chunk int, shards long, weight binary, moved binary")
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, text_col: str = "text", keep_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -351,7 +351,7 @@ def fit(texts: DataFrame, head: int = HEAD, least: int | None = None, text_col:
     for number in range(ROUNDS if tokens_ else 0):
         dealt = texts.filter(part == number).select(shard.cast("int").alias("shard"), "hash", "text")
         # in the order of the hashes, so the minibatches are the same whatever order the rows came in
-        dealt = dealt.repartition(min(shards, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)), "shard").sortWithinPartitions("shard", "hash")
+        dealt = dealt.repartition(4 * shards, "shard").sortWithinPartitions("shard", "hash")  # more than shards, so that few meet in a task
         shared = spark.sparkContext.broadcast((vocabulary, flat, squares))
         learned = _averaged(dealt, shared, number)
         for r in learned.collect():

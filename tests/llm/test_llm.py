@@ -370,6 +370,27 @@ def test_sharding_writes_files(spark, docs, rows, tmp_path):
     assert back.count() == len(rows) and back.select("shard").distinct().count() == 4
 
 
+def test_the_sharding_query_shuffles_whole_documents(spark, rows, tmp_path, monkeypatch):
+    at = f"file://{tmp_path}/documents.parquet"
+    spark.createDataFrame([(*r, "mine") for r in rows], f"{DOCS}, shard string").repartition(3).write.parquet(at)
+    scattered, keep, shards = [], sharding.keep, sharding.shards
+    monkeypatch.setattr(sharding, "keep", lambda df, name: scattered.append(keep(df, name)) or scattered[-1])
+    got = queries.op4_sharding(spark, f"file://{tmp_path}").collect()
+    # the first pass writes the documents themselves, and weighs them by their texts
+    assert Counter(tuple(r) for r in scattered[0].select("row.*").collect()) == Counter((*r, "mine") for r in rows)
+    raw = [(r[0], (r[1] or "").encode()) for r in rows]
+    assert scattered[0].agg(F.sum("weight")).first()[0] == sum(len(t) + 1 + sharding.ROW_BYTES for _, t in raw)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((i, len(t) + 1, zlib.crc32(t)) for i, t in raw)
+    assert sorted((r["shard"], r["slot"]) for r in got) == sorted((n % 16, n // 16) for n in range(len(rows)))
+    assert {(r["law"], r["grown_shard"]) for r in got} == {("rows", None)}
+    # size and checksum are those of the texts that come out of the operator
+    monkeypatch.setattr(sharding, "shards", lambda *a, **b: shards(*a, **b).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("é"))))
+    got = queries.op4_sharding(spark, f"file://{tmp_path}").collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((i, len(t) + 3, zlib.crc32(t + "é".encode())) for i, t in raw)
+    spark.read.parquet(at).limit(0).write.parquet(f"file://{tmp_path}/none/documents.parquet")
+    assert queries.op4_sharding(spark, f"file://{tmp_path}/none").count() == 0
+
+
 def slow_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s))
     weight = {s: i % 3 + 1 for i, s in enumerate(names)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import operator
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,6 +16,12 @@ class Function:
     schema: str | None = None
     order_by: tuple[str, ...] = ()
     merge: Callable | None = None
+    counts: bool = False
+
+
+def add(a: tuple, b: tuple) -> tuple:
+    """The ``merge`` of items whose values add up. Spark knows it, and adds whole numbers up itself."""
+    return a[0], *map(operator.add, a[1:], b[1:])
 
 
 _FOUND: dict[str, dict[str, Function]] = {"map": {}, "reduce": {}}
@@ -32,14 +39,18 @@ def _register(kind: str, name: str, **facts):
     return keep
 
 
-def mapper(name: str, native: bool = False, schema: str | None = None, merge: Callable | None = None):
+def mapper(name: str, native: bool = False, schema: str | None = None, merge: Callable | None = None, counts: bool = False):
     """native: DataFrame (and auxiliary data) to DataFrame, its first column the key. Else: line, auxiliary data to items of ``schema``.
 
-    merge: a function of two items of a key that makes one; a task then merges its items before they are dealt out.
+    merge: a function of two items of a key that makes one; a task then merges its items before they are dealt out. With ``add``
+    a reducer gets one item of each key.
+    counts: the function gets some lines at once and gives keys alone, each of which counts one; ``schema`` names key and count.
     """
     if not native and not schema:
         raise ValueError("an opaque function needs the schema of its items")
-    return _register("map", name, native=native, schema=schema, merge=merge)
+    if counts and (native or merge not in (None, add)):
+        raise ValueError("counts of keys add up")
+    return _register("map", name, native=native, schema=schema, merge=add if counts else merge, counts=counts)
 
 
 def reducer(name: str, native: bool = False, schema: str | None = None, order_by: tuple[str, ...] = (), merge: Callable | None = None):

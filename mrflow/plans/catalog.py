@@ -17,7 +17,7 @@ from ..operators import native, opaque
 from ..sources import readers, scratch, sinks
 from .job import FileTransferJob, Job, MapReduceJob, ScriptJob, compile_job, run_mapreduce
 
-_WORD = re.compile(r"[^\W_]+")
+_WORD = re.compile(r"\w+")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -102,11 +102,10 @@ def q09_inverted_index(spark, sf_dir):
     return native.count_by(native.explode_tokens(table(spark, sf_dir, "documents"), "text", "doc_id"), "token", "doc_id")
 
 
-def _count_line(line, aux):
-    seen: dict[str, int] = {}
-    for t in _WORD.findall((line or "").lower()):
-        seen[t] = seen.get(t, 0) + 1
-    return list(seen.items())
+def _words(lines, aux):
+    """The words of some lines; no word goes over a line's end."""
+    found = _WORD.findall("\n".join(filter(None, lines)).lower().replace("_", " "))
+    return [t for t in found if t not in aux] if aux else found
 
 
 def _add_up(group, aux):
@@ -119,8 +118,7 @@ def _add_up(group, aux):
 @query(Q01)
 def q10_opaque_token_count(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("text")
-    merged = opaque.flat_map(docs, _count_line, "token string, n long", keys=["token"], merge=lambda a, b: (a[0], a[1] + b[1]))
-    return opaque.reduce_groups(merged, ["token"], _add_up, "token string, n long")
+    return opaque.reduce_groups(opaque.count_keys(docs, _words, "token string, n long"), ["token"], _add_up, "token string, n long", merge=registry.add)
 
 
 def _steps(group, aux):
@@ -413,12 +411,10 @@ def q39_order_limit(spark, sf_dir):
 # From here on queries go the whole way of a job: text files in folders, named functions, written output, kept state.
 
 
-@registry.mapper("catalog_words", schema="token string, n long", merge=lambda a, b: (a[0], a[1] + b[1]))
-def _words_of_line(line, aux):
-    return [(t, n) for t, n in _count_line(line, aux) if not aux or t not in aux]
+registry.mapper("catalog_words", schema="token string, n long", counts=True)(_words)
 
 
-@registry.reducer("catalog_total", schema="token string, n long", merge=lambda a, b: (a[0], a[1] + b[1]))
+@registry.reducer("catalog_total", schema="token string, n long", merge=registry.add)
 def _total(group, aux):
     return _add_up(group, aux)
 
@@ -433,12 +429,12 @@ def _native_total(items, aux=None):
     return native.merge_sums([items], ["token"], ["n"])
 
 
-@registry.mapper("catalog_counts_of_items", schema="occurrences long, n_tokens long", merge=lambda a, b: (a[0], a[1] + b[1]))
-def _count_of_item(line, aux):
-    return [(json.loads(line)[1], 1)]
+@registry.mapper("catalog_counts_of_items", schema="occurrences long, n_tokens long", counts=True)
+def _counts_of_items(lines, aux):
+    return [json.loads(line)[1] for line in lines]
 
 
-@registry.reducer("catalog_histogram", schema="occurrences long, n_tokens long", merge=lambda a, b: (a[0], a[1] + b[1]))
+@registry.reducer("catalog_histogram", schema="occurrences long, n_tokens long", merge=registry.add)
 def _histogram(group, aux):
     return _add_up(group, aux)
 

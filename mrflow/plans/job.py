@@ -146,6 +146,8 @@ def mapped(df: DataFrame, job: MapReduceJob) -> DataFrame:
     aux = auxiliary(df.sparkSession, job.aux_dir, job.aux_map)
     if f.native:
         return f.call(df, aux)
+    if f.counts:
+        return opaque.count_keys(df, f.call, f.schema, aux)
     return opaque.flat_map(df, f.call, f.schema, aux, StructType.fromDDL(f.schema).names[:1], f.merge)
 
 
@@ -156,7 +158,8 @@ def reduced(items: DataFrame, job: MapReduceJob) -> DataFrame:
     if f.native:
         return f.call(items, aux)
     call = f.call if job.streaming_group else lambda group, a, call=f.call: call(list(group), a)
-    return opaque.reduce_groups(items, items.columns[:1], call, f.schema, aux, f.order_by or None, job.shuffle_partitions)
+    merge = registry.find("map", job.map_function_name, job.project_name).merge
+    return opaque.reduce_groups(items, items.columns[:1], call, f.schema, aux, f.order_by or None, job.shuffle_partitions, merge)
 
 
 def compile_job(spark: SparkSession, job: MapReduceJob, source: DataFrame | None = None, seen: set[str] | None = None) -> DataFrame:

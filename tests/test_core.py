@@ -3,6 +3,7 @@ import gzip
 import json
 import math
 import os
+import re
 import subprocess
 import sys
 import time
@@ -366,3 +367,57 @@ def test_merging_in_the_task_and_after_it_agree(spark):
             assert got == {("a", 100), ("b", 50), ("", 100), ("c", 50), ("é", 50)}
     floats = spark.createDataFrame([(math.nan, 1), (0.0, 1), (-0.0, 2), (math.nan, 4)], "x double, n long").coalesce(1)
     assert sorted(r["n"] for r in opaque.combine(floats, ["x"], add).collect()) == [3, 5]
+
+
+@registry.mapper("letters", schema="key string, n long", counts=True)
+def letters(lines, aux):
+    return [c for line in lines if line for c in line if not aux or c not in aux]
+
+
+def test_items_that_add_up_are_one_before_they_reach_a_reducer(spark, tmp_path):
+    """Spark adds them in the task and after one exchange; a reducer gets one item of each key."""
+    lines = ["the cat", "", "the dog"] * 400
+    want = {c: "".join(lines).count(c) for c in set("".join(lines))}
+    put(tmp_path / "in", "x", lines)
+    put(tmp_path / "in", "y", lines)
+    for n in (None, 1, 5):
+        df = compile_job(spark, job(tmp_path / "in", tmp_path / "o", map_function_name="letters", shuffle_partitions=n))
+        assert counts(df) == {c: 2 * k for c, k in want.items()}
+    plan = compile_job(spark, job(tmp_path / "in", tmp_path / "o", map_function_name="letters"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "partial_sum" in plan
+    rows = spark.createDataFrame([(k, 1 << 40) for k in ("a", None, "b", None)] * 5, "k string, n long").repartition(3)
+    seen = lambda group, aux: [(k, n, 1) for k, n in group]
+    got = opaque.reduce_groups(rows, ["k"], seen, "k string, n long, items long", merge=registry.add)
+    assert {tuple(r) for r in got.collect()} == {("a", 5 << 40, 1), (None, 10 << 40, 1), ("b", 5 << 40, 1)}
+    # what doesn't add up as whole numbers comes as it is
+    texts = opaque.reduce_groups(rows.selectExpr("k", "'x' AS t"), ["k"], lambda group, aux: [(len(list(group)),)], "n long", merge=registry.add)
+    assert sorted(r["n"] for r in texts.collect()) == [5, 5, 10]
+
+
+def test_counting_keys_of_some_lines_at_once(spark):
+    lines = ["a b a", "", None, "c é", "x" * 50] * 30
+    df = spark.createDataFrame([(x,) for x in lines], "text string").repartition(2)
+    words = lambda some, aux: [w for line in some if line for w in line.split() if w != aux]
+    for most in (1, 100):
+        items = opaque.count_keys(df, words, "w string, n long", aux="c", most=most)
+        got = {tuple(r) for r in opaque.sum_up(items, ["w"]).collect()}
+        assert got == {("a", 60), ("b", 30), ("é", 30), ("x" * 50, 30)}
+    for schema in ("w double, n long", "w string, n int", "w string, v string, n long"):
+        with pytest.raises(ValueError):
+            opaque.count_keys(df, words, schema)
+    assert [len(x) for x in opaque._some(iter(["x" * (1 << 19)] * 5 + [None] * 3))] == [2, 2, 4]
+    assert [len(x) for x in opaque._some(iter([""] * 25_000))] == [10_000, 10_000, 5_000]
+    big = opaque.Counter({f"{i}" + "y" * 500_000: i for i in range(40)})
+    batches = list(opaque._counted(big, opaque._arrow("w string, n long")))
+    assert max(b.num_rows for b in batches) <= 17 and sum(b.num_rows for b in batches) == 40
+    with pytest.raises(ValueError):
+        registry.mapper("bad", schema="w string, n long", counts=True, merge=max)
+
+
+def test_words_of_joined_lines_are_those_of_each():
+    from mrflow.plans import catalog
+
+    lines = ["ΟΔΟΣ", "ΣΑ a_b", "", None, "_", "İx don't", "end", "٣x ½ Ⅳ", "x\ny"]
+    each = [w for line in lines for w in re.findall(r"[^\W_]+", (line or "").lower())]
+    assert catalog._words(lines, None) == each and each[:2] == ["οδος", "σα"]
+    assert catalog._words(lines, ["a", "b"]) == [w for w in each if w not in "ab"]
